@@ -46,8 +46,8 @@ class Chunk:
         return np.repeat(np.arange(self.stop - self.start), self.lengths)
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[Chunk]:
-    """Whole texts of an Arrow string array in chunks; null counts as empty."""
+def chunks(column: pa.Array, limit: int = CHUNK_CHARS, rows: int = 1 << 16) -> Iterator[Chunk]:
+    """Whole texts of an Arrow string array in chunks of at most so many rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "")
@@ -55,7 +55,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[Chunk]:
     start, n = 0, len(column)
     while start < n:
         base = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + limit, "right"))))
         text = "".join(column.slice(start, stop - start).to_pylist())
         cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         off = np.concatenate(([0], ends[start:stop] - base))
