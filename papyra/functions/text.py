@@ -81,7 +81,7 @@ def acronym(s: Column) -> Column:
 
 def project_subject(s: Column, entity: Column | None = None, head: Column | None = None) -> Column:
     """Acronym, else the provider's entity, else its head noun, else the text without articles, lower case."""
-    plain = F.lower(F.trim(F.regexp_replace(s, r"(?i)\b(the|a|an)\b", "")))
+    plain = F.lower(F.trim(F.regexp_replace(s, r"(?iU)\b(the|a|an)\b", "")))
     options = [F.nullif(acronym(s), F.lit(""))] + [x for x in (entity, head) if x is not None] + [plain]
     return F.lower(F.coalesce(*options))
 
@@ -101,7 +101,7 @@ def project_predicate(p: Column, verb: Column | None = None) -> Column:
 
 def clean_object(o: Column) -> Column:
     """Without leading fillers, contrast tails and trailing punctuation; single blanks."""
-    out = F.regexp_replace(F.trim(o), "(?i)" + P.LEADING_FILLER, "")
+    out = F.regexp_replace(F.trim(o), "(?iU)" + P.LEADING_FILLER, "")
     out = F.regexp_replace(out, "(?i)" + P.CONTRAST_TAIL, "")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.trim(F.regexp_replace(out, P.OBJECT_TAIL_PUNCTUATION, ""))
