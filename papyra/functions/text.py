@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from . import policy as P
 
 
+#: White space that ends of texts lose: ASCII, separators and the Unicode blanks.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
+
+
 def sentences(text: Column) -> Column:
     """Trimmed sentences: split after ``. ! ?`` before white space, blanks dropped."""
-    parts = F.split(F.trim(text), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.split(strip(text), r"(?U)(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != "")
 
 
 def blocks(
@@ -56,21 +65,21 @@ def unquote(part: Column) -> Column:
 
 def triple_parts(line: Column) -> Column:
     """The three cleaned parts of a triple line, or null if it has not three good ones."""
-    parts = F.transform(F.split(line, r"\|"), lambda p: F.trim(unquote(F.trim(p))))
-    good = triple_like(line) & F.forall(F.transform(F.split(line, r"\|"), lambda p: unquote(F.trim(p))), lambda p: (p != "") & (F.length(p) <= P.TRIPLE_PART_CHARS))
+    parts = F.transform(F.split(line, r"\|"), lambda p: strip(unquote(strip(p))))
+    good = triple_like(line) & F.forall(F.transform(F.split(line, r"\|"), lambda p: unquote(strip(p))), lambda p: (p != "") & (F.length(p) <= P.TRIPLE_PART_CHARS))
     return F.when(good, parts)
 
 
 def parse_triples(response: Column) -> Column:
     """Triples of a model response: lines from the first to the last triple-like one that parse."""
-    lines = F.filter(F.transform(F.split(response, "\n"), lambda s: F.trim(s)), lambda s: triple_like(s))
+    lines = F.filter(F.transform(F.split(response, "\n"), lambda s: strip(s)), lambda s: triple_like(s))
     return F.filter(F.transform(lines, triple_parts), lambda t: t.isNotNull())
 
 
 def normalize_component(s: Column) -> Column:
     """Lower case, single blanks, no trailing ``. , ; :``, no quotes around; null gives an empty string."""
-    out = F.regexp_replace(F.trim(F.lower(s)), r"\s+", " ")
-    out = F.trim(F.regexp_replace(out, r"[.,;:]+$", ""))
+    out = F.regexp_replace(strip(F.lower(s)), r"\s+", " ")
+    out = strip(F.regexp_replace(out, r"[.,;:]+$", ""))
     return F.coalesce(F.regexp_replace(out, "^[\"'“”‘’]+|[\"'“”‘’]+$", ""), F.lit(""))
 
 
@@ -81,7 +90,7 @@ def acronym(s: Column) -> Column:
 
 def project_subject(s: Column, entity: Column | None = None, head: Column | None = None) -> Column:
     """Acronym, else the provider's entity, else its head noun, else the text without articles, lower case."""
-    plain = F.lower(F.trim(F.regexp_replace(s, r"(?iU)\b(the|a|an)\b", "")))
+    plain = F.lower(strip(F.regexp_replace(s, r"(?iU)\b(the|a|an)\b", "")))
     options = [F.nullif(acronym(s), F.lit(""))] + [x for x in (entity, head) if x is not None] + [plain]
     return F.lower(F.coalesce(*options))
 
@@ -96,15 +105,15 @@ def project_predicate(p: Column, verb: Column | None = None) -> Column:
     out = F.coalesce(verb, F.lit(P.FALLBACK_PREDICATE)) if verb is not None else F.lit(P.FALLBACK_PREDICATE)
     for key, relation in reversed(predicate_keys()):
         out = F.when(low.contains(key), relation).otherwise(out)
-    return F.when(F.trim(low) == "", P.FALLBACK_PREDICATE).otherwise(out)
+    return F.when(strip(low) == "", P.FALLBACK_PREDICATE).otherwise(out)
 
 
 def clean_object(o: Column) -> Column:
     """Without leading fillers, contrast tails and trailing punctuation; single blanks."""
-    out = F.regexp_replace(F.trim(o), "(?iU)" + P.LEADING_FILLER, "")
+    out = F.regexp_replace(strip(o), "(?iU)" + P.LEADING_FILLER, "")
     out = F.regexp_replace(out, "(?i)" + P.CONTRAST_TAIL, "")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.trim(F.regexp_replace(out, P.OBJECT_TAIL_PUNCTUATION, ""))
+    out = strip(F.regexp_replace(out, r"\s+", " "))
+    return strip(F.regexp_replace(out, P.OBJECT_TAIL_PUNCTUATION, ""))
 
 
 def project_object(o: Column, chunk: Column | None = None, head: Column | None = None, noun: Column | None = None) -> Column:
@@ -121,7 +130,7 @@ def project_object(o: Column, chunk: Column | None = None, head: Column | None =
 
 def is_noise(node: Column) -> Column:
     """True for nodes that graphs drop: blanks, stop words and bare numbers, dates, ids and links."""
-    n = F.trim(node)
+    n = strip(node)
     out = node.isNull() | (n == "") | F.lower(n).isin(P.NOISE_WORDS)
     for p in P.NOISE_PATTERNS:
         out = out | n.rlike("(?i)" + p)
@@ -163,7 +172,7 @@ def metadata_value(node: Column) -> Column:
 
 def fingerprint_text(s: Column) -> Column:
     """Lower case, letters, digits and single blanks only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def fingerprint(*parts: Column, algorithm: str = "sha256") -> Column:
@@ -228,13 +237,13 @@ def intent(response: Column) -> Column:
     """label, topic, domain and entities of the last line with a pipe (else of the whole text)."""
     lines = F.filter(F.split(response, "\n"), lambda s: s.contains("|"))
     line = F.coalesce(F.get(lines, F.size(lines) - 1), response)
-    part = F.transform(F.split(line, r"\|"), lambda p: F.trim(unquote(F.trim(p))))
+    part = F.transform(F.split(line, r"\|"), lambda p: strip(unquote(strip(p))))
     seed = F.upper(F.get(part, 0)) == "RESEARCH_SEED"
 
     def at(k: int) -> Column:
         return F.coalesce(F.get(part, k), F.lit(""))
 
-    entities = F.filter(F.transform(F.split(at(3), ","), lambda e: F.trim(e)), lambda e: e != "")
+    entities = F.filter(F.transform(F.split(at(3), ","), lambda e: strip(e)), lambda e: e != "")
     return F.struct(
         F.upper(F.get(part, 0)).alias("label"),
         F.when(seed, at(1)).alias("topic"),

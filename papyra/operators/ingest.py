@@ -14,7 +14,7 @@ from ..functions import text as T
 
 def region_of(block: Column) -> Column:
     """The region that a heading opens (short, any case, with or without full stops at the end); null for other text."""
-    key = F.regexp_replace(F.trim(F.lower(block)), r"\.+$", "")
+    key = F.regexp_replace(T.strip(F.lower(block)), r"\.+$", "")
     out = F.lit(None).cast("string")
     for name, region in P.REGION_MARKERS.items():
         out = F.when(key == name, region).otherwise(out)
@@ -28,7 +28,7 @@ def assign_regions(blocks: DataFrame) -> DataFrame:
     region; a heading that names the current region again is text; everything from the
     first block that shows an excluded word in its beginning is cut off.
     """
-    b = blocks.withColumn("text", F.trim("text")).where("text <> ''")
+    b = blocks.withColumn("text", T.strip("text")).where("text <> ''")
     start = F.lower(F.substring("text", 1, P.HEADING_CHARS))
     excluded = F.lit(False)
     for word in P.EXCLUDED_REGIONS:
@@ -50,7 +50,7 @@ def assign_regions(blocks: DataFrame) -> DataFrame:
 
 def page_fallback(pages: DataFrame, limit: int = P.FALLBACK_CHARS) -> DataFrame:
     """(source_id, text): pages in order until the limit, the last one cut; pages (source_id, page, text)."""
-    p = pages.withColumn("text", F.trim("text")).where("text <> ''")
+    p = pages.withColumn("text", T.strip("text")).where("text <> ''")
     before = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     room = F.lit(limit) - F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
     return (
@@ -91,16 +91,16 @@ def split_spans(text: Column, limit: int = P.SPAN_CHARS) -> Column:
 
 def clean_refinement(response: Column) -> Column:
     """A model's refined text: non-blank trimmed lines, without leading lines that talk about the text."""
-    out = F.array_join(F.filter(F.transform(F.split(response, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
+    out = F.array_join(F.filter(F.transform(F.split(response, "\n"), lambda s: T.strip(s)), lambda s: s != ""), "\n")
     for marker in P.META_LINES:
-        rest = F.when(out.contains("\n"), F.trim(F.regexp_replace(out, r"^[^\n]*\n", ""))).otherwise("")
+        rest = F.when(out.contains("\n"), T.strip(F.regexp_replace(out, r"^[^\n]*\n", ""))).otherwise("")
         out = F.when(F.startswith(F.lower(out), F.lit(marker)), rest).otherwise(out)
     return out
 
 
 def looks_truncated(span: Column, response: Column) -> Column:
     """A long span whose answer does not end a sentence should be asked again."""
-    lines = F.filter(F.transform(F.split(response, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(response, "\n"), lambda s: T.strip(s)), lambda s: s != "")
     last = F.get(lines, F.size(lines) - 1)
     return (F.length(span) > 200) & F.coalesce(~last.rlike(r"[.?!\"]$"), F.lit(False))
 

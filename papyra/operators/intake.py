@@ -20,7 +20,7 @@ def register_inputs(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("kind").isin("paper_abstract", "pdf_text"), F.concat(F.lit("paper:"), "ref"))
         .otherwise(F.concat(F.lit("user_text_"), "ref"))
     )
-    good = inputs.where((F.col("kind") == "file") | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    good = inputs.where((F.col("kind") == "file") | (T.strip(F.coalesce("text", F.lit(""))) != ""))
     sources = good.select("job_id", F.col("kind").alias("source_type"), ref.alias("source_ref"), F.col("text").alias("raw_text"), F.lit(False).alias("processed"))
     return sources, sources.select("job_id", F.lit("READY_TO_INGEST").alias("status")).distinct()
 

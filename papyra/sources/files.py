@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..functions import text as T
 from ..operators import ingest as I
 
 #: Page blocks whose left edges fall into the same band of this width share a column.
@@ -15,7 +16,7 @@ SUPPORTED = ("txt", "md", "text", "pdf")
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files; blank files are left out."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.trim("text") != "")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(T.strip("text") != "")
 
 
 def read_binaries(spark: SparkSession, path: str) -> DataFrame:
