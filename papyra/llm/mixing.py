@@ -39,15 +39,14 @@ def token_count(text: Column) -> Column:
     return (F.length(t) - F.length(F.translate(t, " \n\t\r", "")) + 1).cast("long")
 
 
-def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None, temper: float) -> DataFrame:
+def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None, temper: float, total: float) -> DataFrame:
     """(dim, target): shares that sum to 1 over the categories present."""
-    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    weight = F.pow(F.col("n") / F.sum("n").over(every), F.lit(temper))
+    weight = F.pow(F.sum("tokens") / F.lit(max(total, 1.0)), F.lit(temper))
+    sums = cells.groupBy(dim).agg(weight.alias("w"))
     if given:
         fixed = F.create_map(*(F.lit(x) for pair in given.items() for x in pair))
-        weight = F.coalesce(F.element_at(fixed, F.col(dim)).cast("double"), weight)
-    return sums.withColumn("w", weight).select(dim, (F.col("w") / F.sum("w").over(every)).alias(f"target_{dim}"))
+        sums = sums.withColumn("w", F.coalesce(F.element_at(fixed, F.col(dim)).cast("double"), F.col("w")))
+    return sums.select(dim, (F.col("w") / F.lit(sums.agg(F.sum("w")).first()[0] or 1.0)).alias(f"target_{dim}"))
 
 
 def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
@@ -56,11 +55,12 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
     Where targets contradict each other (a category lives only in cells of others), the
     rounds end after ``ROUNDS`` at the last dimension's marginals.
     """
-    for dim in DIMENSIONS:
-        cells = cells.join(_targets(cells, dim, (targets or {}).get(dim), temper), dim)
-    cells = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
     n = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
     total = float(n["tokens"] or 0)
+    goals = [_targets(cells, dim, (targets or {}).get(dim), temper, total) for dim in DIMENSIONS]
+    for dim, goal in zip(DIMENSIONS, goals, strict=True):
+        cells = cells.join(goal, dim)
+    cells = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
     for _ in range(0, ROUNDS, PER_PLAN):
         step = cells.coalesce(1) if n["n"] <= ONE_TASK_CELLS else cells
         start = step.withColumn("was", F.col("weight"))
@@ -81,21 +81,23 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
 def sampling_rates(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     """cells with p: min(1, c * weight / tokens), where c makes the expected tokens kept their share.
 
-    Cells fill in order of weight / tokens; c is that of the first order in which the
-    cells left all stay below 1.
+    Cells that c fills leave the rest of the budget to the others, which raises c; the
+    few rounds until no more cells fill each bring two sums to the driver.
     """
     factor = F.col("weight") / F.col("tokens")
-    ordered = cells.withColumn("factor", factor)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("factor"), *DIMENSIONS)
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    spent = F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    c = (F.lit(keep) * F.sum("tokens").over(every) - spent) / F.greatest(rest, F.lit(1e-12))
-    tried = ordered.withColumn("c", c)
-    fits = F.when(F.col("c") * F.col("factor") <= 1, F.col("c"))
-    scale = F.coalesce(F.max(fits).over(every), F.lit(float("inf")))
-    return tried.withColumn("p", F.least(F.lit(1.0), scale * F.col("factor"))).select(*DIMENSIONS, "tokens", "weight", "p")
+    budget = keep * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    c = 0.0
+    while True:
+        full = factor * F.lit(c) >= 1
+        row = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("spent"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
+        if not row["rest"]:
+            c = float("inf")
+            break
+        raised = (budget - float(row["spent"] or 0)) / row["rest"]
+        if raised <= c * (1 + 1e-12):
+            break
+        c = raised
+    return cells.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.lit(c) * factor).alias("p"))
 
 
 def draw(id_col: str, seed: int = 0) -> Column:
