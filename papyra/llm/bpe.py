@@ -29,7 +29,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_GLUE, S_GAP, S_BLANK, S_RESET
 # States: what the token that holds the previous code point is.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_GLUE, IN_BLANKS, TAIL1, TAIL2 = range(8)
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 LONG_PIECE = 64
 
 

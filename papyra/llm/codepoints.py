@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 

@@ -286,7 +286,7 @@ def _compare_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for row in itertools.zip_longest(*(batch.column(k).to_pylist() for k in range(3))):
             held.append(row)
             size += len(row[2])
-            if size > 1 << 20 and len(held) > 1:
+            if size > 1 << 18 and len(held) > 1:
                 yield flush()
                 held, size = held[-1:], len(held[-1][2])
     if len(held) > 1:
