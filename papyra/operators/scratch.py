@@ -33,12 +33,19 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         self.n += 1
         df.write.parquet(path)
+        if self.n == 1:
+            # The application's end removes what is left.
+            self._files(self.base).deleteOnExit(self._path(self.base))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._papyra_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._papyra_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._files(df._papyra_path).delete(self._path(df._papyra_path), True)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
