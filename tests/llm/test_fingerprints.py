@@ -59,3 +59,11 @@ def test_edges(edge_docs, empty_docs, spark):
     lone = P.compare_with_next(spark.createDataFrame([(7, "abcdefgh")], "doc_id long, text string")).first()
     assert lone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and lone["near_next"] == 1.0
     assert P.fingerprint(edge_docs).count() == edge_docs.count()
+
+
+def test_version_difference(spark):
+    rows = [(1, "a b c\nd e f", "a b c\nd e g"), (2, None, None), (3, "same", "same"), (4, "", "new text"), (5, "\n".join(map(str, range(500))), None)]
+    got = {r["i"]: (set(r["removed"]), set(r["added"])) for r in P.version_difference(spark.createDataFrame(rows, "i int, old string, new string"), "old", "new").collect()}
+    for i, old, new in rows:
+        x, y = (set(P.Sketches(*P._flat([t or ""])).key.view(np.int64).tolist()) for t in (old, new))
+        assert got[i] == (x - y, y - x)
