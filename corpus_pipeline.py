@@ -50,8 +50,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "text"), ranks).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), ranks, bytes_col="decoded"))
 
 
 STAGES = [

@@ -261,18 +261,29 @@ def _fields(df: DataFrame, more: str) -> str:
     return ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema] + [more])
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "byte_offsets") -> DataFrame:
+def encode(
+    df: DataFrame,
+    ranks_path: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    offsets_col: str = "byte_offsets",
+    bytes_col: str | None = None,
+) -> DataFrame:
     """Append token ids and each token's start as a byte offset to every row.
 
     Whole texts; null and empty texts give empty arrays. Other columns and repeated
-    rows pass through; columns already named ``ids_col`` or ``offsets_col`` are
-    replaced. A narrow map: no shuffle, one Arrow batch at a time.
+    rows pass through; columns already named like the appended ones are replaced. A
+    narrow map: no shuffle, one Arrow batch at a time. With ``bytes_col`` the ids are
+    decoded again in the same worker, as ``decode`` would, for a round trip that needs
+    one Python process a task instead of two.
     """
-    df = df.drop(ids_col, offsets_col)
+    df = df.drop(ids_col, offsets_col, *([bytes_col] if bytes_col else []))
     raw = read_ranks(ranks_path)
     names = df.columns
+    added = [ids_col, offsets_col, *([bytes_col] if bytes_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = _token_bytes(raw).__getitem__
         size = np.array([len(x) for x in _token_bytes(raw)], np.int64)
         for batch in batches:
             column = batch.column(names.index(text_col))
@@ -288,10 +299,13 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
                     pa.ListArray.from_arrays(off, pa.array(flat)),
                     pa.ListArray.from_arrays(off, pa.array((begins - np.repeat(base, count)).astype(np.int32))),
                 ]
+                if bytes_col:
+                    lists.append(pa.array([b"".join(map(token, ids)) for ids in rows], pa.binary()))
                 kept = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=[*names, ids_col, offsets_col])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=[*names, *added])
 
-    return df.mapInArrow(run, _fields(df, f"`{ids_col}` array<int>, `{offsets_col}` array<int>"))
+    kinds = f"`{ids_col}` array<int>, `{offsets_col}` array<int>" + (f", `{bytes_col}` binary" if bytes_col else "")
+    return df.mapInArrow(run, _fields(df, kinds))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

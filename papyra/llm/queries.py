@@ -21,7 +21,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks).select("doc_id", "ids"), ranks))
+    return bpe.digests(bpe.encode(docs, ranks, bytes_col="decoded"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ def test_scan_is_associative():
 def test_edge_rows_round_trip(edge_docs):
     got = bpe.decode(bpe.encode(edge_docs, PATH), PATH).collect()
     assert len(got) == edge_docs.count()
+    together = bpe.encode(edge_docs, PATH, bytes_col="decoded").drop("byte_offsets").collect()
+    assert sorted(map(str, together)) == sorted(str(r) for r in bpe.decode(bpe.encode(edge_docs, PATH), PATH).drop("byte_offsets").collect())
     for r in got:
         assert r["ids"] == ENC.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
