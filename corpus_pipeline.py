@@ -26,11 +26,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the identifier knows; those without letters or sure of none go."""
+    """Documents in a language that the identifier knows; those without letters or far from every language it learned go."""
     ship(spark)
     train = docs.where(~language_id.is_held_out()).select(F.col("doc_id").alias("key"), "text", "lang")
     found = language_id.predict(docs, language_id.fit(train))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE) & (F.col("nearness") >= 0)
+    return found.where(known).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A document's family is decided first, by linear support vector machines between
 pairs of families; one-versus-one machines between the languages of that family then
 name the language. Features are hashed character 1- to 3-grams of the whole text,
 square-rooted frequencies, so every document is a unit vector. Each machine is
-trained by its own Spark task on a bounded sample of labelled rows.
+trained by its own Spark task on a bounded sample of labelled rows. The machines only
+compare learned languages, so each language also has a profile of its sample: the mean
+log-probability of a text's grams under it tells whether the text is near the language.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ DIMS = 1 << 12
 #: Training rows of a language at most.
 SAMPLE_PER_LANGUAGE = 300
 UNDETERMINED = "und"
+#: A text is far from a language if it fits so many times as far below the median of
+#: the training rows as their first percentile does.
+FAR = 2.5
+#: Rows' worth of every feature that a profile has beforehand.
+PRIOR = 1e-3
 
 #: Language families by ISO 639-1 code; a language that none lists is its own family.
 FAMILIES = {
@@ -83,6 +90,22 @@ def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e
     return w
 
 
+def train_profile(x: np.ndarray) -> np.ndarray:
+    """Log-probability of each feature in a language, and the least mean of them near it.
+
+    That bound comes from the training rows, each measured without itself. A single
+    row has nothing to be measured by, so no text is far from it.
+    """
+    share = x.astype(np.float64) ** 2
+    total, n = share.sum(axis=0), len(x)
+    least = -np.inf
+    if n > 1:
+        others = np.log((np.maximum(total - share, 0) + PRIOR) / (n - 1 + PRIOR * DIMS))
+        low, middle = np.quantile((share * others).sum(axis=1), (0.01, 0.5))
+        least = middle - FAR * (middle - low)
+    return np.append(np.log((total + PRIOR) / (n + PRIOR * DIMS)), least)
+
+
 def _features(df: DataFrame) -> DataFrame:
     """(lang, features) of the sampled training rows."""
 
@@ -121,8 +144,8 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
     known = train.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     machines = _machines(sorted(counts))
-    model = {"langs": sorted(counts), "machines": {}}
-    if not machines:
+    model = {"langs": sorted(counts), "machines": {}, "profiles": {}}
+    if not counts:
         return model
     parts = 1 << 20
     share = F.create_map(
@@ -137,6 +160,8 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
 
     def tasks(kind: str, label) -> DataFrame:
         rows = [(f"{k}\t{a}\t{b}", side, sign) for k, a, b in machines if k == kind for side, sign in ((a, 1), (b, -1))]
+        if kind == "profile":
+            rows = [(f"profile\t{lang}", lang, 1) for lang in sorted(counts)]
         if not rows:
             return None
         lookup = F.create_map(
@@ -151,17 +176,23 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
         return sample.select(F.explode(F.element_at(lookup, label)).alias("t"), "x").select("t.machine", "t.y", "x")
 
     families = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(family_of(x))) for x in counts))
-    parts_of = [t for t in (tasks("family", F.element_at(families, F.col("lang"))), tasks("language", F.col("lang"))) if t is not None]
+    labels = {"family": F.element_at(families, F.col("lang")), "language": F.col("lang"), "profile": F.col("lang")}
+    parts_of = [t for t in (tasks(kind, label) for kind, label in labels.items()) if t is not None]
     rows = parts_of[0]
     for more in parts_of[1:]:
         rows = rows.union(more)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = train_svm(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy().astype(float))
-        return pd.DataFrame({"machine": [pdf["machine"].iloc[0]], "w": [w]})
+        x, name = np.stack(pdf["x"].to_numpy()), pdf["machine"].iloc[0]
+        w = train_profile(x) if name.startswith("profile\t") else train_svm(x, pdf["y"].to_numpy().astype(float))
+        return pd.DataFrame({"machine": [name], "w": [w]})
 
     for r in rows.groupBy("machine").applyInPandas(one, "machine string, w array<double>").collect():
-        model["machines"][tuple(r["machine"].split("\t"))] = np.array(r["w"], np.float32)
+        kind, *names = r["machine"].split("\t")
+        if kind == "profile":
+            model["profiles"][names[0]] = np.array(r["w"], np.float32)
+        else:
+            model["machines"][(kind, *names)] = np.array(r["w"], np.float32)
     return model
 
 
@@ -198,13 +229,28 @@ def classify(x: np.ndarray, model: dict) -> tuple[list[str], np.ndarray]:
     return out.tolist(), score
 
 
+def nearness(x: np.ndarray, langs: list[str], model: dict) -> np.ndarray:
+    """How far each feature row fits its language better than the worst that is near it.
+
+    Unlike the score, which only compares learned languages, it is below 0 for texts
+    far from all of them.
+    """
+    out = np.full(len(x), -np.inf)
+    named = np.array(langs, object)
+    for lang, w in model["profiles"].items():
+        at = np.flatnonzero(named == lang)
+        out[at] = (x[at] ** 2) @ w[:-1] - w[-1]
+    return out
+
+
 def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """Append lang_pred and score to every row, from the text alone.
+    """Append lang_pred, score and nearness to every row, from the text alone.
 
     Null text, text without a letter, and any text where nothing was learned get
-    ``und`` and 0. Columns of the same names are replaced; others pass through.
+    ``und``, 0 and minus infinity. Columns of the same names are replaced; others pass
+    through.
     """
-    df = df.drop("lang_pred", "score")
+    df = df.drop("lang_pred", "score", "nearness")
     names = df.columns
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
     shared = df.sparkSession.sparkContext.broadcast(model)  # pairs of languages x DIMS numbers
@@ -214,17 +260,18 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(names.index(text_col)), rows=256):
                 x, has = gram_matrix(c)
-                lang, score = [UNDETERMINED] * len(x), np.zeros(len(x))
+                lang, score, near = [UNDETERMINED] * len(x), np.zeros(len(x)), np.full(len(x), -np.inf)
                 if known["langs"]:
                     lang, score = classify(x, known)
+                    near = nearness(x, lang, known)
                 lang = [v if h else UNDETERMINED for v, h in zip(lang, has, strict=True)]
                 part = batch.slice(c.start, c.stop - c.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0))],
-                    names=[*names, "lang_pred", "score"],
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, near, -np.inf))],
+                    names=[*names, "lang_pred", "score", "nearness"],
                 )
 
-    return df.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return df.mapInArrow(run, f"{fields}, lang_pred string, score double, nearness double")
 
 
 def is_held_out(id_col: str = "doc_id"):

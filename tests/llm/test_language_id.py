@@ -1,3 +1,4 @@
+import numpy as np
 from papyra.llm import language_id as L
 from papyra.llm import queries
 
@@ -36,3 +37,15 @@ def test_prediction_reads_the_text_alone(spark, sf_dir):
     a = L.predict(docs.select("doc_id", "text"), model).toPandas().set_index("doc_id").lang_pred
     b = L.predict(docs.selectExpr("doc_id", "text", "'xx' as lang", "'s' as source"), model).toPandas().set_index("doc_id").lang_pred
     assert (a.sort_index() == b.sort_index()).all()
+
+
+def test_a_profile_is_not_moved_by_one_odd_row():
+    rng = np.random.default_rng(3)
+    x = np.zeros((201, L.DIMS))
+    for i in range(200):
+        x[i, :200] = rng.dirichlet(np.full(200, 5.0))
+    x[200, 3000:3200] = 1 / 200
+    w = L.train_profile(np.sqrt(x))
+    fit = x @ w[:-1]
+    assert (fit[:200] >= w[-1]).all() and fit[200] < w[-1]
+    assert L.train_profile(np.sqrt(x[:1]))[-1] == -np.inf

@@ -1,4 +1,7 @@
+import random
+import string
 import sys
+import zlib
 
 import corpus_pipeline as C
 import pytest
@@ -58,3 +61,23 @@ def test_entry_lists_the_pipeline():
 
     names = e.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
+
+
+def test_language_stage_rejects_unknown_languages_and_gibberish(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(7)
+    noise = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(n)) for n in (30, 300)]
+    odd = [
+        *noise,
+        "asdf jkl qwerty zxcv hjkl asdf qwer zxcvbnm " * 20,
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    ]
+    # Held-out ids, so that no text is part of what is learned.
+    free = [i for i in range(10_000_000, 10_000_100) if zlib.crc32(str(i).encode()) % 4 == 2][: len(odd)]
+    more = spark.createDataFrame([(i, t, "en", "odd", len(t)) for i, t in zip(free, odd, strict=True)], docs.schema)
+    kept = {r["doc_id"] for r in C.known_language(spark, docs.union(more), sf_dir).select("doc_id").collect()}
+    assert not kept & set(free)
+    with_letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert len(with_letters & kept) >= 0.97 * len(with_letters)
