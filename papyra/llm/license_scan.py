@@ -2,19 +2,25 @@
 
 All rolling word k-grams of every document join, by hash, the positions at which
 templates hold the same k-gram. A hit at document word i and template word j votes
-for the offset diagonal i - j. Votes are summed by diagonal, neighbouring diagonals
-(a word inserted or left out) merge, and a span counts once its words are verified:
-every vote compares the words themselves, not only their hash.
+for the offset diagonal i - j; every vote compares the words themselves, not only
+their hash. A span is verified as a chain of votes: both its document words and its
+template words run strictly forward, and the diagonal moves by a few words at most from
+one vote to the next (words inserted or left out). So each place of a template counts
+once in a span, and a span is never wider than a few times its template.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a k-gram.
 GRAM = 2
-#: Diagonals at most so far apart belong to one span.
+#: Diagonals of successive votes of a span are at most so far apart.
 NEAR = 2
 #: Share of a template's indexed k-grams that a span must hold.
 COVERAGE = 0.6
@@ -76,6 +82,46 @@ def template_grams(spark: SparkSession, base: dict[str, str], templates: dict[st
     )
 
 
+def phrase_places(hits: list[tuple[int, int]], grams: int) -> list[tuple[int, int, int]]:
+    """(first, last, votes) of every diagonal of (word, place) hits that holds all places."""
+    by = defaultdict(list)
+    for at, place in hits:
+        by[at - place].append(at)
+    return [(min(w), max(w), len(w)) for w in by.values() if len(w) == grams]
+
+
+def chains(hits: list[tuple[int, int]], near: int = NEAR) -> list[tuple[int, int, int]]:
+    """(first, last, votes) of the longest chains of (word, place) hits that do not overlap, longest first.
+
+    Of the hits on one diagonal, the last that lies before a hit in word and place ends
+    the longest chain there, so a hit looks at a few diagonals and a few hits on each.
+    """
+    hits = sorted(hits)
+    on = defaultdict(list)
+    best, before = [], []
+    for k, (at, place) in enumerate(hits):
+        length, link = 1, -1
+        for d in range(at - place - near, at - place + near + 1):
+            for j in reversed(on.get(d, ())):
+                if hits[j][0] < at and hits[j][1] < place:
+                    if best[j] + 1 > length or (best[j] + 1 == length and j > link):
+                        length, link = best[j] + 1, j
+                    break
+        best.append(length)
+        before.append(link)
+        on[at - place].append(k)
+    taken, out = set(), []
+    for k in sorted(range(len(hits)), key=lambda k: (-best[k], hits[k])):
+        first = k
+        while before[first] >= 0:
+            first = before[first]
+        span = range(hits[first][0], hits[k][0] + 1)
+        if taken.isdisjoint(span):
+            taken.update(span)
+            out.append((span[0], span[-1], best[k]))
+    return out
+
+
 def scan(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -117,23 +163,34 @@ def scan(
     )
     dealt = kept.repartition("row")
     documents = dealt.groupBy("row", "id").agg(F.max("n_words").cast("long").alias("n_words"))
-    votes = (
+    # A span holds at least that share of distinct places, so most hits go here.
+    enough = F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.lit(coverage))
+    candidates = (
         dealt.where("label is not null")
-        .groupBy("row", "label", "is_base", "grams", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("at").alias("start"), (F.max("at") + gram).alias("stop"))
-    )
-    # Phrases lie on one diagonal exactly; long templates may drift by a word or two.
-    along = Window.partitionBy("row", "label").orderBy("diagonal")
-    apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR)
-    run = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(along)
-    spans = (
-        votes.withColumn("run", run)
-        .groupBy("row", "label", "is_base", "grams", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-        .withColumn("score", F.least(F.col("votes") / F.col("grams"), F.lit(1.0)))
-        .where(F.when(F.col("is_base"), F.col("votes") == F.col("grams")).otherwise(F.col("score") >= coverage))
-        .select("row", "label", "is_base", F.col("start").cast("long"), F.col("stop").cast("long"), "score")
+        .groupBy("row", "label", "is_base", "grams")
+        .agg(F.collect_list("at").alias("at"), F.collect_list("place").alias("place"), F.count_distinct("place").alias("places"))
+        .where(F.col("places") / F.col("grams") >= enough)
+        .drop("places")
     )
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                hits = list(zip(r["at"], r["place"], strict=True))
+                # Phrases lie on one diagonal exactly; long templates may drift by a word or two.
+                found = phrase_places(hits, r["grams"]) if r["is_base"] else chains(hits)
+                for first, last, votes in found:
+                    if r["is_base"] or votes / r["grams"] >= coverage:
+                        out.append((r["row"], r["label"], r["is_base"], first, last + gram, votes / r["grams"]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                names=["row", "label", "is_base", "start", "stop", "score"],
+            )
+
+    spans = candidates.mapInArrow(verified, "row long, label string, is_base boolean, start long, stop long, score double")
     return documents, spans
 
 

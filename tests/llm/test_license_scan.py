@@ -1,3 +1,4 @@
+import random
 import re
 
 from papyra.llm import license_scan as S
@@ -39,3 +40,39 @@ def test_edges(edge_docs, empty_docs):
     assert (ten["n_base"], ten["first_word"], ten["last_word"], ten["base_labels"]) == (2, 3, 5, "mit")
     assert sum(r["doc_id"] == 2 for r in got) == 2
     assert S.license_report(empty_docs).count() == 0
+
+
+def test_repeated_grams_are_not_a_license(spark):
+    cc = S.TEMPLATES["cc-by-nc-4.0"]
+    shuffled = "NC 4.0 BY-NC CC BY under CC licensed under"
+    rows = [
+        (1, "4.0 | 4.0 | 4.0 | 4.0"),
+        (2, " ".join(["2.0"] * 12)),
+        (3, "version 3 | " * 40),
+        (4, shuffled),
+        (5, "4.0 | 4.0 | 4.0 | " + cc + " | 4.0 | 4.0"),
+        (6, cc + " and once more " + cc),
+        (7, "the software " * 60),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in S.license_report(df).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 7)] == [("", 0.0)] * 5
+    assert got[5] == got[6] == ("cc-by-nc-4.0", 1.0)
+    _, spans = S.scan(df.where("doc_id in (5, 6)"))
+    assert sorted((r["stop"] - r["start"], r["score"]) for r in spans.collect()) == [(7, 1.0)] * 3
+
+
+def test_chains_equal_all_chains_tried():
+    rng = random.Random(5)
+    for _ in range(200):
+        hits = sorted({(rng.randrange(14), rng.randrange(6)) for _ in range(rng.randrange(1, 16))})
+
+        def longest(k):
+            at, place = hits[k]
+            steps = [j for j, (a, p) in enumerate(hits) if a < at and p < place and abs(at - place - a + p) <= S.NEAR]
+            return 1 + max(map(longest, steps), default=0)
+
+        got = S.chains(hits)
+        assert got[0][2] == max(map(longest, range(len(hits))))
+        words = [w for first, last, _ in got for w in range(first, last + 1)]
+        assert len(words) == len(set(words))
