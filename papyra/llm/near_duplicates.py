@@ -5,8 +5,8 @@
 2. Nodes meet on band keys. A bucket links its members to its least member (a star,
    never all pairs); connected components of the stars are the candidate groups.
 3. Only nodes of candidate groups get their full shingle sets. A group becomes a
-   grid of cells of bounded size; inside a cell every pair that shares a band key is
-   verified on the sets, and a cell returns one row a node: links and least root.
+   grid of cells of bounded size; inside a cell every pair is verified on the sets,
+   and a cell returns one row a node: links and least root.
 4. Verified roots join up to classes; every row gets its class and number of links.
 """
 
@@ -190,13 +190,8 @@ def verify_cell(table: pa.Table, similarity: float) -> pa.Table:
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy()
     at = np.concatenate(([0], np.cumsum(size)))
-    keys = np.array(table.column("keys").to_pylist(), np.int64)
     n = len(node)
-    meet = np.zeros((n, n), bool)
-    for j in range(keys.shape[1]):
-        meet |= keys[:, j][:, None] == keys[:, j][None, :]
-    if off_diagonal:
-        meet &= side[:, None] != side[None, :]
+    meet = side[:, None] != side[None, :] if off_diagonal else np.ones((n, n), bool)
     np.fill_diagonal(meet, False)
     common = overlaps(flat, at)
     # Integers throughout: common / union >= similarity, without a rounded quotient.
@@ -248,7 +243,7 @@ def _classes(
     sized = scratch.write(groups.groupBy("root").agg(F.count("*").alias("members")).select("root", sides.alias("sides")))
     grouped = scratch.write(groups.join(sized, "root").withColumnRenamed("node", "digest"))
     picked = scratch.write(
-        nodes.join(grouped, "digest").select("digest", "copies", "keys", "root", "sides", F.col("holder.key").alias("key"))
+        nodes.join(grouped, "digest").select("digest", "copies", "root", "sides", F.col("holder.key").alias("key"))
     )
     sets = gram_sets(docs.select("key", "text").join(picked, "key").drop("key"), "text", words)
     side = F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int")
@@ -306,8 +301,9 @@ def near_duplicates(
     words link only to equal texts. Repeated rows stay rows and link to each other. A
     null id stays null and names a class only if all ids of the class are null.
     Other columns are not read. An empty table gives no rows. Found links are exact; a
-    pair of exactly ``similarity`` is found with probability ``recall``, a closer one
-    with more.
+    pair of exactly ``similarity`` becomes a candidate by its own band keys with
+    probability ``recall``, a closer one with more; a pair whose rows other rows bring
+    into one candidate group is always found.
     """
     seen, labels, _ = _classes(df, id_col, text_col, similarity, words, recall, max_hashes)
     return seen.join(labels, "digest").select(F.col("id").alias(id_col), "class_id", "n_links")

@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from papyra.llm import near_duplicates as N
@@ -75,3 +76,19 @@ def test_edges(edge_docs, empty_docs):
     assert kept.columns == edge_docs.columns
     texts = [r["text"] or "" for r in kept.collect()]
     assert sorted(set(texts)) == sorted(texts) and len(texts) == len({r["text"] or "" for r in edge_docs.collect()})
+
+
+@pytest.mark.parametrize("hi", [0, 1])
+def test_cell_links_near_pairs_without_a_common_band_key(hi):
+    grams = [list(range(100)), list(range(1, 101)), list(range(500, 600))]
+    table = pa.table({
+        "digest": pa.array([b"a", b"b", b"c"], pa.binary()),
+        "copies": [1, 2, 1],
+        "keys": pa.array([[1, 2], [3, 4], [1, 2]], pa.list_(pa.int64())),
+        "side": [0, hi, hi],
+        "lo": [0] * 3,
+        "hi": [hi] * 3,
+        "grams": pa.array(grams, pa.list_(pa.int64())),
+    })
+    got = {r["digest"]: (r["links"], r["root"]) for r in N.verify_cell(table, 0.8).to_pylist()}
+    assert got == {b"a": (2, b"a"), b"b": (1, b"a"), b"c": (0, b"c")}
