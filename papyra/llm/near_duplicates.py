@@ -4,10 +4,13 @@
    band keys. Rows of equal digest become one node that carries its copies' count.
 2. Nodes meet on band keys. A bucket links its members to its least member (a star,
    never all pairs); connected components of the stars are the candidate groups.
-3. Only nodes of candidate groups get their full shingle sets. A group becomes a
-   grid of cells of bounded size; inside a cell every pair is verified on the sets,
-   and a cell returns one row a node: links and least root.
-4. Verified roots join up to classes; every row gets its class and number of links.
+3. Only nodes of candidate groups get their full shingle sets. A group is dealt into
+   sides bounded in nodes and in shingles; inside a side every pair is verified on the
+   sets, and each node gets its links and the least node it is linked with, its root.
+4. Groups of several sides meet side by side in cells. Each node brings its root, and
+   a cell returns links a node and, of the pairs of different roots that it links, only
+   a spanning forest, so that edges follow the number of roots, not nodes times sides.
+5. Linked roots join up to classes; every row gets its class and number of links.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ TARGET_RECALL = 0.999
 MAX_HASHES = 160
 #: Nodes of one side of a cell, and the most sides before sides grow.
 SIDE, MAX_SIDES, LARGEST_SIDE = 128, 64, 2048
+#: Shingles of one side about (8 bytes each); one text of more is a side's share alone.
+SIDE_GRAMS = 1 << 20
 
 
 def choose_bands(similarity: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -171,44 +176,79 @@ def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify_cell(table: pa.Table, similarity: float) -> pa.Table:
-    """One row a node of a cell: how many documents it links to here, and its least linked node.
-
-    A cell with lo = hi holds one side of a group and links within it; any other cell
-    holds two sides and links only across. A node that came twice (from repeated
-    rows) counts once.
-    """
+def _distinct_nodes(table: pa.Table) -> pa.Table:
+    """The first row of each digest: repeated rows bring a node twice."""
     first = {}
     for i, d in enumerate(table.column("digest").to_pylist()):
         first.setdefault(d, i)
-    table = table.take(list(first.values()))
-    node = list(first)
-    copies = table.column("copies").to_numpy().astype(np.int64)
-    side = table.column("side").to_numpy()
-    off_diagonal = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    return table.take(list(first.values()))
+
+
+def _linked(table: pa.Table, similarity: float) -> np.ndarray:
+    """Which pairs of a cell's nodes have shingle sets of at least the given Jaccard similarity."""
     lists = table.column("grams").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy()
     at = np.concatenate(([0], np.cumsum(size)))
-    n = len(node)
-    meet = side[:, None] != side[None, :] if off_diagonal else np.ones((n, n), bool)
-    np.fill_diagonal(meet, False)
-    common = overlaps(flat, at)
+    common = overlaps(lists.flatten().to_numpy(), at).astype(np.int64)
     # Integers throughout: common / union >= similarity, without a rounded quotient.
     scale = 1_000_000
-    union = size[:, None] + size[None, :] - common.astype(np.int64)
-    link = meet & (common.astype(np.int64) * scale >= round(similarity * scale) * union)
-    links = link @ copies
-    order = sorted(range(n), key=node.__getitem__)
-    root = np.full(n, -1)
-    for seed in order:
+    link = common * scale >= round(similarity * scale) * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(link, False)
+    return link
+
+
+def verify_side(table: pa.Table, similarity: float) -> pa.Table:
+    """One row a node of a side: how many documents it links to there, and the least node it is linked with."""
+    table = _distinct_nodes(table)
+    node = table.column("digest").to_pylist()
+    link = _linked(table, similarity)
+    links = link @ table.column("copies").to_numpy().astype(np.int64)
+    root = np.full(len(node), -1)
+    for seed in sorted(range(len(node)), key=node.__getitem__):
         if root[seed] < 0:
             root[seed] = seed
             front = np.array([seed])
             while len(front):
                 front = np.flatnonzero(link[front].any(axis=0) & (root < 0))
                 root[front] = seed
-    return pa.table({"digest": pa.array(node, pa.binary()), "links": links.astype(np.int64), "root": pa.array([node[r] for r in root], pa.binary())})
+    return pa.table({"digest": pa.array(node, pa.binary()), "links": links.astype(np.int64), "own": pa.array([node[r] for r in root], pa.binary())})
+
+
+def verify_across(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between the two sides of a cell: (digest, links) of nodes that have any, and (digest, other) edges.
+
+    Edges are a spanning forest of the roots that the links join, so a cell returns
+    fewer edges than it has roots, however many pairs it links.
+    """
+    table = _distinct_nodes(table)
+    node, own = table.column("digest").to_pylist(), table.column("own").to_pylist()
+    side = table.column("side").to_numpy()
+    link = _linked(table, similarity) & (side[:, None] != side[None, :])
+    links = link @ table.column("copies").to_numpy().astype(np.int64)
+    top = {r: r for r in own}
+
+    def find(r: bytes) -> bytes:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    digest, count, other = [], [], []
+    for i in np.flatnonzero(links):
+        digest.append(node[i]), count.append(int(links[i])), other.append(None)
+        met = {own[j] for j in np.flatnonzero(link[i])} if side[i] == side.min() else ()
+        for r in sorted(met):
+            a, b = find(own[i]), find(r)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                digest.append(a), count.append(0), other.append(b)
+    return pa.table({"digest": pa.array(digest, pa.binary()), "links": pa.array(count, pa.int64()), "other": pa.array(other, pa.binary())})
+
+
+def _with_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """nodes with their shingle sets, made anew from the texts of their keys."""
+    sets = gram_sets(docs.select("key", "text").join(nodes, "key").drop("key"), "text", words)
+    return sets.where("own_digest = digest").drop("own_digest")
 
 
 def _classes(
@@ -227,7 +267,9 @@ def _classes(
 
     holder = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     nodes = scratch.write(
-        seen.groupBy("digest").agg(F.min(holder).alias("holder"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        seen.groupBy("digest").agg(
+            F.min(holder).alias("holder"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.first("keys").alias("keys")
+        )
     )
     banded = nodes.where("keys is not null").select("digest", F.explode("keys").alias("band"))
     buckets = scratch.write(
@@ -238,40 +280,47 @@ def _classes(
     )
     stars = banded.join(buckets, "band").where("digest <> least").select("digest", "least").distinct()
     groups = connected_components(stars, scratch, "digest", "least")
-    members = F.col("members")
-    sides = F.greatest(F.least(F.ceil(members / SIDE), F.lit(MAX_SIDES)), F.ceil(members / LARGEST_SIDE)).cast("int")
-    sized = scratch.write(groups.groupBy("root").agg(F.count("*").alias("members")).select("root", sides.alias("sides")))
-    grouped = scratch.write(groups.join(sized, "root").withColumnRenamed("node", "digest"))
-    picked = scratch.write(
-        nodes.join(grouped, "digest").select("digest", "copies", "root", "sides", F.col("holder.key").alias("key"))
+    dealt = groups.withColumnRenamed("node", "digest").join(nodes.drop("keys"), "digest")
+    grouped = scratch.write(dealt.select("digest", "root", "copies", "n_grams", F.col("holder.key").alias("key")))
+    members, grams = F.count("*"), F.sum("n_grams")
+    sides = F.greatest(F.least(F.ceil(members / SIDE), F.lit(MAX_SIDES)), F.ceil(members / LARGEST_SIDE), F.ceil(grams / SIDE_GRAMS))
+    sized = scratch.write(grouped.groupBy("root").agg(sides.cast("int").alias("sides")))
+    side = F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int").alias("side")
+    picked = scratch.write(grouped.join(sized, "root").select("digest", "copies", "root", "key", "sides", side))
+    within = scratch.write(
+        _with_sets(docs, picked, words)
+        .groupBy("root", "side")
+        .applyInArrow(lambda t: verify_side(t, similarity), "digest binary, links long, own binary")
     )
-    sets = gram_sets(docs.select("key", "text").join(picked, "key").drop("key"), "text", words)
-    side = F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int")
-    cells = (
-        sets.where("own_digest = digest")
-        .drop("own_digest")
-        .withColumn("side", side)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .withColumn("lo", F.least("side", "other"))
-        .withColumn("hi", F.greatest("side", "other"))
-        .drop("sides", "other")
-    )
-    found = scratch.write(
-        cells.groupBy("root", "lo", "hi").applyInArrow(
-            lambda t: verify_cell(t, similarity), "digest binary, links long, root binary"
+    links = within.select("digest", "links")
+    top = within.select("digest", "own")
+    if picked.agg(F.max("sides")).first()[0] not in (None, 1):
+        many = scratch.write(picked.where("sides > 1").join(top, "digest"))
+        cells = (
+            _with_sets(docs, many, words)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+            .where("side <> other")
+            .withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+            .drop("sides", "other")
         )
-    )
-    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    edges = found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")).distinct()
-    classes = connected_components(edges, scratch, "a", "b")
+        across = scratch.write(
+            cells.groupBy("root", "lo", "hi").applyInArrow(
+                lambda t: verify_across(t, similarity), "digest binary, links long, other binary"
+            )
+        )
+        links = links.unionByName(across.where("other is null").select("digest", "links"))
+        joined = connected_components(across.where("other is not null").select("digest", "other").distinct(), scratch, "digest", "other")
+        joined = joined.select(F.col("node").alias("own"), F.col("root").alias("top"))
+        top = top.join(joined, "own", "left").select("digest", F.coalesce("top", "own").alias("own"))
+    links = links.groupBy("digest").agg(F.sum("links").alias("links"))
     known = scratch.write(
         nodes.select("digest", "holder", "copies")
         .join(links, "digest", "left")
-        .join(classes.withColumnRenamed("node", "digest"), "digest", "left")
+        .join(top, "digest", "left")
         .select(
             "digest",
             "holder",
-            F.coalesce("root", "digest").alias("root"),
+            F.coalesce("own", "digest").alias("root"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )

@@ -78,17 +78,55 @@ def test_edges(edge_docs, empty_docs):
     assert sorted(set(texts)) == sorted(texts) and len(texts) == len({r["text"] or "" for r in edge_docs.collect()})
 
 
-@pytest.mark.parametrize("hi", [0, 1])
-def test_cell_links_near_pairs_without_a_common_band_key(hi):
+def cell(sides, own=(b"a", b"b", b"c")):
     grams = [list(range(100)), list(range(1, 101)), list(range(500, 600))]
-    table = pa.table({
+    return pa.table({
         "digest": pa.array([b"a", b"b", b"c"], pa.binary()),
         "copies": [1, 2, 1],
-        "keys": pa.array([[1, 2], [3, 4], [1, 2]], pa.list_(pa.int64())),
-        "side": [0, hi, hi],
-        "lo": [0] * 3,
-        "hi": [hi] * 3,
+        "side": sides,
+        "own": pa.array(own, pa.binary()),
         "grams": pa.array(grams, pa.list_(pa.int64())),
     })
-    got = {r["digest"]: (r["links"], r["root"]) for r in N.verify_cell(table, 0.8).to_pylist()}
+
+
+def test_a_side_links_every_near_pair():
+    got = {r["digest"]: (r["links"], r["own"]) for r in N.verify_side(cell([0] * 3), 0.8).to_pylist()}
     assert got == {b"a": (2, b"a"), b"b": (1, b"a"), b"c": (0, b"c")}
+
+
+def test_a_cell_links_across_and_gives_a_forest_of_roots():
+    got = sorted(N.verify_across(cell([0, 1, 1]), 0.8).to_pylist(), key=str)
+    assert got == [
+        {"digest": b"a", "links": 0, "other": b"b"},
+        {"digest": b"a", "links": 2, "other": None},
+        {"digest": b"b", "links": 1, "other": None},
+    ]
+    same_root = N.verify_across(cell([0, 1, 1], (b"a", b"a", b"c")), 0.8)
+    assert [r["other"] for r in same_root.to_pylist()] == [None, None]
+
+
+def near_copies(m):
+    words = [f"w{i}" for i in range(300)]
+    return [(i, " ".join([*words[: i % 280 + 5], f"edit{i}", *words[i % 280 + 6 :]])) for i in range(m)]
+
+
+def test_edges_follow_the_nodes_of_a_large_group(spark, monkeypatch):
+    """Twice the near copies give about twice the edges, though four times the links."""
+    monkeypatch.setattr(N, "SIDE", 32)
+    sizes, found = [], N.connected_components
+    monkeypatch.setattr(N, "connected_components", lambda e, *a: sizes.append(e.count()) or found(e, *a))
+    most = []
+    for m in (200, 400):
+        sizes.clear()
+        df = spark.createDataFrame(near_copies(m), "doc_id long, text string")
+        got = N.near_duplicates(df).collect()
+        assert {(r["class_id"], r["n_links"]) for r in got} == {(0, m - 1)}
+        most.append(max(sizes))
+    assert most[1] <= 2.5 * most[0]
+
+
+def test_sides_are_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "SIDE_GRAMS", 2000)
+    rows = near_copies(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["class_id"], r["n_links"]) for r in N.near_duplicates(df).collect()} == {(0, 39)}
