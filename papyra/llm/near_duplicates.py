@@ -246,8 +246,12 @@ def verify_across(table: pa.Table, similarity: float) -> pa.Table:
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """nodes with their shingle sets, made anew from the texts of their keys."""
-    sets = gram_sets(docs.select("key", "text").join(nodes, "key").drop("key"), "text", words)
+    """nodes with their shingle sets, made anew from the texts of their keys.
+
+    Both sides of the join grow with the input, so both are shuffled at every size; the
+    texts stream past a hash table of the nodes and are not sorted.
+    """
+    sets = gram_sets(docs.select("key", "text").join(nodes.hint("shuffle_hash"), "key").drop("key"), "text", words)
     return sets.where("own_digest = digest").drop("own_digest")
 
 
