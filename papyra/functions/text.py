@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,13 +130,13 @@ def project_object(o: Column, chunk: Column | None = None, head: Column | None =
     return F.lower(F.coalesce(*options, cleaned))
 
 
+#: Blanks, stop words and the noise patterns as one pattern, so that a node's text is computed and read once.
+NOISE = "(?iU)^(?:" + "|".join(re.escape(w) for w in P.NOISE_WORDS) + ")$|" + "|".join(f"(?:{p})" for p in P.NOISE_PATTERNS)
+
+
 def is_noise(node: Column) -> Column:
-    """True for nodes that graphs drop: blanks, stop words and bare numbers, dates, ids and links."""
-    n = strip(node)
-    out = node.isNull() | (n == "") | F.lower(n).isin(P.NOISE_WORDS)
-    for p in P.NOISE_PATTERNS:
-        out = out | n.rlike("(?i)" + p)
-    return out
+    """True for nodes that graphs drop: null, blanks, stop words and bare numbers, dates, ids and links."""
+    return strip(F.coalesce(node, F.lit(""))).rlike(NOISE)
 
 
 def classify_node(node: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Vectors meet in a grid of blocks: each block is copied once to every other block's
 cell and a cell is one matrix product of bounded size, so no task and no group grows
-with the input and every pair is still looked at once.
+with the input and every pair is still looked at once. Average linkage works on the
+pairs that are near enough only; large components are linked by DataFrame rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .components import connected_components
 from .scratch import Scratch
 
 BLOCK_ROWS = 2048
+#: Components of at most so many vectors are linked in one task (a matrix of 32 MB), larger ones by rounds.
+LINK_ROWS = 2048
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -101,7 +104,9 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
     """(id, cluster): average-linkage clusters cut at 1 - similarity, named by their least id.
 
     Clusters never cross components of the graph of pairs nearer than the cut (a merge
-    below it needs one such pair), so components are found first and linked apart.
+    below it needs one such pair), so components are found first and linked apart:
+    small ones whole in a task, large ones by ``linkage_rounds``, with equal results
+    where no two pairs are equally near.
     """
     scratch = Scratch(df.sparkSession, "cluster")
     base = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -115,9 +120,66 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(x, 1 - similarity)]})
 
-    linked = base.join(roots.withColumnRenamed("node", "id"), "id").groupBy("root").applyInPandas(link, "id long, cluster long")
+    sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
+    found = base.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root")
+    linked = found.where(F.col("size") <= LINK_ROWS).groupBy("root").applyInPandas(link, "id long, cluster long")
     alone = base.join(roots, base["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("cluster"))
-    return linked.union(alone)
+    out = linked.union(alone)
+    large = sizes.where(F.col("size") > LINK_ROWS)
+    if large.isEmpty():
+        return out
+    nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
+    inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+    return out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
+
+
+def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, cluster) by average linkage in rounds: every pair of clusters that are each other's nearest merges.
+
+    base: id, v; pairs: a < b and similarity of all pairs above the cut. The mean
+    similarity of two clusters of unit vectors is the product of their mean vectors, so
+    a cluster is its size and its sum. It exceeds the cut only if it did for a pair that
+    the two were merged from, so pairs at or below it are dropped. Pairs are in a total
+    order (similarity, then ids), so the nearest pair of all merges in every round.
+    """
+    square = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
+    unit = F.transform("v", lambda x: x.cast("double") / F.greatest(F.sqrt(square), F.lit(1e-12)))
+    groups = scratch.write(base.select("id", F.lit(1).cast("long").alias("n"), unit.alias("sum")))
+    near = scratch.write(pairs.select("a", "b", "similarity"))
+    member = scratch.write(base.select("id", F.col("id").alias("cluster")))
+    while True:
+        ends = near.select(F.explode(F.array("a", "b")).alias("c"), F.struct((-F.col("similarity")).alias("d"), "a", "b").alias("p"))
+        best = ends.groupBy("c").agg(F.min("p").alias("p")).groupBy(F.col("p.a").alias("into"), F.col("p.b").alias("gone"))
+        merges = scratch.write(best.agg(F.count("*").alias("k")).where("k = 2").select("into", "gone"))
+        if merges.isEmpty():
+            return member
+        gone = merges.select(F.col("gone").alias("id"), "into")
+        gained = groups.join(gone, "id").select(F.col("into").alias("id"), F.col("n").alias("m"), F.col("sum").alias("more"))
+        total = F.when(F.col("more").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "more", lambda x, y: x + y))
+        grown = scratch.write(
+            groups.join(gone, "id", "left_anti").join(gained, "id", "left")
+            .select("id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), total.alias("sum"))
+        )
+        moved = near
+        for end in ("a", "b"):
+            moved = moved.join(gone.select(F.col("id").alias(end), F.col("into").alias(f"_{end}")), end, "left")
+        a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+        moved = moved.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity").where("a <> b")
+        moved = moved.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        for end in ("a", "b"):
+            moved = moved.join(merges.select(F.col("into").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        moved = scratch.write(moved.select("a", "b", "similarity", (F.col("_a").isNotNull() | F.col("_b").isNotNull()).alias("fresh")))
+        again = moved.where("fresh").select("a", "b")
+        for end in ("a", "b"):
+            again = again.join(grown.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sum").alias(f"s_{end}")), end)
+        product = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        again = again.select("a", "b", (product / (F.col("n_a") * F.col("n_b"))).alias("similarity"))
+        kept = scratch.write(moved.where("not fresh").select("a", "b", "similarity").union(again).where(F.col("similarity") > similarity))
+        named = member.join(gone.select(F.col("id").alias("cluster"), "into"), "cluster", "left")
+        renamed = scratch.write(named.select("id", F.coalesce("into", "cluster").alias("cluster")))
+        for old in (groups, near, member, moved):
+            scratch.drop(old)
+        groups, near, member = grown, kept, renamed
 
 
 def cluster_scores(df: DataFrame, cluster_col: str, vector_col: str = "embedding") -> DataFrame:

@@ -81,18 +81,24 @@ def dominant_pair(stats: DataFrame) -> DataFrame:
 
 
 def indirect_measurements(h: DataFrame) -> DataFrame:
-    """One row a job over all its hypotheses (confidence variance: passed ones only)."""
+    """One row a job over all its hypotheses (confidence variance: passed ones only).
+
+    All by sums and maxima, which combine before the shuffle, so a large job needs no
+    sort in one task.
+    """
     stats = pair_statistics(h)
-    total = Window.partitionBy("job_id")
-    p = F.col("paths") / F.sum("paths").over(total)
-    gap_order = Window.partitionBy("job_id").orderBy(F.desc("max_confidence"))
-    by_pair = stats.withColumns({"p": p, "r": F.row_number().over(gap_order)}).groupBy("job_id").agg(
+    # Of n equal pairs the second is as high as the first, else it is the next lower value.
+    levels = stats.groupBy("job_id", "max_confidence").agg(F.count("*").alias("n"))
+    first = levels.groupBy("job_id").agg(F.max("max_confidence").alias("c1"))
+    lower = F.when((F.col("max_confidence") < F.col("c1")) | (F.col("n") > 1), F.col("max_confidence"))
+    two = levels.join(first, "job_id").groupBy("job_id", "c1").agg(F.max(lower).alias("c2"))
+    # -sum p log p over shares p = paths / all is log all - sum paths log paths / all.
+    every, weighted = F.sum("paths"), F.sum(F.col("paths") * F.log2("paths"))
+    by_pair = stats.groupBy("job_id").agg(
         F.max("paths").alias("max_paths_per_pair"),
         F.avg("paths").alias("mean_paths_per_pair"),
-        (-F.sum(F.col("p") * F.log2("p"))).alias("pair_distribution_entropy"),
-        F.max(F.when(F.col("r") == 1, F.col("max_confidence"))).alias("c1"),
-        F.max(F.when(F.col("r") == 2, F.col("max_confidence"))).alias("c2"),
-    )
+        (F.log2(every) - weighted / every).alias("pair_distribution_entropy"),
+    ).join(two, "job_id")
     top = dominant_pair(stats).select(
         "job_id",
         F.concat_ws(",", "source", "target").alias("dominant_pair"),

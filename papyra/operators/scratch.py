@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh temporary folder where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master, which is a single machine, gets a temporary
+    folder; on a cluster the executors' disks are not shared, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='papyra-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -29,13 +36,18 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/papyra-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
+    def folder(self) -> str:
+        """A new path under the base; the application's end removes what is left there."""
         self.n += 1
-        df.write.parquet(path)
         if self.n == 1:
-            # The application's end removes what is left.
-            self._files(self.base).deleteOnExit(self._path(self.base))
+            files = self._files(self.base)
+            files.mkdirs(self._path(self.base))
+            files.deleteOnExit(self._path(self.base))
+        return f"{self.base}/{self.n}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._papyra_path = path
         return out

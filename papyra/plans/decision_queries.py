@@ -231,9 +231,10 @@ def signal_delta(spark, sf):
 
 
 @REG.query(
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'halt_confident' WHEN turn % 3 = 1 THEN 'fetch_more_literature' ELSE 'insufficient_signal' END AS decision FROM conversations WHERE NOT regexp_matches(lower(text), 'halt|fetch|signal')"""
+    f"""WITH a AS (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN text || ' HALT_CONFIDENT.' WHEN 1 THEN 'So: fetch_more_literature ' || text ELSE text END) AS a FROM conversations)
+SELECT conv_id, turn, CASE {' '.join(f"WHEN contains(a, '{d}') THEN '{d}'" for d in P.DECISIONS)} ELSE 'insufficient_signal' END AS decision FROM a"""
 )
 def decision_text(spark, sf):
-    c = V.read(spark, sf, "conversations").where("not lower(text) rlike 'halt|fetch|signal'")
+    c = V.read(spark, sf, "conversations")
     answer = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" HALT_CONFIDENT."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("So: fetch_more_literature "), "text")).otherwise(F.col("text"))
     return c.select("conv_id", "turn", D.decision_in(answer).alias("decision"))

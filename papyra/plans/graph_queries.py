@@ -103,7 +103,8 @@ def graph_degree(spark, sf):
 
 @REG.query(f"WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'e')}, {V.sql_paths('e')} SELECT subject, object, support FROM v_live")
 def hub_suppression(spark, sf):
-    return G.suppress_hubs(G.pair_edges(G.without_noise(V.edges(spark, sf)))).select("subject", "object", "support")
+    pairs = V.written(G.pair_edges(G.without_noise(V.edges(spark, sf))), "pairs")
+    return G.suppress_hubs(pairs).select("subject", "object", "support")
 
 
 @REG.query(
@@ -183,10 +184,8 @@ def promising(spark, sf):
 
 
 @REG.query(
-    f"""WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'e')}, p AS (SELECT DISTINCT subject u, object v FROM e),
-n AS (SELECT DISTINCT unnest([u, v]) x FROM p),
-q AS (SELECT a.x AS source, b.x AS target FROM n a JOIN n b ON (ascii(right(a.x, 1)) + length(a.x)) % 23 = 0 AND (ascii(b.x) * 7 + length(b.x)) % 29 = 0 AND a.x < b.x
-      WHERE length(a.x) > 5 AND length(b.x) > 5),
+    f"""WITH {V.SQL_HYPOTHESES}, p AS (SELECT subject u, object v FROM v_pairs),
+q AS (SELECT source, target FROM v_hyp UNION SELECT target, source FROM v_hyp),
 c AS (
   SELECT source, target, 0 AS r, [source, target] AS path FROM q JOIN p ON u = source AND v = target
   UNION ALL SELECT source, target, 1, [target, source] FROM q JOIN p ON u = target AND v = source
@@ -199,12 +198,11 @@ SELECT source, target, coalesce((['direct_forward', 'direct_reverse', '2hop_forw
 array_to_string(b.path, ' > ') AS path FROM q LEFT JOIN m USING (source, target)"""
 )
 def verification_ladder(spark, sf):
-    e = V.written(G.without_noise(V.edges(spark, sf)), "edges")
-    n = G.nodes_of(e).where(F.length("node") > 5)
-    a = n.where((F.ascii(F.substring("node", -1, 1)) + F.length("node")) % 23 == 0).withColumnRenamed("node", "source")
-    b = n.where((F.ascii("node") * 7 + F.length("node")) % 29 == 0).withColumnRenamed("node", "target")
-    questions = a.join(b, F.col("source") < F.col("target"))
-    return V.flat(R.verify_pairs(questions, e), "path", sep=" > ")
+    """The ends of every hypothesis are verified, both ways round."""
+    pairs = V.projected_pairs(spark, sf)
+    ends = V.hypotheses(spark, sf, pairs).select("source", "target")
+    questions = V.written(ends.union(ends.select("target", "source")).distinct(), "questions")
+    return V.flat(R.verify_pairs(questions, pairs), "path", sep=" > ")
 
 
 @REG.query(
@@ -217,10 +215,16 @@ SELECT source, target, path, paper_id, array_to_string(flatten(list(predicates O
 )
 def supporting_papers(spark, sf):
     pairs = V.projected_pairs(spark, sf)
-    out = R.supporting_papers(V.hypotheses(spark, sf), pairs)
+    out = R.supporting_papers(V.hypotheses(spark, sf, pairs), pairs)
     return V.flat(out.withColumn("path", F.array_join("path", " > ")), "predicates")
 
 
+def _plotted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    edges = V.written(V.projected_edges(spark, sf), "edges")
+    pairs = V.written(G.pair_edges(edges), "pairs")
+    return R.project_graph(V.written(V.hypotheses(spark, sf, pairs), "hyp"), edges)
+
+
 _HOPS = """hop AS (SELECT source AS u, mid AS v, path FROM v_hyp UNION ALL SELECT mid, target, path FROM v_hyp),
 used AS (SELECT u, v, count(DISTINCT path) AS used_in_hypotheses FROM hop GROUP BY u, v)"""
 
@@ -232,8 +236,7 @@ FROM used LEFT JOIN v_edges_p ON lower(trim(subject)) = lower(trim(u)) AND lower
 GROUP BY u, v, predicate, used_in_hypotheses"""
 )
 def projected_graph(spark, sf):
-    _, e = R.project_graph(V.hypotheses(spark, sf), V.projected_edges(spark, sf))
-    return e
+    return _plotted(spark, sf)[1]
 
 
 @REG.query(
@@ -241,8 +244,7 @@ def projected_graph(spark, sf):
 SELECT node, count(DISTINCT path) AS used_in_hypotheses FROM n GROUP BY node"""
 )
 def projected_nodes(spark, sf):
-    n, _ = R.project_graph(V.hypotheses(spark, sf), V.projected_edges(spark, sf))
-    return n
+    return _plotted(spark, sf)[0]
 
 
 @REG.query(

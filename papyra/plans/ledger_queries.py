@@ -147,7 +147,7 @@ def evidence_text(spark, sf):
 
 @REG.query(
     r"""SELECT doc_id AS paper_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled' ELSE substr(regexp_replace(text, '["\\\n]', '', 'g'), 1, 20) END AS title, CASE WHEN doc_id % 4 = 0 THEN 'Unknown,B' ELSE '' END AS authors,
-CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id END AS pdf_url FROM documents WHERE lang = 'en'"""
+CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id END AS pdf_url FROM documents"""
 )
 def record_normalise(spark, sf):
     i = F.col("doc_id")
@@ -157,7 +157,7 @@ def record_normalise(spark, sf):
         F.lit(', "externalIds": '), F.when(i % 3 == 0, F.concat(F.lit('{"DOI": "10.1/'), i, F.lit('"}'))).otherwise("{}"),
         F.lit(', "openAccessPdf": {"url": "'), F.when(i % 2 == 0, F.concat(F.lit("http://x/"), i)).otherwise(" "), F.lit('"}}'),
     )
-    r = V.read(spark, sf, "documents").where("lang = 'en'").select(i.alias("paper_id"), L.paper_record(raw).alias("r"))
+    r = V.read(spark, sf, "documents").select(i.alias("paper_id"), L.paper_record(raw).alias("r"))
     return V.flat(r.select("paper_id", "r.title", "r.authors", "r.doi", "r.pdf_url"), "authors")
 
 
@@ -247,10 +247,11 @@ def stream_ingest(spark, sf):
     return stream_blocks(spark, f"{sf}/documents.parquet")
 
 
-@REG.query("SELECT doc_id % 50 AS paper_id, min(doc_id) AS first_seen FROM documents GROUP BY 1")
+@REG.query(f"SELECT {SQL_FINGERPRINT} AS fingerprint, min(doc_id) AS first_seen FROM documents GROUP BY 1")
 def stream_new_papers(spark, sf):
-    """Fetched papers deduplicated across micro-batches by key state."""
+    """Fetched papers deduplicated by fingerprint across micro-batches."""
     from ..streaming.ingest import stream_first_seen
 
     V.ship(spark)
-    return stream_first_seen(spark, f"{sf}/documents.parquet")
+    key = T.fingerprint(F.substring("text", 1, 80), F.col("text"))
+    return stream_first_seen(spark, f"{sf}/documents.parquet", key).withColumnRenamed("key", "fingerprint")

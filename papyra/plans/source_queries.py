@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import policy as P
 from ..operators import graph as G
 from ..operators import intake as N
 from ..operators import semantic as S
@@ -79,19 +80,19 @@ def progress_events(spark, sf):
 
 
 @REG.query(
-    """WITH e AS (SELECT event_id AS job_id, event_type AS a, 'u' || user_id % 7 AS b FROM events WHERE event_id % 3 = 0)
+    """WITH e AS (SELECT event_id AS job_id, event_type AS a, 'u' || user_id % 7 AS b FROM events)
 SELECT job_id, substr(sha256(a || '→' || b), 1, 64) AS signature, '(relationship between ' || a || ' and ' || b || ') AND (x OR y)' AS query_text FROM e"""
 )
 def research_queries(spark, sf):
-    e = V.read(spark, sf, "events").where("event_id % 3 = 0").select(
+    e = V.read(spark, sf, "events").select(
         F.col("event_id").alias("job_id"), F.lit("t").alias("topic"), F.array(F.col("event_type"), F.lit("x"), F.lit("y"), F.concat(F.lit("u"), F.col("user_id") % 7)).alias("entities")
     )
     return N.research_query(e)
 
 
 def _concepts(spark, sf):
-    """A small consolidated graph's input: edges of triples with frequent words."""
-    e = V.written(G.without_noise(V.edges(spark, sf)).where("support >= 2"), "edges")
+    """The sanitised graph and the vectors of its nodes."""
+    e = V.written(G.without_noise(V.edges(spark, sf)), "edges")
     return e, V.written(E.embed(G.nodes_of(e), "node"), "vectors")
 
 
@@ -104,25 +105,25 @@ def hashed_embeddings(spark, sf):
 @REG.query()
 def semantic_merge(spark, sf):
     e, v = _concepts(spark, sf)
-    nodes, _ = S.merge(e, v, 0.6)
+    nodes, _ = S.merge(e, v, P.MERGE_SIMILARITY)
     return V.flat(nodes, "aliases").withColumn("cluster_score", F.round("cluster_score", 6))
 
 
 @REG.query()
 def semantic_edges(spark, sf):
     e, v = _concepts(spark, sf)
-    return V.flat(S.merge(e, v, 0.6)[1], *G.IDS)
+    return V.flat(S.merge(e, v, P.MERGE_SIMILARITY)[1], *G.IDS)
 
 
 @REG.query()
 def incremental_merge(spark, sf):
     """The graph of even sources, then the odd ones joined to it."""
     t = V.triples(spark, sf)
-    old = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 0"))).where("support >= 2"), "old")
-    new = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 1"))).where("support >= 2"), "new")
+    old = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 0"))), "old")
+    new = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 1"))), "new")
     v = V.written(E.embed(G.nodes_of(old.union(new)), "node"), "vectors")
-    nodes, edges = S.merge(old, v, 0.6)
-    merged, _ = S.merge_incrementally(V.written(nodes, "nodes"), V.written(edges, "edges"), new, v, 0.6)
+    nodes, edges = S.merge(old, v, P.MERGE_SIMILARITY)
+    merged, _ = S.merge_incrementally(V.written(nodes, "nodes"), V.written(edges, "edges"), new, v, P.MERGE_SIMILARITY)
     return V.flat(merged, "aliases").withColumn("cluster_score", F.round("cluster_score", 6))
 
 

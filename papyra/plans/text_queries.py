@@ -95,7 +95,7 @@ ELSE w[3*k-2] || ' | ' || w[3*k-1] || ' | ' || w[3*k] END), chr(10)) || chr(10)
 
 def _responses(spark, sf) -> DataFrame:
     """Documents' words as a model's answer: three to a line, some lines broken."""
-    w = V.read(spark, sf, "documents").where("length(text) < 3000").select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ").alias("w"))
+    w = V.read(spark, sf, "documents").select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ").alias("w"))
     lines = F.transform(
         F.filter(F.sequence(F.lit(0), F.floor(F.size("w") / 3)), lambda k: k > 0),
         lambda k: F.when(k % 5 == 0, F.lit("note"))
@@ -107,7 +107,7 @@ def _responses(spark, sf) -> DataFrame:
 
 
 @REG.query(
-    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents WHERE length(text) < 3000),
+    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
 l AS (SELECT doc_id, unnest(string_split({_RESPONSE_SQL}, chr(10))) AS line FROM w),
 p AS (SELECT doc_id, list_transform(string_split(line, '|'), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^"(.*)"$', '\1'), '^''(.*)''$', '\1'))) AS p
   FROM l WHERE length(line) - length(replace(line, '|', '')) = 2)
@@ -149,17 +149,15 @@ def _intent_text():
 
 
 _ENTS = "list_filter(list_transform(string_split(coalesce(p[4], ''), ','), lambda x: trim(x)), lambda x: x <> '')"
-_INTENT = f"""WITH i AS (SELECT conv_id, turn, {_INTENT_TEXT} AS t FROM conversations WHERE position('|' IN text) = 0 AND position(chr(10) IN text) = 0 AND position('"' IN text) = 0 AND position('''' IN text) = 0),
+_INTENT = f"""WITH i AS (SELECT conv_id, turn, {_INTENT_TEXT} AS t FROM conversations),
 l AS (SELECT conv_id, turn, t, list_filter(string_split(t, chr(10)), lambda x: contains(x, '|')) AS ls FROM i),
-p AS (SELECT conv_id, turn, list_transform(string_split(coalesce(ls[-1], t), '|'), lambda x: trim(regexp_replace(trim(x), '^"(.*)"$', '\\1'))) AS p FROM l),
+p AS (SELECT conv_id, turn, list_transform(string_split(coalesce(ls[-1], t), '|'), lambda x: {V.sql_part('x')}) AS p FROM l),
 f AS (SELECT conv_id, turn, upper(p[1]) AS label, CASE WHEN upper(p[1]) = 'RESEARCH_SEED' THEN coalesce(p[2], '') END AS topic,
 CASE WHEN upper(p[1]) = 'RESEARCH_SEED' THEN coalesce(p[3], '') END AS domain, CASE WHEN upper(p[1]) = 'RESEARCH_SEED' THEN {_ENTS} END AS e FROM p)"""
-_PLAIN = "position('|' in text) = 0 and position('\n' in text) = 0 and position('\"' in text) = 0 and position(\"'\" in text) = 0"
 
 
 def _intents(spark, sf) -> DataFrame:
-    conv = V.read(spark, sf, "conversations").where(_PLAIN)
-    return conv.select("conv_id", "turn", T.intent(_intent_text()).alias("i")).select("conv_id", "turn", "i.*")
+    return V.read(spark, sf, "conversations").select("conv_id", "turn", T.intent(_intent_text()).alias("i")).select("conv_id", "turn", "i.*")
 
 
 @REG.query(f"{_INTENT} SELECT conv_id, turn, label, topic, domain, array_to_string(e, '|') AS entities FROM f")
@@ -179,9 +177,9 @@ def seed_endpoints(spark, sf):
 _PIECES = r"pieces AS (SELECT doc_id, trim(split_part(replace(text, chr(10), ' '), ',', 1)) AS piece FROM documents)"
 
 
-def _pieces(spark, sf, where: str = "true") -> DataFrame:
+def _pieces(spark, sf) -> DataFrame:
     """The text before the first comma of each document, on one line."""
-    return V.read(spark, sf, "documents").where(where).select("doc_id", F.trim(F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), F.lit(1))).alias("piece"))
+    return V.read(spark, sf, "documents").select("doc_id", F.trim(F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), F.lit(1))).alias("piece"))
 
 
 @REG.query(
@@ -206,25 +204,35 @@ def predicate_map(spark, sf):
     return V.triples(spark, sf).select("triple_id", T.project_predicate(phrase).alias("relation"))
 
 
+# RE2 knows ASCII word boundaries only; these spell out those of all scripts.
+_WORD = r"\p{L}\p{M}\p{N}_"
+_FILLER = rf"'(?i)^(?:(?:ensuring that|ensuring|ensures that|that)($|[^{_WORD}])|to ([{_WORD}]))'"
+_BODY = rf"regexp_replace(regexp_replace(regexp_replace({V.sql_strip('o')}, {_FILLER}, '\1\2'), '(?i)rather than.*$', ''), '\s+', ' ', 'g')"
+_TAIL = rf"regexp_replace({V.sql_strip(_BODY)}, '[.,;:\)]+$', '')"
+_ARTICLE = rf"'(?i)(^|[^{_WORD}])(?:the|a|an)($|[^{_WORD}])'"
+# Twice, since articles that follow each other share a boundary.
+_PLAIN_SUBJECT = V.sql_strip(rf"regexp_replace(regexp_replace(s, {_ARTICLE}, '\1\2', 'g'), {_ARTICLE}, '\1\2', 'g')")
+
+
 @REG.query(
-    rf"""WITH {_PIECES}, o AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ensuring that ' || piece WHEN 1 THEN piece || ' rather than that.' WHEN 2 THEN 'to ' || piece || ' ;)' ELSE piece END AS o FROM pieces JOIN documents USING (doc_id) WHERE lang = 'en')
-SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(o), '(?i)^(ensuring that|ensuring|ensures that|that|to )\b', ''), '(?i)rather than.*$', ''), '\s+', ' ', 'g')), '[.,;:\)]+$', ''))) AS object FROM o"""
+    rf"""WITH {_PIECES}, o AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ensuring that ' || piece WHEN 1 THEN piece || ' rather than that.' WHEN 2 THEN 'to ' || piece || ' ;)' ELSE piece END AS o FROM pieces)
+SELECT doc_id, lower({V.sql_strip(_TAIL)}) AS object FROM o"""
 )
 def object_clean(spark, sf):
     k = F.col("doc_id") % 4
     o = F.when(k == 0, F.concat(F.lit("ensuring that "), "piece")).when(k == 1, F.concat("piece", F.lit(" rather than that."))).when(k == 2, F.concat(F.lit("to "), "piece", F.lit(" ;)"))).otherwise(F.col("piece"))
-    return _pieces(spark, sf, "lang = 'en'").select("doc_id", T.project_object(o).alias("object"))
+    return _pieces(spark, sf).select("doc_id", T.project_object(o).alias("object"))
 
 
 @REG.query(
-    rf"""WITH {_PIECES}, s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN piece || ' (' || upper(substr(regexp_replace(piece, '[^a-zA-Z]', '', 'g'), 1, 3)) || 's)' ELSE 'the ' || piece END AS s FROM pieces JOIN documents USING (doc_id) WHERE lang = 'en')
+    rf"""WITH {_PIECES}, s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN piece || ' (' || upper(substr(regexp_replace(piece, '[^a-zA-Z]', '', 'g'), 1, 3)) || 's)' ELSE 'the ' || piece END AS s FROM pieces)
 SELECT doc_id, regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1) AS acronym,
-lower(coalesce(nullif(regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1), ''), trim(regexp_replace(s, '(?i)\b(the|a|an)\b', '', 'g')))) AS subject FROM s"""
+lower(coalesce(nullif(regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1), ''), {_PLAIN_SUBJECT})) AS subject FROM s"""
 )
 def acronym_extract(spark, sf):
     short = F.upper(F.substring(F.regexp_replace("piece", "[^a-zA-Z]", ""), 1, 3))
     s = F.when(F.col("doc_id") % 3 == 0, F.concat("piece", F.lit(" ("), short, F.lit("s)"))).otherwise(F.concat(F.lit("the "), "piece"))
-    return _pieces(spark, sf, "lang = 'en'").select("doc_id", T.acronym(s).alias("acronym"), T.project_subject(s).alias("subject"))
+    return _pieces(spark, sf).select("doc_id", T.acronym(s).alias("acronym"), T.project_subject(s).alias("subject"))
 
 
 _MIXED = """mixed AS (SELECT CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN (1900 + page_id % 300)::VARCHAR WHEN 2 THEN 'doi:10.1/' || page_id WHEN 3 THEN 'arXiv:' || page_id || '.5'

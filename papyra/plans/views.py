@@ -20,10 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of each English sentence, with block and source ids."""
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
-    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "st"))
-    w = s.select("doc_id", (F.col("pos") + 1).alias("i"), F.split(F.trim(F.regexp_replace(F.lower("st"), "[^a-z]+", " ")), " ").alias("w"))
+    """The first three words (runs of letters of any script) of each sentence, with block and source ids.
+
+    The words are made inside the generator, so no filter above computes them again.
+    """
+    words = F.transform(
+        T.sentences(F.col("text")), lambda s: F.split(F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}]+", " ")), " ", 4)
+    )
+    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "w"))
+    w = w.select("doc_id", (F.col("pos") + 1).alias("i"), "w")
     doc = F.col("doc_id") * 10000
     return w.where(F.size("w") >= 3).select(
         (doc + F.col("i")).alias("triple_id"),
@@ -64,8 +69,9 @@ def live_pairs(pairs: DataFrame) -> DataFrame:
     return written(G.suppress_hubs(pairs), "live")
 
 
-def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = projected_pairs(spark, sf_dir)
+def hypotheses(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Filtered hypotheses, over the given written pairs if a plan needs them besides."""
+    pairs = projected_pairs(spark, sf_dir) if pairs is None else pairs
     found = R.hypotheses_of(R.discovery_paths(live_pairs(pairs)))
     return R.filter_hypotheses(found, pairs)
 
@@ -88,8 +94,8 @@ v_sents AS (
   SELECT doc_id, unnest(ss) st, generate_subscripts(ss, 1) i FROM (
     SELECT doc_id, list_filter(list_transform(string_split(
       regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') ss
-    FROM documents WHERE lang = 'en')),
-v_words AS (SELECT doc_id, i, string_split(trim(regexp_replace(lower(st), '[^a-z]+', ' ', 'g')), ' ') w FROM v_sents),
+    FROM documents)),
+v_words AS (SELECT doc_id, i, string_split(trim(regexp_replace(lower(st), '[^\p{L}]+', ' ', 'g')), ' ') w FROM v_sents),
 v_triples AS (
   SELECT doc_id * 10000 + i AS triple_id, doc_id % 4 AS job_id, doc_id * 10000 + (i - 1) // 4 + 1 AS block_id,
          doc_id AS ingestion_source_id, w[1] AS subject, w[2] AS predicate, w[3] AS object
@@ -101,12 +107,26 @@ def sql_quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sql_strip(x: str) -> str:
+    """Without white space of any kind at both ends, as functions.text.strip."""
+    return f"trim({x}, {sql_quote(T.BLANKS)})"
+
+
+def sql_part(x: str) -> str:
+    """A part of a piped line: trimmed, without one matching pair of quotes, trimmed."""
+    s = sql_strip(x)
+    pair = " OR ".join(f"(starts_with({s}, {q}) AND ends_with({s}, {q}))" for q in ("'\"'", "''''"))
+    return sql_strip(f"CASE WHEN length({s}) >= 2 AND ({pair}) THEN substr({s}, 2, length({s}) - 2) ELSE {s} END")
+
+
 def sql_noise(column: str) -> str:
     from ..functions import policy as P
 
     words = ", ".join(sql_quote(w) for w in P.NOISE_WORDS)
     tests = [f"{column} IS NULL", f"trim({column}) = ''", f"lower(trim({column})) IN ({words})"]
-    tests += [f"regexp_matches(trim({column}), {sql_quote('(?i)' + p)})" for p in P.NOISE_PATTERNS]
+    # RE2 knows ASCII words only; the classes say the same of all scripts.
+    patterns = [p.replace(r"[^\w\s]", r"[^\p{L}\p{N}_\s]") for p in P.NOISE_PATTERNS]
+    tests += [f"regexp_matches(trim({column}), {sql_quote('(?i)' + p)})" for p in patterns]
     return "(" + " OR ".join(tests) + ")"
 
 

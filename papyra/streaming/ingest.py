@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
@@ -21,7 +21,7 @@ def stream_blocks(spark: SparkSession, path: str, id_col: str = "doc_id", text_c
     Each micro-batch writes its own folder by number and overwrites it, so a batch
     that is run again after a failure leaves the same rows.
     """
-    base = Scratch(spark, "stream").base
+    base = Scratch(spark, "stream").folder()
 
     def write(batch: DataFrame, number: int) -> None:
         I.slice_sources(batch, id_col, text_col).write.mode("overwrite").parquet(f"{base}/blocks/batch={number}")
@@ -31,14 +31,19 @@ def stream_blocks(spark: SparkSession, path: str, id_col: str = "doc_id", text_c
     return spark.read.parquet(f"{base}/blocks").drop("batch")
 
 
-def stream_first_seen(spark: SparkSession, path: str, keys: int = 50) -> DataFrame:
-    """Least document of each key so far, kept as aggregation state and written whole each batch."""
-    base = Scratch(spark, "stream").base
-    seen = _source(spark, path).groupBy((F.col("doc_id") % keys).alias("paper_id")).agg(F.min("doc_id").alias("first_seen"))
+def stream_first_seen(spark: SparkSession, path: str, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """(key, first_seen): the least id of each key, kept as aggregation state.
+
+    Each micro-batch writes the keys that changed to its own folder by number, so what
+    is written follows the batch and not the state, and a batch that is run again
+    leaves the same rows. A key's least row over the folders is its present one.
+    """
+    base = Scratch(spark, "stream").folder()
+    seen = _source(spark, path).groupBy(key.alias("key")).agg(F.min(id_col).alias("first_seen"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/seen")
+        batch.write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
 
-    job = seen.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    job = seen.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.parquet(f"{base}/seen")
+    return spark.read.parquet(f"{base}/seen").groupBy("key").agg(F.min("first_seen").alias("first_seen"))

@@ -156,6 +156,17 @@ def test_average_linkage_over_components(spark):
     assert {frozenset(g.id) for _, g in got.groupby("cluster")} == plain_linkage(x, 0.2)
 
 
+def test_linkage_rounds_equal_the_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(C, "LINK_ROWS", 1)
+    got = C.clusters(df, 0.8).toPandas()
+    assert {frozenset(g.id) for _, g in got.groupby("cluster")} == plain_linkage(x, 0.2)
+    assert all(g.id.min() == c for c, g in got.groupby("cluster"))
+
+
 def test_similarity_over_blocks(spark):
     x = np.random.default_rng(4).normal(size=(50, 3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
