@@ -246,12 +246,8 @@ def verify_across(table: pa.Table, similarity: float) -> pa.Table:
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """nodes with their shingle sets, made anew from the texts of their keys.
-
-    Both sides of the join grow with the input, so both are shuffled at every size; the
-    texts stream past a hash table of the nodes and are not sorted.
-    """
-    sets = gram_sets(docs.select("key", "text").join(nodes.hint("shuffle_hash"), "key").drop("key"), "text", words)
+    """nodes with their shingle sets, made anew from the texts of their keys."""
+    sets = gram_sets(docs.select("key", "text").join(nodes, "key").drop("key"), "text", words)
     return sets.where("own_digest = digest").drop("own_digest")
 
 
@@ -291,8 +287,10 @@ def _classes(
     sized = scratch.write(grouped.groupBy("root").agg(sides.cast("int").alias("sides")))
     side = F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int").alias("side")
     picked = scratch.write(grouped.join(sized, "root").select("digest", "copies", "root", "key", "sides", side))
+    # Texts and nodes both grow with the input, so both are shuffled at every size; the
+    # texts stream past a hash table of the nodes and are not sorted.
     within = scratch.write(
-        _with_sets(docs, picked, words)
+        _with_sets(docs, picked.hint("shuffle_hash"), words)
         .groupBy("root", "side")
         .applyInArrow(lambda t: verify_side(t, similarity), "digest binary, links long, own binary")
     )
@@ -373,9 +371,12 @@ def keep_one_of_each(
 ) -> DataFrame:
     """One document of each class, that of least id, with all its columns.
 
-    Classes are those of near_duplicates; a row repeated whole is kept once.
+    Classes are those of near_duplicates. Of rows with that id and the same text, the
+    one of least hash over all columns (maps aside) is kept.
     """
     _, labels, scratch = _classes(df, id_col, text_col, similarity, words, recall, max_hashes)
     kept = scratch.write(labels.select(F.col("kept_key").alias("_papyra_key")).distinct())
-    keyed = df.withColumn("_papyra_key", F.xxhash64(id_col, text_col))
-    return keyed.join(kept, "_papyra_key", "left_semi").dropDuplicates(["_papyra_key", id_col]).drop("_papyra_key")
+    hashed = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind]
+    keyed = df.select(F.xxhash64(id_col, text_col).alias("_papyra_key"), F.struct("*").alias("_papyra_row"), F.xxhash64(*hashed).alias("_papyra_order"))
+    one = keyed.join(kept, "_papyra_key", "left_semi").groupBy("_papyra_key").agg(F.min_by("_papyra_row", "_papyra_order").alias("r"))
+    return one.select("r.*")
