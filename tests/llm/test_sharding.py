@@ -19,6 +19,41 @@ def test_query_is_balanced(spark, sf_dir):
     for r in got.itertuples():
         raw = docs[r.doc_id].encode()
         assert r.size == len(raw) + 8 and r.text_crc32 == zlib.crc32(raw)
+    # No shard can be smaller than the mean less the largest row, nor the largest row be cut.
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() <= max(1.05 * size.mean(), got["size"].max() + 0.05 * size.mean())
+    shards = got.assign(text=got.doc_id.map(docs)).groupby("text").agg(n=("shard", "nunique"), size=("size", "sum"))
+    assert (shards[shards["size"] <= size.mean()].n == 1).all()
+
+
+def test_repeated_rows_and_null_ids_are_dealt_evenly(spark):
+    rows = [(None, "same text of many rows")] * 30_000 + [(i, f"other {i} " * (1 + i % 30)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).toPandas()
+    check(got, rows)
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() < 1.03 * size.min()
+
+
+def test_groups_are_split_only_where_balance_needs_it():
+    rng = np.random.default_rng(1)
+    small = rng.dirichlet(np.ones(500)) * 0.7
+    large = np.full(10, 0.03)
+    units = np.repeat(np.concatenate((small, large))[:, None], 3, axis=1)
+    rows = np.concatenate((np.ones(500, np.int64), np.full(10, 1000)))
+    pieces, where = sharding.split_and_pack(units, rows, 24)
+    assert (pieces == 1).all() and len(where) == 510
+    hot = np.concatenate((small, [0.3]))
+    pieces, where = sharding.split_and_pack(np.repeat(hot[:, None], 3, axis=1), np.append(np.ones(500, np.int64), 1000), 24)
+    load = np.bincount(where, np.repeat(hot / pieces, pieces), 24) * 24
+    assert pieces[-1] > 7 and load.max() - load.min() < 0.02
+
+
+def test_evening_out_never_widens():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        size, where = rng.dirichlet(np.ones(30)), rng.integers(0, 5, 30)
+        load = [np.bincount(w, size, 5) for w in (where, sharding.even_out(size, where, 5, 0.0))]
+        assert np.ptp(load[1]) <= np.ptp(load[0]) + 1e-12
 
 
 def test_hot_group_is_split_and_others_stay_together(spark):
