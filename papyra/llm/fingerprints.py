@@ -1,12 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs at line ends, long paragraphs further at words picked
-by their own content, so an edit changes only pieces near it. Each piece's digest is
-added to three cells of a small table (count, sum of digests, sum of check hashes);
-the table is the fingerprint. Two tables subtract; peeling the difference recovers
-the digests that differ. Where peeling stalls, both texts are sketched again in a
-table four times as large, until it succeeds. Many pairs are peeled at once, with
-arrays over all their cells.
+A text is cut into paragraphs at line ends, and a paragraph further before about every
+``PIECE_WORDS``-th word, picked by its own content, so an edit changes only pieces near
+it: what is digested are paragraphs or runs of a few words of one. Each piece's digest
+is added to three cells of a small table (count, sum of digests, sum of check hashes,
+all 64 bits); the table is the fingerprint. Two tables subtract, stored ones too
+(``parse``, ``subtract``, ``peel``); peeling the difference recovers the digests that
+differ. Where peeling stalls, both texts are sketched again in a table four times as
+large, until it succeeds. Many pairs are peeled at once, with arrays over all their cells.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import hashlib
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,8 +136,8 @@ class Sketches:
     def text(self, row: int) -> str:
         """The fingerprint of a row: number of pieces and the base table, base64."""
         a, b = row * 3 * BASE, (row + 1) * 3 * BASE
-        parts = (self.base[0][a:b].astype("<i4"), self.base[1][a:b].astype("<u8"), (self.base[2][a:b] >> np.uint64(32)).astype("<u4"))
-        return base64.b64encode(np.int64(self.size[row]).tobytes() + b"".join(p.tobytes() for p in parts)).decode()
+        parts = (self.base[0][a:b].astype("<i8"), self.base[1][a:b].astype("<u8"), self.base[2][a:b].astype("<u8"))
+        return base64.b64encode(np.int64(self.size[row]).astype("<i8").tobytes() + b"".join(p.tobytes() for p in parts)).decode()
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The digests of the given rows one after another, and the place in rows of each."""
@@ -145,6 +147,30 @@ class Sketches:
         return self.key[np.arange(size.sum()) - first[pair] + self.at[rows][pair]], pair
 
 
+def parse(fingerprint: str) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of pieces, table) of a stored fingerprint: counts, digest sums and check sums of its cells."""
+    raw = base64.b64decode(fingerprint)
+    cells = 3 * BASE
+    if len(raw) != 8 * (1 + 3 * cells):
+        raise ValueError(f"a fingerprint has {8 * (1 + 3 * cells)} bytes, not {len(raw)}")
+    words = np.frombuffer(raw, "<u8")
+    counts = words[1 : 1 + cells].astype(np.int64)
+    return int(words[0]), (counts, words[1 + cells : 1 + 2 * cells].astype(np.uint64), words[1 + 2 * cells :].astype(np.uint64))
+
+
+def subtract(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The table of what a holds and b lacks (counts above 0), and the other way round (below 0)."""
+    return tuple(x - y for x, y in zip(a, b, strict=True))
+
+
+def stored_difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
+    """(removed, added) digests between the texts of two stored fingerprints; None if they differ too much to peel."""
+    _, keys, signs, empty = peel(*subtract(parse(a)[1], parse(b)[1]), np.array([BASE]))
+    if not empty[0]:
+        return None
+    return set(keys[signs > 0].tolist()), set(keys[signs < 0].tolist())
+
+
 def difference(a: Sketches, rows_a: np.ndarray, b: Sketches, rows_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, digest, sign) of all pieces in which the pairs of rows differ."""
     out = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
@@ -218,10 +244,13 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text replaces a document's last quarter (rounded down) by as many first
     code points of the next document by id; after the last comes the first. Null text
     is empty. Rows that share an id follow each other by a hash of their text; null ids
-    come first. A lone document follows itself. An empty table gives no rows.
+    come first. A lone document follows itself. An empty table gives no rows. Other
+    columns are not read.
 
     Documents are dealt into id ranges, each closed by a copy of the next range's first
     row, so the one shuffle of the texts is enough and tasks stream their sorted rows.
+    An id (or null) that fills several ranges is dealt over them by the hash of the
+    text; rows that repeat an id and a text whole stream through one task.
     """
     spark = df.sparkSession
     docs = df.select(
@@ -231,20 +260,28 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*(F.lit(i / n) for i in range(1, n)))
-    bounds = sorted(set(docs.agg(F.percentile_approx("key", shares, 20 * n)).first()[0] or [])) if n > 1 else []
-    placed = docs.withColumn("bucket", _bucket(bounds, F.col("key")))
-    heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.min("key").alias("head")).collect())
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    keys = [k for _, k in heads]
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    bounds = sorted(docs.agg(F.percentile_approx("key", shares, 20 * n)).first()[0] or []) if n > 1 else []
+    bucket = _bucket(bounds, F.col("key"))
+    # A key that is the bound of c ranges has these c for its own rows, in order of the hash.
+    heavy = {k: c for k, c in Counter(bounds).items() if c > 1}
+    if heavy:
+        times = F.element_at(F.create_map(*(F.lit(x) for pair in heavy.items() for x in pair)), F.col("key"))
+        part = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * times)
+        bucket = bucket - F.coalesce(times - 1 - F.least(part, times - 1), F.lit(0)).cast("int")
+    placed = docs.withColumn("bucket", bucket)
+    first = placed.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head"))
+    heads = sorted((r["bucket"], r["head"]["key"], r["head"]["tie"]) for r in first.collect())
+    before = {h[0]: heads[i - 1][0] for i, h in enumerate(heads)}
     moved = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("bucket")) if heads else F.lit(0)
-    order = F.xxhash64("text")
+    is_head = F.col("key").isin([k for _, k, _ in heads]) & F.col("tie").isin([t for _, _, t in heads]) if heads else F.lit(False)
     ends = (
-        placed.where(F.col("key").isin(keys) if keys else F.lit(False))
+        placed.where(is_head)
         .groupBy("bucket")
-        .agg(F.min(F.struct("key", order.alias("tie"), "text")).alias("head"))
+        .agg(F.min(F.struct("key", "tie", "text")).alias("head"))
         .select(moved.alias("bucket"), F.lit(1).alias("end"), F.lit(None).cast("long").alias("doc_id"), "head.key", "head.tie", "head.text")
     )
-    rows = placed.select("bucket", F.lit(0).alias("end"), F.col("doc_id").cast("long"), "key", order.alias("tie"), "text").union(ends)
+    rows = placed.select("bucket", F.lit(0).alias("end"), F.col("doc_id").cast("long"), "key", "tie", "text").union(ends)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "end", "key", "tie")
     out = (

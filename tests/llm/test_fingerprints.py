@@ -40,6 +40,39 @@ def test_difference_is_exact():
         assert found == {(k, 1) for k in x - y} | {(k, -1) for k in y - x}
 
 
+def test_stored_fingerprints_subtract_and_peel():
+    texts = ["one two three four\nfive six\nseven", "one two three four\nfive sixty\nseven", "", "\n".join(map(str, range(400)))]
+    s = P.Sketches(*P._flat(texts))
+    sets = [set(s.key[s.at[i] : s.at[i + 1]].tolist()) for i in range(len(texts))]
+    stored = [s.text(i) for i in range(len(texts))]
+    assert [P.parse(t)[0] for t in stored] == [len(x) for x in sets]
+    for a in range(3):
+        for b in range(3):
+            assert P.stored_difference(stored[a], stored[b]) == (sets[a] - sets[b], sets[b] - sets[a])
+    assert P.stored_difference(stored[3], stored[3]) == (set(), set())
+    assert P.stored_difference(stored[3], stored[2]) is None
+    whole = P.subtract(P.parse(stored[0])[1], P.parse(stored[1])[1])
+    again = P.subtract(tuple(x[:12] for x in s.base), tuple(x[12:24] for x in s.base))
+    assert all((x == y).all() for x, y in zip(whole, again, strict=True))
+
+
+def test_a_hot_id_is_dealt_over_ranges(spark):
+    rows = [(None, f"text number {i}") for i in range(400)] + [(i, f"other text {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tasks = []
+
+    def near(parts):
+        """Rows in the order of the rule: null ids first, then by id and hash of the text."""
+        got = {r["fingerprint"]: r for r in P.compare_with_next(df, buckets=parts).collect()}
+        assert len(got) == len(rows)
+        return {k: (r["edited_sha256"], r["near_edited"], r["near_next"]) for k, r in got.items()}
+
+    assert near(1) == near(16)
+    placed = P.compare_with_next(df, buckets=64)
+    tasks = [len(p) for p in placed.rdd.glom().collect()]
+    assert max(tasks) < 350
+
+
 def test_large_differences_are_retried():
     left, right = "\n".join(f"line {i} left" for i in range(3000)), "\n".join(f"line {i} right" for i in range(3000))
     s = P.Sketches(*P._flat([left, right]))
