@@ -131,12 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     )
     marked = marked.groupBy("k").agg(F.max("y").alias("y"))  # ids labelled twice count once, as good
     n = marked.count()
-    parts = 1 << 20
+    parts = 1 << 40  # so that the share of ``rows`` in n labels is more than 0 for any n
     marked = marked.where(F.pmod(F.xxhash64(F.col("k"), F.lit("quality")), F.lit(parts)) < parts * rows // max(n, 1))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"))
     # The kept ids are few (``rows`` of 8 bytes), so they go to the texts rather than the texts to them.
-    sample = _with_features(texts.join(F.broadcast(marked), "k").dropDuplicates(["k"]).select("y", "text"), "text")
-    got = sample.toPandas()
+    # Of the texts of one id, that of least hash counts.
+    one = texts.join(F.broadcast(marked), "k").groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = _with_features(one.select("y", "t.text"), "text").toPandas()
     if got["y"].nunique() < 2:
         return None
     return fit_logistic(np.stack(got["x"].to_numpy()), got["y"].to_numpy())
@@ -225,19 +226,18 @@ def score_documents(
     Whole texts. Null text is empty; texts without words have p_doc 0.5. Null hosts
     form one host, null paths one path a host. Repeated rows each count and each come
     back. Columns of the appended names are replaced. An empty table gives no rows.
+    Texts are looked at once: rows with their evidence are written, then summed by
+    site and joined with the sums.
     """
     scratch = Scratch(df.sparkSession, "quality")
     model = fit(df, labels, id_col, text_col, label_col)
     df = df.drop("p_doc", "host_rate", "path_rate", "score", "keep")
     names = df.columns
     sited = df.withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).withColumn("_path", F.coalesce(path.cast("string"), F.lit("")))
-    evidence = with_evidence(
-        sited.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col(text_col).alias("text")), model, keep_text=False
-    )
-    sites, prior = site_rates(evidence, scratch)
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_n", "host_s")
     clash = {c: f"_doc_{c}" for c in ("n", "s", "host_n", "host_s") if c in names}
-    rows = with_evidence(sited.withColumnsRenamed(clash), model, text_col, keep_text).join(sites, ["_host", "_path"])
-    out = rows.withColumns(posterior(prior)).withColumn("keep", F.col("score") >= threshold).drop(*sites.columns)
+    evidence = scratch.write(with_evidence(sited.withColumnsRenamed(clash), model, text_col, keep_text))
+    sites, prior = site_rates(evidence.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "p_doc"), scratch)
+    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_n", "host_s")
+    out = evidence.join(sites, ["_host", "_path"]).withColumns(posterior(prior)).withColumn("keep", F.col("score") >= threshold).drop(*sites.columns)
     kept = [c for c in names if keep_text or c != text_col]
     return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*kept, "p_doc", "host_rate", "path_rate", "score", "keep")

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyra.llm import quality as Q
 from papyra.llm import queries
+from papyra.llm.codepoints import chunks
 
 
 def test_query_tells_good_from_bad(spark, sf_dir):
@@ -14,6 +16,49 @@ def test_query_tells_good_from_bad(spark, sf_dir):
     assert j[j.quality == 0].keep.mean() <= 0.2
 
 
+def test_query_equals_plain(spark, sf_dir):
+    """The model from plain features, then sums by host and path in dictionaries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
+
+    def features(text):
+        c = next(chunks(pa.array([text])))
+        return Q.text_features(c)[0]
+
+    x = dict(zip(docs.doc_id, map(features, docs.text), strict=True))
+    y = labels[labels.doc_id.isin(x)]
+    m = Q.fit_logistic(np.stack([x[k] for k in y.doc_id]), y.quality.to_numpy(float))
+    p = {k: 1 / (1 + np.exp(-np.clip(((v - m["mean"]) / m["std"]) @ m["w"][:-1] + m["w"][-1], -12, 12))) if v[0] > 0 else 0.5 for k, v in x.items()}
+    site = {r.doc_id: (r.source or "", r.lang or "") for r in docs.itertuples()}
+    paths, hosts = {}, {}
+    for k, s in site.items():
+        paths.setdefault(s, []).append(p[k])
+        hosts.setdefault(s[0], []).append(p[k])
+    rate = min(max(sum(p.values()) / len(p), 0.01), 0.99)
+
+    def strength(groups):
+        n, s = np.array([len(g) for g in groups]), np.array([sum(g) for g in groups])
+        noise = max(rate * (1 - rate), 1e-6)
+        spread = ((n * (s / n - rate) ** 2).sum() - (len(n) - 1) * noise) / max(n.sum() - (n**2).sum() / n.sum(), 1e-9)
+        return min(max(noise / max(spread, noise / 1000) - 1, 1.0), 1000.0)
+
+    a, b = strength(list(hosts.values())), strength(list(paths.values()))
+    for r in queries.op10_quality(spark, sf_dir).collect():
+        k = r["doc_id"]
+        h, q = hosts[site[k][0]], paths[site[k]]
+        host = (sum(h) - p[k] + a * rate) / (len(h) - 1 + a)
+        path = (sum(q) - p[k] + b * host) / (len(q) - 1 + b)
+        odds = [v / (1 - v) for v in np.clip([p[k], path, rate], 1e-6, 1 - 1e-6)]
+        score = 1 / (1 + odds[2] / (odds[0] * odds[1]))
+        assert np.allclose([r["p_doc"], r["host_rate"], r["path_rate"], r["score"]], [p[k], host, path, score], atol=1e-5)
+        assert r["keep"] == (r["score"] >= Q.THRESHOLD)
+
+
+def test_texts_are_looked_at_once(spark, sf_dir):
+    plan = queries.op10_quality(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_shrinking_by_hand(spark):
     rows = [("h", "h/a", 0.9), ("h", "h/a", 0.8), ("h", "h/b", 0.1), ("g", "g/a", 0.5)]
     ev = spark.createDataFrame(rows, "host string, path string, p_doc double")
