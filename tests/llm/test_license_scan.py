@@ -21,6 +21,36 @@ def test_query_equals_plain(spark, sf_dir):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def best_chain(words, template):
+    """Share of the template's telling bigrams in the longest chain of places that run forward on near diagonals."""
+    t = "".join(c.lower() if c.isalnum() else " " for c in template).split()
+    grams = [(i, t[i : i + 2]) for i in range(len(t) - 1) if not S.COMMON.issuperset(t[i : i + 2])]
+    by = {}
+    for i, g in grams:
+        by.setdefault(tuple(g), []).append(i)
+    hits = [(i, p) for i in range(len(words) - 1) for p in by.get(tuple(words[i : i + 2]), ())]
+    best = []
+    for k, (at, p) in enumerate(hits):
+        steps = [best[j] for j in range(k) if hits[j][0] < at and hits[j][1] < p and abs(hits[j][0] - hits[j][1] - at + p) <= S.NEAR]
+        best.append(1 + max(steps, default=0))
+    return max(best, default=0) / len(grams)
+
+
+def test_own_labels_equal_plain(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(-1, "apache license " * 6), (-2, "x " + S.TEMPLATES["isc-text"] + " y"), (-3, S.TEMPLATES["zlib-text"].upper())]
+    got = S.license_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = dict(docs)
+    for r in got:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), texts[r["doc_id"]] or ""))
+        base = set(filter(None, plain(texts[r["doc_id"]])[4].split(",")))
+        share = {k: best_chain(words, t) for k, t in S.TEMPLATES.items()}
+        own = {k for k, v in share.items() if v >= S.COVERAGE}
+        assert r["labels"] == ",".join(sorted(base | own))
+        assert abs(r["score"] - max([1.0] * bool(base) + [share[k] for k in own], default=0.0)) < 1e-9
+    assert {r["doc_id"]: r["labels"] for r in got if r["doc_id"] < 0} == {-1: "apache", -2: "isc-text", -3: "zlib-text"}
+
+
 def test_long_templates_drift_and_partial(spark):
     whole = S.TEMPLATES["bsd-text"]
     words = whole.split()
