@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF_ROWS = 128
-#: Rows that a shard holds at least (where there are as many) and at most.
-LEAST_ROWS, MOST_ROWS = 256, 1 << 18
+#: Rows that a shard holds at least (where there are as many), and bytes of its vectors about at most.
+LEAST_ROWS, SHARD_BYTES = 256, 64 << 20
 #: Rows of the pilot tree about, and at most twice as many.
 PILOT_ROWS = 2048
 QUERY_BLOCK = 256
@@ -119,13 +119,15 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     products must fit 64 bits); ties go to the smaller id. Rows with the query's id are
     its own and never its answers; other repeated rows are candidates each. Queries
     with no candidate have no rows. Exact: no candidate is skipped that could rank.
+    Other columns are not read; empty vectors score 0. An empty table gives no rows. A
+    task holds one shard, about ``SHARD_BYTES`` of vectors and as much for its tree.
     """
     spark = df.sparkSession
     vectors = quantised(df, id_col, vector_col)
     queries = quantised(df.where(is_query), id_col, vector_col).distinct()
-    n = vectors.count()
+    n, numbers = vectors.agg(F.count("*"), F.sum(F.col("dim").cast("long"))).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // MOST_ROWS), min(parts, -(-n // LEAST_ROWS)))
+    shards = max(1, -(-8 * (numbers or 0) // SHARD_BYTES), min(parts, -(-n // LEAST_ROWS)))
     pool = 1 << 20
     cut = min(pool, 1 + pool * PILOT_ROWS // max(n, 1))
     pilot = vectors.where(F.pmod(F.xxhash64("id", F.lit("pilot")), F.lit(pool)) < cut).limit(2 * PILOT_ROWS).collect()

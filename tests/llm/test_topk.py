@@ -33,6 +33,18 @@ def test_edges(spark):
     rows = [(0, [1.0, 2.0]), (50, None), (1, [None, 1.0]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [1.0, 2.0]), (5, [1.0]), (100, [9.0, -9.0, 1.0]), (None, [1.0, 1.0]), (6, [1e6, 1e6]), (150, [])]
     assert run(spark, rows) == plain(rows, lambda i: i % 50 == 0)
     assert run(spark, rows[:1]) == [] and run(spark, rows[1:2]) == []
+    df = spark.createDataFrame(rows + rows[5:6], "vec_id long, embedding array<double>")
+    more = df.selectExpr("*", "'x' as shard", "1 as dim", "2 as kind", "3 as score", "4 as id")
+    assert sorted(tuple(r) for r in topk.top_k(more, F.col("vec_id") % 50 == 0).collect()) == plain(rows + rows[5:6], lambda i: i % 50 == 0)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_shards_follow_the_bytes_of_wide_vectors(spark, monkeypatch):
+    """At 768 numbers a row a shard still holds no more bytes, and many shards give the same rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=768).tolist()) for i in range(300)]
+    monkeypatch.setattr(topk, "SHARD_BYTES", 768 * 8 * 20)
+    assert run(spark, rows) == plain(rows, lambda i: i % 50 == 0)
 
 
 @pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 20])
