@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from papyra.llm import mixing, queries
 from papyra.operators.scratch import Scratch
@@ -46,6 +48,20 @@ def test_given_targets_are_met(spark):
     assert abs(out[out.source == "b"].weight.sum() / out.weight.sum() - 0.75) < 1e-6
 
 
+def test_contradicting_targets_say_so(spark):
+    rows = [("a", "en", "prose", 100), ("b", "fr", "prose", 300)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="not met"):
+        out = mixing.rake(cells, Scratch(spark, "t"), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.1, "fr": 0.9}}).toPandas()
+    assert abs(out[out.lang == "en"].weight.sum() / out.weight.sum() - 0.1) < 1e-6
+
+
+def test_a_given_topic_takes_the_place_of_the_form(spark):
+    df = spark.createDataFrame([(1, "one two", "s", "en", "x"), (2, "three", "s", "en", None)], "doc_id long, text string, source string, lang string, topic string")
+    got = mixing.mix(df, topic=F.col("topic"), keep=1.0).orderBy("doc_id").collect()
+    assert [(r["topic"], r["tokens"], r["sampled"]) for r in got] == [("x", 2, True), ("", 1, True)]
+
+
 def test_no_python_on_the_main_path(spark, sf_dir):
     plan = queries.op2_mixing(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
