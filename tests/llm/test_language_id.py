@@ -11,6 +11,52 @@ def test_held_out_accuracy(spark, sf_dir):
     assert got.score.between(0, 1).all()
 
 
+def test_predictions_equal_plain(spark, sf_dir):
+    """Grams counted in a dictionary, and every machine's vote taken one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs.where(~L.is_held_out()).selectExpr("doc_id as key", "text", "lang"))
+    mask = (1 << 64) - 1
+
+    def features(text):
+        cleaned = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else "\0" for c in text)
+        seq = [ord(c) if c != "\0" else 32 for i, c in enumerate(cleaned) if c != "\0" or (i and cleaned[i - 1] != "\0")]
+        x = np.zeros(L.DIMS)
+        for k in range(3):
+            for i in range(len(seq) - k):
+                code = 0
+                for c in seq[i : i + k + 1]:
+                    code = (code * 0x1F0001 + c + 1) & mask
+                x[(((code + k) * 0x9E3779B97F4A7C15) & mask) >> 52] += 1
+        return np.sqrt(x / max(x.sum(), 1)).astype(np.float32)
+
+    def vote(kind, names, x):
+        wins, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for a in names:
+            for b in names:
+                if (kind, a, b) in model["machines"]:
+                    w = model["machines"][kind, a, b]
+                    p = 1 / (1 + np.exp(-3.0 * float(x @ w[:-1] + w[-1])))
+                    for name, q in ((a, p), (b, 1 - p)):
+                        wins[name] += q
+                        least[name] = min(least[name], q)
+        best = max(sorted(names), key=wins.get)
+        return best, least[best]
+
+    families = {}
+    for lang in model["langs"]:
+        families.setdefault(L.family_of(lang), []).append(lang)
+    got = {r["doc_id"]: r for r in L.predict(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        x = features(r["text"])
+        family, sure = vote("family", sorted(families), x)
+        lang, clear = vote("language", sorted(families[family]), x)
+        assert got[r["doc_id"]]["lang_pred"] == lang
+        assert abs(got[r["doc_id"]]["score"] - sure * clear) < 1e-4
+
+
 def test_edges(edge_docs, empty_docs):
     got = L.identify(edge_docs).collect()
     assert len(got) == edge_docs.count()
