@@ -1,10 +1,17 @@
+import hashlib
 import random
 import string
 import sys
 import zlib
+from collections import Counter
 
 import corpus_pipeline as C
+import public_tokenizers as P
 import pytest
+import tiktoken
+from papyra.llm import bpe, mixing
+from pyspark.sql import functions as F
+from test_mixing import plain_rates
 from test_near_duplicates import plain
 
 
@@ -55,6 +62,61 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
     assert got == sorted(map(tuple, stages[5].collect()))
 
 
+NEW = {"p_doc", "host_rate", "path_rate", "score", "keep", "lang_pred", "nearness", "topic", "tokens", "p", "sampled", "_host", "n", "s", "host_n"}
+
+
+def test_stages_on_edge_rows(spark, sf_dir, edge_docs):
+    """Nulls, empty and long texts, ties, repeated rows and columns named like those that stages append."""
+    docs = edge_docs.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in sorted(NEW - set(edge_docs.columns))))
+    before = Counter(map(str, docs.collect()))
+    sizes = {}
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes
+        rows = Counter(map(str, out.collect()))
+        assert not rows - before, name
+        sizes[name] = sum(rows.values())
+    texts = {r["text"] or "" for r in docs.collect()}
+    assert sizes["near_duplicates"] == len(texts)
+    kept = {r["doc_id"] for r in C.known_language(spark, docs, sf_dir).collect()}
+    assert not kept & {3, 4, 7, 9}
+    tokens = C.tokenized(spark, docs, sf_dir).collect()
+    assert len(tokens) == docs.count() and {r["n_tokens"] for r in tokens if r["doc_id"] in (3, 4)} == {0}
+
+
+def test_stages_on_an_empty_table(spark, sf_dir, empty_docs):
+    for _, stage in C.STAGES:
+        assert stage(spark, empty_docs, sf_dir).count() == 0
+
+
+def test_rows_of_one_id_and_text_leave_the_same_row(spark, sf_dir):
+    rows = [(1, "same text of five words here", "en", f"src{i}", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {str(C.one_of_each(spark, df.repartition(k), sf_dir).collect()) for k in (1, 3)}
+    assert len(got) == 1
+
+
+def test_mixing_stage_samples_at_plain_rates(spark, sf_dir, stages):
+    """Expected tokens kept follow the raked targets: the stage keeps what draws below a plain rate."""
+    docs = stages[3]
+    m = mixing.mix(docs).toPandas()
+    cell, _ = plain_rates(m, mixing.KEEP, mixing.TEMPER)
+    rate = m.merge(cell, on=list(mixing.DIMENSIONS)).set_index("doc_id").expected
+    draw = {k: int(hashlib.md5(f"{k}:0".encode()).hexdigest()[:13], 16) / (1 << 52) for k in rate.index}
+    clear = {k for k in rate.index if abs(draw[k] - rate[k]) > 1e-5}
+    assert {k for k in clear if draw[k] < rate[k]} == clear & {r["doc_id"] for r in stages[4].collect()}
+
+
+def test_token_stage_equals_tiktoken(stages):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in stages[4].collect()}
+    for r in stages[5].collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_entry_lists_the_pipeline():
     sys.modules.pop("__spark_entry__", None)
     import __spark_entry__ as e
