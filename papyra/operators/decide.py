@@ -121,6 +121,26 @@ def indirect_measurements(h: DataFrame) -> DataFrame:
     )
 
 
+def for_jobs(measurements: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Measurements of every job: one without hypotheses has zeros (no dominant pair), mean path length too."""
+    filled = jobs.select("job_id").join(measurements, "job_id", "left").fillna(0)
+    flags = [c for c, kind in measurements.dtypes if kind == "boolean"]
+    return filled.fillna(False, flags) if flags else filled
+
+
+def stability(jobs: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """(job_id, hypothesis_stability): the share of a job's earlier (source, target) pairs that are still there.
+
+    Without earlier pairs it is 1 if there are any now, else 0.
+    """
+    key = ["job_id", "source", "target"]
+    was, are = before.select(*key).distinct(), now.select(*key).distinct().withColumn("_now", F.lit(True))
+    kept = was.join(are, key, "left").groupBy("job_id").agg((F.count("_now") / F.count("*")).alias("_kept"))
+    some = are.select("job_id").distinct().withColumn("_some", F.lit(1.0))
+    out = jobs.select("job_id").join(kept, "job_id", "left").join(some, "job_id", "left")
+    return out.select("job_id", F.coalesce("_kept", "_some", F.lit(0.0)).alias("hypothesis_stability"))
+
+
 def graph_density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: nodes, edges and edges over the n(n - 1) possible ones (0 for fewer than two nodes)."""
     n = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))

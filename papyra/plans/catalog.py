@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decision_queries, graph_queries, ledger_queries, source_queries, text_queries
+from . import decision_queries, graph_queries, ledger_queries, record_queries, source_queries, text_queries
 
-MODULES = (graph_queries, text_queries, decision_queries, ledger_queries, source_queries)
+MODULES = (graph_queries, text_queries, decision_queries, ledger_queries, source_queries, record_queries)
 
 
 def queries() -> dict[str, Callable]:

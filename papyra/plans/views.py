@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from ..functions import policy as P
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import reason as R
@@ -120,8 +121,6 @@ def sql_part(x: str) -> str:
 
 
 def sql_noise(column: str) -> str:
-    from ..functions import policy as P
-
     words = ", ".join(sql_quote(w) for w in P.NOISE_WORDS)
     tests = [f"{column} IS NULL", f"trim({column}) = ''", f"lower(trim({column})) IN ({words})"]
     # RE2 knows ASCII words only; the classes say the same of all scripts.
@@ -155,7 +154,7 @@ def sql_edges(source: str, name: str, predicate: str = "predicate", noise: bool
 """
 
 
-def sql_paths(edges: str) -> str:
+def sql_paths(edges: str, hub_degree: int = P.HUB_DEGREE) -> str:
     """v_pairs, v_live (hubs suppressed) and v_paths (hypotheses before filters) over a CTE of edges."""
     ids = ", ".join(f"list_sort(list_distinct(flatten(list({c})))) AS {c}" for c in G.IDS)
     united = ", ".join(f"list_sort(list_distinct(list_concat(a.{c}, b.{c}))) AS {c}" for c in G.IDS)
@@ -165,7 +164,7 @@ v_pairs AS (
   FROM {edges} GROUP BY subject, object),
 v_degree AS (SELECT node, count(*) AS degree FROM (
   SELECT subject AS node FROM v_pairs UNION ALL SELECT object FROM v_pairs) GROUP BY node),
-v_hubs AS (SELECT node FROM v_degree WHERE degree > 25),
+v_hubs AS (SELECT node FROM v_degree WHERE degree > {hub_degree}),
 v_live AS (SELECT * FROM v_pairs WHERE subject NOT IN (SELECT node FROM v_hubs) AND object NOT IN (SELECT node FROM v_hubs)),
 v_paths AS (
   SELECT a.subject AS source, a.object AS mid, b.object AS target, list_concat(a.predicates, b.predicates) AS predicates,

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from papyra.functions.settings import Policy, PolicyError, job_settings, load_policy, policy_of
 from papyra.operators import decide as D
 from papyra.operators import graph as G
 from papyra.operators import intake as N
 from papyra.operators import ledger as L
+from papyra.operators import records as K
 from papyra.operators import semantic as S
 from papyra.sources import embeddings as E
 from papyra.sources import files
@@ -86,3 +88,45 @@ def test_decide_step(spark):
     got = {r["job_id"]: r["decision"] for r in N.decide_step(history, now).collect()}
     assert got == {1: "halt_no_hypothesis", 2: "insufficient_signal"}
     assert D.stage_after(F.lit("INGESTED")) is not None
+
+
+def test_policies_are_checked(spark, tmp_path):
+    assert policy_of({}) == Policy()
+    nested = {"algorithm": {"slicing": {"sentences_per_block": 2}, "domain_resolution": {"allowed_domains": ["law"]}}, "llm": {}}
+    p = policy_of(nested)
+    assert (p.sentences_per_block, p.allowed_domains, p.hub_degree) == (2, ("law",), 25)
+    (tmp_path / "p.json").write_text(json.dumps(nested))
+    assert load_policy(spark, str(tmp_path / "p.json")) == p
+    bad = [{"allowed_domains": []}, {"hub_degree": "many"}, {"min_confidence": 1.5}, {"merge_similarity": 2}, {"sentences_per_block": 0}, {"allowed_domains": [1]}, [], {"hub_degree": True}]
+    for values in bad:
+        with pytest.raises(PolicyError):
+            policy_of(values)
+    (tmp_path / "broken.json").write_text("{")
+    for name in ("broken.json", "none.json"):
+        with pytest.raises(PolicyError):
+            load_policy(spark, str(tmp_path / name))
+    job = job_settings({"graph_config": {"excluded_entities": ["x"]}, "legacy": 1})
+    assert job.excluded_entities == ("x",) and job.domain == "biomedical" and job_settings(None).seeds == ()
+    with pytest.raises(PolicyError):
+        job_settings({"domain": 3})
+
+
+def test_jobs_explore_under_their_settings(spark):
+    t = triples(spark, [("gene", "cell"), ("cell", "organ"), ("cell", "tissue"), ("organ", "body")])
+    ends = {(r["source"], r["target"]) for r in K.explore(t).collect()}
+    assert ends == {("gene", "organ"), ("gene", "tissue"), ("cell", "body")}
+    seeded = K.explore(t, job=job_settings({"seeds": ["body"]}))
+    assert [(r["source"], r["target"], r["mode"]) for r in seeded.collect()] == [("cell", "body", "query")]
+    assert K.explore(t, policy_of({"hub_degree": 2})).count() == 0
+    assert K.explore(t, job=job_settings({"excluded_entities": ["Cell"], "stoplist": ["organ"]})).count() == 0
+    assert {r["passed_filter"] for r in K.explore(t, policy_of({"min_confidence": 1})).collect()} == {True}
+
+
+def test_appended_rows(spark, tmp_path):
+    c = spark.createDataFrame([(1, None, "abc", None)], "job_id int, title string, abstract string, source string")
+    rows = K.paper_rows(c, 41).collect()
+    assert [(r["title"], r["source"], r["paper_id"]) for r in rows] == [("", "unknown", 42)]
+    for _ in range(2):
+        K.append(K.paper_rows(c), str(tmp_path / "papers"))
+    assert K.of_job(spark.read.parquet(str(tmp_path / "papers")), 1).count() == 2
+    assert K.job_status(spark.createDataFrame([(1, "NEW")], "job_id int, status string"), 2).count() == 0
