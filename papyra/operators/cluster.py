@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .components import connected_components
 from .scratch import Scratch
 
@@ -36,6 +37,7 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, n: int, more: list | No
 
 def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose cosine is over the threshold."""
+    ship(df.sparkSession)
     n = max(1, -(-df.count() // block_rows))
     b = _blocks(df, id_col, vector_col, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cells = b.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -55,6 +57,7 @@ def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector
 
 def nearest(queries: DataFrame, canon: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, nearest, similarity): each query's most similar canonical vector, if at least the threshold; ties go to the least id."""
+    ship(queries.sparkSession)
     n, m = max(1, -(-queries.count() // block_rows)), max(1, -(-canon.count() // block_rows))
     q = _blocks(queries, id_col, vector_col, n, [F.lit(0).alias("kind")]).select("id", "v", "kind", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("cb"))
     c = _blocks(canon, id_col, vector_col, m, [F.lit(1).alias("kind")]).select("id", "v", "kind", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb"), F.col("block").alias("cb"))

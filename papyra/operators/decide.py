@@ -9,6 +9,10 @@ from ..functions import policy as P
 from .reason import is_promising
 
 
+#: Rows of a job that one task sorts, and slices that a larger job is cut into at most.
+SLICE_ROWS, MOST_SLICES = 1_000_000, 512
+
+
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -241,21 +245,40 @@ def prompt_route(events: DataFrame) -> DataFrame:
     return events.join(exact, ["phase", "status"], "left").join(loose, "phase", "left").withColumn("prompt", F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
 
 
-def around(runs: DataFrame, decisions: DataFrame) -> DataFrame:
+def around(runs: DataFrame, decisions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each run with the last decision strictly before and the first strictly after it.
 
     runs: job_id, run_id, created_at; decisions: job_id, value, created_at. One sort of
-    the union; ties in time lie outside both.
+    the union; ties in time lie outside both. Where a job has more than ``slice_rows``
+    rows, jobs are cut into slices of time, so that no task sorts a large job whole: a
+    slice brings its last and first decision, and a run that finds none in its own slice
+    takes that of the nearest slice that has one.
     """
     d = decisions.select("job_id", "created_at", F.struct("created_at", "value").alias("d"), F.lit(None).cast("long").alias("run_id"))
     r = runs.select("job_id", "created_at", F.lit(None).cast(d.schema["d"].dataType).alias("d"), "run_id")
-    both = d.union(r)
+    both = d.union(r).withColumn("t", F.unix_micros(F.col("created_at").cast("timestamp")))
+    most = both.groupBy("job_id").count().agg(F.max("count")).first()[0] or 0
+    n = min(MOST_SLICES, -(-most // slice_rows))
+    bounds = []
+    if n > 1:
+        bounds = sorted(set(both.agg(F.percentile_approx("t", F.array(*(F.lit(i / n) for i in range(1, n))), 20 * n)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("t"))) if bounds else F.lit(0)
+    both = both.withColumn("slice", part)
     # Range frames end before the current time, so rows of equal time stay out.
-    t = F.unix_micros(F.col("created_at").cast("timestamp"))
-    along = Window.partitionBy("job_id").orderBy("t")
+    along = Window.partitionBy("job_id", "slice").orderBy("t")
     before = F.last("d", ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, -1))
     after = F.first("d", ignorenulls=True).over(along.rangeBetween(1, Window.unboundedFollowing))
-    return both.withColumn("t", t).withColumns({"before": before, "after": after}).where("run_id is not null").select(
+    out = both.withColumns({"before": before, "after": after}).where("run_id is not null")
+    if bounds:
+        ends = both.groupBy("job_id", "slice").agg(F.max_by("d", F.when(F.col("d").isNotNull(), F.col("t"))).alias("last"), F.min_by("d", F.when(F.col("d").isNotNull(), F.col("t"))).alias("first"))
+        order = Window.partitionBy("job_id").orderBy("slice")
+        carried = {
+            "earlier": F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "later": F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+        }
+        out = out.join(ends.withColumns(carried).drop("last", "first"), ["job_id", "slice"])
+        out = out.withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
+    return out.select(
         "job_id", "run_id", "created_at",
         F.col("before.created_at").alias("before_at"), F.col("before.value").alias("before_value"),
         F.col("after.created_at").alias("after_at"), F.col("after.value").alias("after_value"),

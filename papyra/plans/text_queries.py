@@ -37,7 +37,20 @@ def block_slicer(spark, sf):
     return I.slice_sources(V.read(spark, sf, "documents"), "doc_id")
 
 
-@REG.query()
+def _cut(sep: str) -> str:
+    """The last place over 0 at which sep stands whole in the first characters of rest; null if none."""
+    head = f"substr(rest, 1, {P.SPAN_CHARS})"
+    return f"nullif(greatest(CASE WHEN contains({head}, {sep}) THEN {P.SPAN_CHARS} - strpos(reverse({head}), {sep}) - length({sep}) + 1 ELSE 0 END, 0), 0)"
+
+
+@REG.query(
+    f"""WITH RECURSIVE s(doc_id, pos, span, rest) AS (
+  SELECT doc_id, -1, NULL::VARCHAR, text FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos + 1, CASE WHEN cut IS NULL THEN rest ELSE {V.sql_strip('substr(rest, 1, cut)')} END, CASE WHEN cut IS NOT NULL THEN {V.sql_strip('substr(rest, cut + 1)')} END
+  FROM (SELECT *, CASE WHEN length(rest) > {P.SPAN_CHARS} THEN coalesce({_cut("chr(10) || chr(10)")}, {_cut("chr(10)")}, {_cut("' '")}, {P.SPAN_CHARS}) END AS cut FROM s WHERE rest IS NOT NULL AND (pos < 0 OR rest <> '')))
+SELECT doc_id, pos::INTEGER AS pos, span FROM s WHERE pos >= 0"""
+)
 def span_split(spark, sf):
     docs = V.read(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(I.split_spans(F.col("text"))).alias("pos", "span"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 DIMS = 128
 PROVIDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
@@ -35,6 +37,7 @@ def hashed(texts: list[str]) -> np.ndarray:
 
 def embed(df: DataFrame, text_col: str, name: str = "hashed") -> DataFrame:
     """(text, embedding) of the distinct texts of a column; each is embedded once."""
+    ship(df.sparkSession)
     f = PROVIDERS[name]
 
     @F.pandas_udf("array<float>")

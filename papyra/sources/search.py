@@ -1,26 +1,27 @@
-"""A search service as a Spark data source, and the choice between services.
+"""Search services as a Spark data source, the choice between them, and stored answers.
 
-``spark.read.format("paper_search")`` runs one task a query. With ``folder`` it reads
-stored answers (one JSON file a query, named by the query's digest); with
-``endpoint`` it asks a service, waiting longer after each 429 and dropping the key
-once after a 403.
+``spark.read.format("paper_search")`` runs one task a query. It asks the given services
+in turn until one answers, waiting longer after each 429 and dropping the key once
+after a 403. ``stored`` reads answers kept as files (one JSON file a query, named by the
+query's digest) from any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..cluster import ship
+
 
 def query_file(query: str) -> str:
     return hashlib.sha256(query.encode()).hexdigest()[:24] + ".json"
@@ -55,21 +56,22 @@ class SearchReader(DataSourceReader):
     def partitions(self) -> list[QueryPartition]:
         return [QueryPartition(q) for q in json.loads(self.options["queries"])]
 
-    def read(self, partition: QueryPartition) -> Iterator[tuple[str, int, str]]:
-        folder = self.options.get("folder")
-        if folder:
-            path = os.path.join(folder, query_file(partition.query))
-            answer = {"data": []}
-            if os.path.exists(path):
-                with open(path) as f:
-                    answer = json.load(f)
-        else:
-            text = urllib.parse.urlencode({"query": partition.query, "limit": self.options.get("limit", "10")})
-            answer = fetch(
-                f"{self.options['endpoint']}?{text}", self.options.get("key"), float(self.options.get("timeout", 30)), int(self.options.get("retries", 3))
-            )
-        for i, record in enumerate(answer.get("data") or []):
-            yield partition.query, i, json.dumps(record)
+    def read(self, partition: QueryPartition) -> Iterator[tuple[str, int, str, str]]:
+        """The records of the first service that answers; if all fail, the last error fails the task."""
+        error = None
+        for service in json.loads(self.options["services"]):
+            text = urllib.parse.urlencode({"query": partition.query, "limit": service.get("limit", 10)})
+            try:
+                answer = fetch(f"{service['endpoint']}?{text}", service.get("key"), float(service.get("timeout", 30)), int(service.get("retries", 3)))
+                records = [json.dumps(r) for r in answer.get("data") or []]
+            except Exception as e:  # any error of a service means: try the next one
+                error = e
+                continue
+            for i, record in enumerate(records):
+                yield partition.query, i, record, service["name"]
+            return
+        if error is not None:
+            raise error
 
 
 class PaperSearch(DataSource):
@@ -78,33 +80,35 @@ class PaperSearch(DataSource):
         return "paper_search"
 
     def schema(self) -> str:
-        return "query string, position int, record string"
+        return "query string, position int, record string, service string"
 
     def reader(self, schema) -> SearchReader:
         return SearchReader(self.options)
 
 
-def search(spark: SparkSession, queries: list[str], **options: str) -> DataFrame:
-    """Raw records of all queries."""
-    spark.dataSource.register(PaperSearch)
-    return spark.read.format("paper_search").options(queries=json.dumps(queries), **options).load()
+def services_of(domain: str | None, order: dict[str, list[str]], services: dict[str, dict]) -> list[dict]:
+    """The settings of a domain's services (else of ``default``), in order, each with its name; unknown names are left out."""
+    names = order.get(domain) or order.get("default") or []
+    return [{**services[name], "name": name} for name in names if name in services]
 
 
-def first_success(domain: str | None, order: dict[str, list[str]], providers: dict[str, Callable]) -> tuple[DataFrame | None, str]:
-    """The result and name of the first provider of the domain (else of ``default``) that answers.
+def search(spark: SparkSession, queries: list[str], services: list[dict]) -> DataFrame:
+    """(query, position, record, service): raw records of all queries.
 
-    Without providers the result is (None, "none"); if all fail, the last error is raised.
+    services: settings of each (name, endpoint, key, timeout, retries, limit), the first
+    that answers a query serves it. Without services, as without answers, there are no rows.
     """
-    names = order.get(domain) or order.get("default") or []
-    error = None
-    for name in names:
-        try:
-            return providers[name](), name
-        except Exception as e:  # any provider error means: try the next one
-            error = e
-    if error is not None:
-        raise error
-    return None, "none"
+    ship(spark)
+    spark.dataSource.register(PaperSearch)
+    return spark.read.format("paper_search").options(queries=json.dumps(queries), services=json.dumps(services)).load()
+
+
+def stored(spark: SparkSession, queries: DataFrame, folder: str) -> DataFrame:
+    """(query, position, record) of queries whose answers are kept as files under a folder."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    name = F.concat(F.substring(F.sha2(F.col("query"), 256), 1, 24), F.lit(".json"))
+    found = queries.select("query").distinct().withColumn("file", name).join(files, "file")
+    return found.select("query", F.posexplode(F.from_json("value", "data array<string>")["data"]).alias("position", "record"))
 
 
 def batch_of(records: DataFrame, size: int) -> DataFrame:

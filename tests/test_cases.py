@@ -110,6 +110,22 @@ def test_worked_measurements(spark):
     assert D.rejection_reasons(h).first()["reason"] == "low_confidence"
 
 
+def test_as_of_over_slices_equals_one_sort(spark):
+    rng = np.random.default_rng(6)
+    runs = [(int(j), i, int(t)) for i, (j, t) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 90, 300), strict=True))]
+    decisions = [(int(j), float(i), int(t)) for i, (j, t) in enumerate(zip(rng.integers(0, 2, 40), rng.permutation(90)[:40], strict=True))]
+    seconds = F.timestamp_seconds("t").alias("created_at")
+    r = spark.createDataFrame(runs, "job_id int, run_id long, t long").select("job_id", "run_id", seconds)
+    d = spark.createDataFrame(decisions, "job_id int, value double, t long").select("job_id", "value", seconds)
+    want = {}
+    for j, i, t in runs:
+        own = sorted((x, v) for k, v, x in decisions if k == j)
+        want[i] = (next((v for x, v in reversed(own) if x < t), None), next((v for x, v in own if x > t), None))
+    for rows in (10, 1000):
+        got = D.around(r, d, slice_rows=rows).collect()
+        assert {x["run_id"]: (x["before_value"], x["after_value"]) for x in got} == want
+
+
 def test_filters(spark):
     rows = [(1, "a", "c", ["a", "b", "c"], 1, None, None, ["causes"]), (1, "a", "d", ["a", "b", "d"], 2, None, None, ["causes"]), (1, "a", "e", ["a", "b", "e"], 9, None, None, ["Mentions", "about"])]
     got = {r["target"]: r for r in R.filter_hypotheses(hyp(spark, rows)).collect()}

@@ -1,6 +1,8 @@
 """Sources, providers and whole-graph consolidation."""
 
+import http.server
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -21,21 +23,47 @@ from papyra.sources import search as X
 def test_stored_search(spark, tmp_path):
     for q, titles in {"a b": ["One", "Two"], "c": []}.items():
         (tmp_path / X.query_file(q)).write_text(json.dumps({"data": [{"title": t} for t in titles]}))
-    raw = X.search(spark, ["a b", "c", "missing"], folder=str(tmp_path))
+    queries = spark.createDataFrame([("a b",), ("c",), ("missing",), ("a b",)], "query string")
+    raw = X.stored(spark, queries, str(tmp_path))
+    assert raw.count() == 2
     got = X.batch_of(raw, 1).select("query", L.paper_record(F.col("record")).alias("p")).collect()
     assert [(r["query"], r["p"]["title"]) for r in got] == [("a b", "One")]
 
 
-def test_first_success():
-    def bad():
-        raise RuntimeError("down")
+class Service(http.server.BaseHTTPRequestHandler):
+    """Fails on paths of /bad, answers 429 once on /busy, wants no key on /open."""
 
-    order = {"default": ["x", "y"], "bio": ["y"]}
-    assert X.first_success("bio", order, {"y": lambda: 1}) == (1, "y")
-    assert X.first_success("other", order, {"x": bad, "y": lambda: 2}) == (2, "y")
-    assert X.first_success(None, {}, {}) == (None, "none")
-    with pytest.raises(RuntimeError):
-        X.first_success(None, order, {"x": bad, "y": bad})
+    seen = []
+
+    def do_GET(self):
+        path, query = self.path.split("?")
+        busy = path == "/busy" and path not in self.seen
+        self.seen.append(path)
+        code = 500 if path == "/bad" else 429 if busy else 403 if path == "/open" and self.headers.get("x-api-key") else 200
+        self.send_response(code)
+        self.end_headers()
+        if code == 200:
+            self.wfile.write(json.dumps({"data": [{"title": f"{path} {query}"}]}).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_the_next_service_answers_where_one_fails(spark, monkeypatch):
+    monkeypatch.setattr(X.time, "sleep", lambda s: None)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    services = {"a": {"endpoint": f"{at}/bad", "retries": 0}, "b": {"endpoint": f"{at}/good"}, "o": {"endpoint": f"{at}/open", "key": "k"}, "dead": {"endpoint": "http://127.0.0.1:1/x", "timeout": 1}}
+    order = {"default": ["dead", "a", "b"], "bio": ["o", "unknown"], "worst": ["a", "dead"]}
+    got = X.search(spark, ["x", "y z"], X.services_of("other", order, services)).collect()
+    assert sorted((r["query"], r["service"]) for r in got) == [("x", "b"), ("y z", "b")] and "/good query=" in got[0]["record"]
+    assert X.search(spark, ["x"], X.services_of("bio", order, services)).first()["service"] == "o"
+    assert X.search(spark, ["x"], X.services_of(None, {}, services)).count() == 0
+    with pytest.raises(Exception, match="refused|500"):
+        X.search(spark, ["x"], X.services_of("worst", order, services)).collect()
+    assert X.fetch(f"{at}/busy?q", None, 5, 1, wait=0.0)["data"]
+    server.shutdown()
 
 
 def test_pages_fall_back_without_regions(spark):
@@ -125,7 +153,7 @@ def test_jobs_explore_under_their_settings(spark):
 def test_appended_rows(spark, tmp_path):
     c = spark.createDataFrame([(1, None, "abc", None)], "job_id int, title string, abstract string, source string")
     rows = K.paper_rows(c, 41).collect()
-    assert [(r["title"], r["source"], r["paper_id"]) for r in rows] == [("", "unknown", 42)]
+    assert [(r["title"], r["source"], r["paper_id"] > 41) for r in rows] == [("", "unknown", True)]
     for _ in range(2):
         K.append(K.paper_rows(c), str(tmp_path / "papers"))
     assert K.of_job(spark.read.parquet(str(tmp_path / "papers")), 1).count() == 2
