@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .codepoints import LETTER, NUMBER, chunks, class_table, mix64, runs, span_hashes
 
 #: Cells of each of the three subtables of a fingerprint, and the factor of each retry.
@@ -211,6 +212,7 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Append the fingerprint of each whole text (null: empty). Narrow; equal texts have equal fingerprints."""
+    ship(df.sparkSession)
     df = df.drop(out_col)
     names = df.columns
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
@@ -253,6 +255,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text; rows that repeat an id and a text whole stream through one task.
     """
     spark = df.sparkSession
+    ship(spark)
     docs = df.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"),
@@ -337,6 +340,7 @@ def version_difference(df: DataFrame, old_col: str, new_col: str) -> DataFrame:
     versions are empty; equal versions differ in nothing. Columns named removed or
     added are replaced. Narrow: no shuffle.
     """
+    ship(df.sparkSession)
     df = df.drop("removed", "added")
     names = df.columns
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)

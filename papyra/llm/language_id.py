@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .codepoints import LETTER, Chunk, chunks, class_table, lower_table
 
 DIMS = 1 << 12
@@ -141,6 +142,7 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
     ``sample_per_language``: a first cut by hash keeps about twice as many, so the
     window that bounds it exactly never sees a large language whole.
     """
+    ship(train.sparkSession)
     known = train.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     machines = _machines(sorted(counts))
@@ -250,6 +252,7 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     ``und``, 0 and minus infinity. Columns of the same names are replaced; others pass
     through.
     """
+    ship(df.sparkSession)
     df = df.drop("lang_pred", "score", "nearness")
     names = df.columns
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 LEAF_ROWS = 128
 #: Rows that a shard holds at least (where there are as many), and bytes of its vectors about at most.
 LEAST_ROWS, SHARD_BYTES = 256, 64 << 20
@@ -123,6 +125,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     task holds one shard, about ``SHARD_BYTES`` of vectors and as much for its tree.
     """
     spark = df.sparkSession
+    ship(spark)
     vectors = quantised(df, id_col, vector_col)
     queries = quantised(df.where(is_query), id_col, vector_col).distinct()
     n, numbers = vectors.agg(F.count("*"), F.sum(F.col("dim").cast("long"))).first()
