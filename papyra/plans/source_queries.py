@@ -96,10 +96,18 @@ def _concepts(spark, sf):
     return e, V.written(E.embed(G.nodes_of(e), "node"), "vectors")
 
 
-@REG.query()
+# The provider's hash of three characters, modulo 2^64: its upper 7 bits are the place, bit 20 the sign.
+@REG.query(
+    f"""WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'e')}, n AS (SELECT DISTINCT unnest([subject, object]) AS node FROM e),
+p AS (SELECT node, '  ' || lower(trim(node)) || ' ' AS p FROM n), i AS (SELECT node, p, unnest(range(1, length(p) - 1)) AS i FROM p),
+h AS (SELECT node, ((unicode(substr(p, i, 1))::HUGEINT * 1000003 + unicode(substr(p, i + 1, 1))) * 1000003 + unicode(substr(p, i + 2, 1))) * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT AS h FROM i),
+s AS (SELECT node, (h // 144115188075855872)::INTEGER AS place, sum(CASE WHEN (h // 1048576) % 2 = 1 THEN 1 ELSE -1 END) AS s FROM h GROUP BY ALL HAVING s <> 0)
+SELECT node AS text, place, round(s / sqrt(sum(s * s) OVER (PARTITION BY node)), 5)::DOUBLE AS value FROM s"""
+)
 def hashed_embeddings(spark, sf):
     _, v = _concepts(spark, sf)
-    return v.select("text", F.size("embedding").alias("dims"))
+    places = v.select("text", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return places.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @REG.query()
