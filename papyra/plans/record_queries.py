@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..functions import text as T
 from ..functions.settings import job_settings, policy_of
 from ..operators import decide as D
 from ..operators import ingest as I
@@ -84,15 +85,15 @@ def zero_measurements(spark, sf):
 
 
 @REG.query(
-    f"""WITH {V.SQL_TRIPLES}, c AS (SELECT DISTINCT job_id % 2 AS job_id, subject AS s, object AS o FROM v_triples WHERE job_id < 3), p AS (SELECT DISTINCT job_id, subject AS s, object AS o FROM v_triples WHERE job_id = 0 AND triple_id % 2 = 0),
-x AS (SELECT job_id, count(*) AS n FROM p GROUP BY job_id), b AS (SELECT p.job_id, count(*) AS n FROM p JOIN c ON c.job_id = p.job_id AND c.s = p.s AND c.o = p.o GROUP BY p.job_id), j AS (SELECT unnest([0, 1, 2]) AS job_id)
-SELECT j.job_id, round(CASE WHEN x.n IS NOT NULL THEN coalesce(b.n, 0) / x.n WHEN j.job_id IN (SELECT job_id FROM c) THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS hypothesis_stability
-FROM j LEFT JOIN x USING (job_id) LEFT JOIN b USING (job_id)"""
+    f"""WITH {V.SQL_TRIPLES}, p AS (SELECT DISTINCT job_id, subject AS s, object AS o FROM v_triples), c AS (SELECT * FROM p WHERE NOT {V.sql_noise('s')} AND NOT {V.sql_noise('o')}),
+x AS (SELECT job_id, count(*) AS n FROM p GROUP BY job_id), b AS (SELECT job_id, count(*) AS n FROM c GROUP BY job_id), j AS (SELECT unnest([0, 1, 2, 3, 9]) AS job_id)
+SELECT job_id, round(coalesce(b.n / x.n, 0.0), 6)::DOUBLE AS hypothesis_stability FROM j LEFT JOIN x USING (job_id) LEFT JOIN b USING (job_id)"""
 )
 def hypothesis_stability(spark, sf):
-    t = V.triples(spark, sf).select("job_id", "triple_id", F.col("subject").alias("source"), F.col("object").alias("target"))
-    now, before = t.where("job_id < 3").withColumn("job_id", F.col("job_id") % 2), t.where("job_id = 0 and triple_id % 2 = 0")
-    jobs = spark.createDataFrame([(0,), (1,), (2,)], "job_id int")
+    """How much of each job's pairs is left when noise is gone; job 9 has none."""
+    before = V.triples(spark, sf).select("job_id", F.col("subject").alias("source"), F.col("object").alias("target"))
+    now = before.where(~T.is_noise(F.col("source")) & ~T.is_noise(F.col("target")))
+    jobs = spark.createDataFrame([(0,), (1,), (2,), (3,), (9,)], "job_id int")
     return D.stability(jobs, now, before).withColumn("hypothesis_stability", F.round("hypothesis_stability", 6))
 
 

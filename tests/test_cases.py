@@ -110,6 +110,16 @@ def test_worked_measurements(spark):
     assert D.rejection_reasons(h).first()["reason"] == "low_confidence"
 
 
+def test_stability(spark):
+    def pairs(rows):
+        return spark.createDataFrame(rows, "job_id int, source string, target string")
+
+    jobs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "job_id int")
+    before, now = pairs([(1, "a", "b"), (1, "a", "c"), (1, "a", "c"), (2, "x", "y")]), pairs([(1, "a", "b"), (1, "q", "r"), (3, "a", "b")])
+    got = {r["job_id"]: r["hypothesis_stability"] for r in D.stability(jobs, now, before).collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 1.0, 4: 0.0}
+
+
 def test_as_of_over_slices_equals_one_sort(spark):
     rng = np.random.default_rng(6)
     runs = [(int(j), i, int(t)) for i, (j, t) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 90, 300), strict=True))]
