@@ -89,6 +89,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # All pairs that share a shingle, counted; their links closed to classes.
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT r, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+     s AS (SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE ['raw: ' || text] END) AS g FROM w),
+     g AS (SELECT DISTINCT r, g FROM s),
+     n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+     p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+     l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+     e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+     c(u, x) AS (SELECT r, r FROM d UNION SELECT c.u, e.v FROM c JOIN e ON e.u = c.x),
+     k AS (SELECT c.u AS r, min(d.doc_id) AS class_id FROM c JOIN d ON d.r = c.x GROUP BY c.u),
+     m AS (SELECT u AS r, count(*) AS n FROM e GROUP BY u)
+SELECT d.doc_id, k.class_id, coalesce(m.n, 0)::BIGINT AS n_links FROM d JOIN k USING (r) LEFT JOIN m USING (r)
+""",
     "op4_url_filter": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
      h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
