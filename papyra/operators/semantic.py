@@ -11,7 +11,8 @@ from .scratch import Scratch
 
 
 def _numbered(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.xxhash64("text").alias("id"), "text", "embedding")
+    """Vectors with ids that follow the order of the texts, so ties go to the lesser text; to be written before use."""
+    return vectors.select("text", "embedding").orderBy("text").select(F.monotonically_increasing_id().alias("id"), "text", "embedding")
 
 
 def merge(edges: DataFrame, vectors: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
