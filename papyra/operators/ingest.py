@@ -157,5 +157,6 @@ def pipeline_metrics(sources: DataFrame, blocks: DataFrame, triples: DataFrame)
     b = blocks.join(owner, "source_id").groupBy("job_id").agg(F.count("*").alias("blocks"))
     t = triples.select(F.col("ingestion_source_id").alias("source_id")).join(owner, "source_id").groupBy("job_id").agg(F.count("*").alias("triples"))
     out = s.join(b, "job_id", "left").join(t, "job_id", "left").fillna(0, ["blocks", "triples"])
-    ratio = F.when(F.col("blocks") > 0, F.round(F.col("triples") / F.col("blocks"), 2)).otherwise(0.0)
+    # Rounded as binary numbers are: 2.385, which lies just below, gives 2.38.
+    ratio = F.when(F.col("blocks") > 0, F.round(F.col("triples") / F.col("blocks") * 100) / 100).otherwise(0.0)
     return out.withColumn("triples_per_block", ratio)
