@@ -27,6 +27,9 @@ NEAR = 2
 #: Share of a template's indexed k-grams that a span must hold.
 COVERAGE = 0.6
 
+#: Templates of more k-grams in all are joined by shuffle instead of a broadcast.
+BROADCAST_GRAMS = 200_000
+
 #: Phrases whose every place counts (fixed by the contract), by label.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -95,9 +98,9 @@ def words_of(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, base: dict[str, str], templates: dict[str, str], gram: int) -> DataFrame:
-    """(hash, label, is_base, place, grams, w0..): one row an indexed k-gram of a template.
+    """(hash, label, is_base, place, grams, gram): one row an indexed k-gram of a template.
 
-    Its size is fixed by the templates given (tens of words each), so it is broadcast.
+    Broadcast up to ``BROADCAST_GRAMS`` rows.
     """
     rows = []
     for is_base, group in ((True, base), (False, templates)):
@@ -108,9 +111,10 @@ def template_grams(spark: SparkSession, base: dict[str, str], templates: dict[st
             at = [i for i in range(len(w) - gram + 1) if is_base or not COMMON.issuperset(w[i : i + gram])]
             rows += [(label, is_base, i, len(at), w[i : i + gram]) for i in at]
     table = spark.createDataFrame(rows, "label string, is_base boolean, place int, grams int, gram array<string>")
-    return table.select(
+    table = table.select(
         F.xxhash64(*(F.col("gram")[k] for k in range(gram))).alias("hash"), "label", "is_base", "place", "grams", "gram"
     )
+    return F.broadcast(table) if len(rows) <= BROADCAST_GRAMS else table
 
 
 def phrase_places(hits: list[tuple[int, int]], grams: int) -> list[tuple[int, int, int]]:
@@ -170,7 +174,7 @@ def scan(
     them apart). Other columns are not read.
     """
     spark = df.sparkSession
-    grams = F.broadcast(template_grams(spark, base, templates, gram))
+    grams = template_grams(spark, base, templates, gram)
     docs = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")
     )

@@ -22,6 +22,8 @@ UNITS_PER_SHARD = 64
 #: Shares of a shard above which a group is split, tried in this order; the spread of sizes
 #: (over their mean) with which a try is good enough, and the one aimed at.
 LIMITS, SPREAD, AIM = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625), 0.05, 0.005
+#: Plans of more units and places are joined by shuffle instead of a broadcast.
+BROADCAST_UNITS = 200_000
 #: Rows of one ordering group of a shard, and such groups of a shard at most.
 SLOT_ROWS, SLOT_GROUPS = 2000, 4096
 EXTRA_BYTES = 8
@@ -130,12 +132,14 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
         [(r["heavy"], r["unit"], where[e - p : e].tolist()) for r, p, e in zip(summed, pieces, ends, strict=True)],
         "heavy boolean, unit long, places array<int>",
     )
+    if len(summed) + int(pieces.sum()) <= BROADCAST_UNITS:
+        plan = F.broadcast(plan)
     alone = plan.where("heavy").select(F.col("unit").alias("group"), F.col("places").alias("own"))
     bundled = plan.where("not heavy").select(F.col("unit").alias("bundle"), F.col("places").alias("shared"))
     placed = (
         rows.withColumn("bundle", light)
-        .join(F.broadcast(alone), "group", "left")
-        .join(F.broadcast(bundled), "bundle", "left")
+        .join(alone, "group", "left")
+        .join(bundled, "bundle", "left")
         .withColumn("places", F.coalesce("own", "shared"))
     )
     # Rows of a split group are dealt in turn within each part of the input that they came from.
@@ -155,7 +159,7 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
     within = Window.partitionBy("shard", "part").orderBy("id", "crc", "row")
     return (
         assigned.withColumn("nth", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), ["shard", "part"])
+        .join(F.broadcast(offsets) if shards * parts <= BROADCAST_UNITS else offsets, ["shard", "part"])
         .select(
             F.col("id").alias(id_col),
             "size",

@@ -63,6 +63,13 @@ def test_long_templates_drift_and_partial(spark):
     assert got[1]["score"] == 1.0 and got[2]["score"] < 1.0 and got[5]["score"] == 0.0
 
 
+def test_many_templates_are_joined_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x " + S.TEMPLATES["isc-text"]), (2, "mit license")], "doc_id long, text string")
+    want = sorted(map(tuple, S.license_report(df).collect()))
+    monkeypatch.setattr(S, "BROADCAST_GRAMS", 1)
+    assert sorted(map(tuple, S.license_report(df).collect())) == want
+
+
 def test_edges(edge_docs, empty_docs):
     got = S.license_report(edge_docs).collect()
     assert len(got) == edge_docs.count()
