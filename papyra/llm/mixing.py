@@ -22,6 +22,8 @@ TEMPER = 0.5
 KEEP = 0.5
 #: Rounds of raking at most, rounds of one plan, and the relative miss of a marginal that counts as met.
 ROUNDS, PER_PLAN, TOLERANCE = 120, 10, 1e-7
+#: The rounds of a plan that leave more than this share of the miss have stalled.
+STALLED = 0.999
 #: Up to so many cells are raked in one task without a shuffle, more by shuffles.
 ONE_TASK_CELLS = 20_000
 
@@ -57,8 +59,9 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
 
     Rounds go on until every marginal is within ``TOLERANCE`` of its target. Targets that
     contradict each other (a category lives only in cells of others) have no solution;
-    the rounds then end after ``ROUNDS`` at the last dimension's marginals, and a warning
-    says so. Column off is the relative miss of the cell's worst marginal.
+    the rounds then end at the last dimension's marginals once the others come no nearer
+    (or after ``ROUNDS``), and a warning says so. Column off is the relative miss of the
+    cell's worst marginal.
     """
     n = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
     total = float(n["tokens"] or 0)
@@ -66,7 +69,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
     for dim, goal in zip(DIMENSIONS, goals, strict=True):
         cells = cells.join(goal, dim)
     cells = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(0, ROUNDS, PER_PLAN):
+    before = None
+    for done in range(PER_PLAN, ROUNDS + PER_PLAN, PER_PLAN):
         step = cells.coalesce(1) if n["n"] <= ONE_TASK_CELLS else cells
         start = step.drop("off")
         for _ in range(PER_PLAN):
@@ -81,7 +85,10 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
         gap = cells.agg(F.max("off")).first()[0]
         if gap is None or gap < TOLERANCE:
             return cells
-    warnings.warn(f"targets are not met: a marginal is off by {gap:.2g} of its target after {ROUNDS} rounds", stacklevel=2)
+        if before is not None and gap > STALLED * before:
+            break
+        before = gap
+    warnings.warn(f"targets are not met: a marginal is off by {gap:.2g} of its target after {done} rounds", stacklevel=2)
     return cells
 
 
