@@ -165,10 +165,11 @@ def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     keep = shared[column]
     row, col = owner[keep], place[column[keep]]
     out = np.zeros((n, n), np.float32)
-    width = max(256, (1 << 22) // max(n, 1))
+    columns = int(shared.sum())
+    width = min(max(256, (1 << 22) // max(n, 1)), max(columns, 1))
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for lo in range(0, int(shared.sum()), width):
+    for lo in range(0, columns, width):
         a, b = np.searchsorted(col, (lo, lo + width))
         block = np.zeros((n, width), np.float32)
         block[row[a:b], col[a:b] - lo] = 1
