@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import random
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,71 +36,94 @@ BLOCK_ITEMS, ISLANDS, POPULATION, CHILDREN, EPOCHS = 1024, 3, 6, 16, 2
 #: A level that settles less than this share of its pieces is the last.
 SETTLED = 0.05
 
-#: Chunks kept in a Python worker, and the longest kept; characters tokenised at a time.
-CACHE_ENTRIES, LONG_CHUNK, BATCH_CHARS = 400_000, 40, 1 << 21
-#: A private-use character that parts the chunks of one call.
-_MARK = "\ue000"
-_GAPS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+#: Chunks of a generation kept in a Python worker, and the longest kept.
+CACHE_ENTRIES, LONG_CHUNK = 500_000, 40
+#: Characters from which a text is cut into chunks bit by bit; bytes of ids that leave a worker at a time.
+LONG_TEXT, BATCH_BYTES = 1 << 21, 1 << 22
+_GAPS, _MARKS = "\t\n\r\x0b\x0c", ".,;:!?"
 
 
-class Chunks:
-    """Token ids of texts, chunk by chunk.
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself if printable, else the next from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+class Chunks(dict):
+    """Token ids of chunks, as little-endian unsigned 32-bit numbers, found when first asked for.
 
     A chunk is what lies between blanks, which no token of a tokenizer that drops white
-    space spans, so a text's ids are those of its chunks. Chunks seen before are taken
-    from a cache; the new ones of many texts go to the tokenizer in one call, a mark
-    between every two.
+    space spans, so a text's ids are those of its chunks, and most chunks were seen
+    before. A new chunk of code points below 0x300, which need no normalisation but lower
+    case, is split as the tokenizer splits and its words go to the tokenizer's model; any
+    other goes to the whole tokenizer.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.mark = np.array(self._encode(_MARK), np.uint32)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, new: list[str]) -> dict[str, list[int]]:
-        out = {c: self._encode(c) for c in new if _MARK in c}
-        rest = [c for c in new if _MARK not in c]
-        if rest:
-            ids = np.array(self._encode(f" {_MARK} ".join(rest)), np.uint32)
-            k = len(self.mark)
-            at = np.ones(max(len(ids) - k + 1, 0), bool)
-            for i in range(k):
-                at &= ids[i : len(at) + i] == self.mark[i]
-            ends = [*np.flatnonzero(at).tolist(), len(ids)]
-            if len(ends) != len(rest):
-                raise ValueError("the tokenizer does not keep chunks apart")
-            flat, begin = ids.tolist(), 0
-            for c, end in zip(rest, ends, strict=True):
-                out[c] = flat[begin:end]
-                begin = end + k
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; null and empty texts have none."""
-        split = [(t or "").translate(_GAPS).split(" ") if t and len(t) < BATCH_CHARS else list(_cut(t or "")) for t in texts]
-        wanted = set(itertools.chain.from_iterable(split))
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        fresh = self.learn([c for c in wanted if c not in self.known])
-        own = {c: ids for c, ids in fresh.items() if len(c) > LONG_CHUNK}
-        self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONG_CHUNK)
-        look = self.known.__getitem__ if not own else lambda c: own[c] if c in own else self.known[c]
-        return [np.fromiter(itertools.chain.from_iterable(map(look, chunks)), np.uint32) for chunks in split]
+        self.model, self.symbols = self.tokenizer.model, _byte_symbols()
+        parts = json.loads(spec)["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            if chunk.isascii() or (max(chunk) < "\u0300" and "\u0130" not in chunk):
+                low = chunk.lower()
+                # Most chunks are a word, or one and a mark; the split pattern makes the same of them.
+                if low.isalpha():
+                    found = self.words.get(low) or self._word(low)
+                elif low[:-1].isalpha() and low[-1] in _MARKS:
+                    found = (self.words.get(low[:-1]) or self._word(low[:-1])) + (self.words.get(low[-1]) or self._word(low[-1]))
+                else:
+                    found = b"".join([self.words.get(w) or self._word(w) for w in self.split(low)])
+            else:
+                found = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        symbols = word if word.isascii() and word.isalnum() else "".join([self.symbols[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONG_CHUNK:
+            if len(self.words) >= CACHE_ENTRIES:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; null and empty texts have none."""
+        if not text:
+            return b""
+        if len(self) > CACHE_ENTRIES:
+            # Two generations, so that what is in use stays when the cache is full.
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, _blank(text).split(" ") if len(text) < LONG_TEXT else _cut(text)))
+
+
+def _blank(text: str) -> str:
+    for gap in _GAPS:
+        text = text.replace(gap, " ")
+    return text
 
 
 def _cut(text: str) -> Iterator[str]:
     """Chunks of a very long text without a copy of it."""
     at = 0
     while at < len(text):
-        end = text.find(" ", at + BATCH_CHARS)
+        end = text.find(" ", at + LONG_TEXT)
         end = len(text) if end < 0 else end
-        yield from text[at:end].translate(_GAPS).split(" ")
+        yield from _blank(text[at:end]).split(" ")
         at = end
 
 
@@ -107,19 +132,6 @@ def _chunks(spec: str) -> Chunks:
     return Chunks(spec)
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``BATCH_CHARS`` characters."""
-    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-    first, held = 0, 0
-    for i, n in enumerate(lengths.tolist()):
-        if held and held + n > BATCH_CHARS:
-            yield first, i
-            first, held = i, 0
-        held += n
-    if first < len(lengths):
-        yield first, len(lengths)
-
-
 def token_pieces(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -136,16 +148,18 @@ def token_pieces(
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(spec)
+        chunks, end = _chunks(spec), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1)
-            for first, stop in _groups(texts):
-                rows, piece, start, length, ids = [], [], [], [], []
-                for row, tokens in enumerate(chunks.encode(texts.slice(first, stop - first).to_pylist()), first):
-                    raw = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(raw), capacity)):
-                        part = raw[at : at + capacity]
-                        rows.append(row), piece.append(k), start.append(at), length.append(len(part)), ids.append(part.tobytes())
+            texts, first = batch.column(1), 0
+            while first < len(texts):
+                rows, piece, start, length, ids, held = [], [], [], [], [], 0
+                while first < len(texts) and held < BATCH_BYTES:
+                    raw = chunks.encode(texts[first].as_py()) + end
+                    for k, at in enumerate(range(0, len(raw) // 4, capacity)):
+                        part = raw[4 * at : 4 * (at + capacity)]
+                        rows.append(first), piece.append(k), start.append(at), length.append(len(part) // 4), ids.append(part)
+                    held += len(raw)
+                    first += 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(ids, pa.binary())],

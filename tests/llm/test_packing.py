@@ -12,10 +12,18 @@ from papyra.llm import packing, queries
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+with open(PATH, encoding="utf-8") as f:
+    SPEC = f.read()
+TOKENIZER = Tokenizer.from_str(SPEC)
+TOKENIZER.encode_special_tokens = True
+
+
+def ids_of(texts, chunks=None):
+    return [np.frombuffer(x, "<u4").tolist() for x in map((chunks or packing.Chunks(SPEC)).encode, texts)]
+
+
 def plain_ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(rows, docs, capacity=4096):
@@ -71,22 +79,23 @@ TEXTS = [
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_chunks_are_the_tokenizers(text):
-    got = packing.Chunks(open(PATH, encoding="utf-8").read()).encode([text, None, text])
-    assert got[0].tolist() + [1] == plain_ids(text) == got[2].tolist() + [1] and got[1].tolist() == []
+    got = ids_of([text, None, text])
+    assert got[0] + [1] == plain_ids(text) == got[2] + [1] and got[1] == []
 
 
-def test_random_code_points():
+def test_random_code_points(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 100)
     rng = random.Random(4)
-    chunks = packing.Chunks(open(PATH, encoding="utf-8").read())
+    chunks = packing.Chunks(SPEC)
     for _ in range(300):
         text = "".join(chr(c) for c in (rng.choice((32, 32, 10, rng.randrange(128), rng.randrange(0x800), rng.randrange(0x2000, 0x3100), rng.randrange(0x110000))) for _ in range(40)) if not 0xD800 <= c < 0xE000)
-        assert chunks.encode([text])[0].tolist() + [1] == plain_ids(text)
+        assert ids_of([text], chunks)[0] + [1] == plain_ids(text)
 
 
 def test_long_texts_are_cut_at_blanks(monkeypatch):
-    monkeypatch.setattr(packing, "BATCH_CHARS", 50)
+    monkeypatch.setattr(packing, "LONG_TEXT", 50)
     text = " ".join(f"word{i}" for i in range(200)) + " " + "y" * 300 + "\nend"
-    assert packing.Chunks(open(PATH, encoding="utf-8").read()).encode([text])[0].tolist() + [1] == plain_ids(text)
+    assert ids_of([text])[0] + [1] == plain_ids(text)
 
 
 def test_crossing_keeps_every_piece_once():
