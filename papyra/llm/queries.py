@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, fingerprints, language_id, license_scan, mixing, near_duplicates, packing, quality, sharding, topk, url_filter
+from . import bpe, fingerprints, language_id, lexical, license_scan, merkle, mixing, near_duplicates, packing, quality, sharding, topk, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,6 +81,14 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -93,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
     "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,6 +121,52 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, ''
      k AS (SELECT c.u AS r, min(d.doc_id) AS class_id FROM c JOIN d ON d.r = c.x GROUP BY c.u),
      m AS (SELECT u AS r, count(*) AS n FROM e GROUP BY u)
 SELECT d.doc_id, k.class_id, coalesce(m.n, 0)::BIGINT AS n_links FROM d JOIN k USING (r) LEFT JOIN m USING (r)
+""",
+    # Levels of all trees one after another; a proof's siblings by their coordinates.
+    "op12_merkle": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS g, source, lang, n_chars, text FROM documents),
+     f AS (SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                  || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM d),
+     x AS (SELECT r, doc_id, g, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                  CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS more, head, tail FROM (
+           SELECT *, coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT), 1) AS crc FROM f)),
+     l AS (SELECT r, doc_id, g, leaf, sha256(head || coalesce(length(more::VARCHAR) || ':' || more, '-') || tail) AS bad,
+                  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM x),
+     t(g, level, pos, h, n) AS (
+       SELECT g, 0, pos, leaf, n FROM l
+       UNION ALL
+       SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY g, level, pos // 2),
+     s AS (SELECT g, h, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+     u(level, pos, h, n) AS (
+       SELECT 0, pos, h, n FROM s
+       UNION ALL
+       SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM u WHERE n > 1 GROUP BY level, pos // 2),
+     a AS (SELECT g, level, pos, h, n FROM t WHERE n > 1 UNION ALL SELECT s.g, s.height + u.level, u.pos, u.h, u.n FROM s, u WHERE u.n > 1),
+     w(r, g, level, place, acc, sib, doc_id, leaf) AS (
+       SELECT r, g, 0, pos, bad, '', doc_id, leaf FROM l
+       UNION ALL
+       SELECT r, w.g, w.level + 1, CASE WHEN w.level + 1 = s.height THEN s.pos ELSE place // 2 END,
+              sha256(CASE WHEN o.h IS NULL THEN acc WHEN place % 2 = 1 THEN o.h || acc ELSE acc || o.h END), sib || coalesce(o.h, ''), doc_id, leaf
+       FROM (SELECT w.r, w.g, w.level, CASE WHEN w.level = s.height THEN s.pos ELSE w.place END AS place, w.acc, w.sib, w.doc_id, w.leaf FROM w JOIN s USING (g)) w
+       JOIN s USING (g) JOIN a k ON k.g = w.g AND k.level = w.level AND k.pos = w.place LEFT JOIN a o ON o.g = w.g AND o.level = w.level AND o.pos = xor(w.place, 1)),
+     z AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS last FROM w)
+SELECT z.doc_id, z.leaf, s.h AS subroot, p.h AS root, sha256(z.sib) AS proof_sha256, z.acc AS folded_root, z.acc = p.h AS verified
+FROM z JOIN s USING (g), (SELECT h FROM u WHERE n = 1) p WHERE z.last = 1
+""",
+    "op13_lexical": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     n AS (SELECT r, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+     c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+     q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+     p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM n) GROUP BY r, t),
+     f AS (SELECT t, floor(1000 * ln((2 * c.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, c.docs),
+     s AS (SELECT item_id, r, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n.n * c.docs) // c.l))))::BIGINT AS score
+           FROM q JOIN p USING (t) JOIN f USING (t) JOIN n USING (r), c GROUP BY item_id, r),
+     k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN n USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
 """,
     "op4_url_filter": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
