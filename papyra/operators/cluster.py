@@ -1,9 +1,10 @@
 """Similarity of vectors: pairs over a threshold, nearest neighbours, average linkage, scores.
 
-Vectors meet in a grid of blocks: each block is copied once to every other block's
-cell and a cell is one matrix product of bounded size, so no task and no group grows
-with the input and every pair is still looked at once. Average linkage works on the
-pairs that are near enough only; large components are linked by DataFrame rounds.
+Vectors are partitioned around pivots and visit only the cells that the triangle
+inequality allows a neighbour in (``pivots``). A cell is a grid of blocks and a task one
+matrix product of bounded size, so no task and no group grows with the input. Average
+linkage works on the pairs that are near enough only; large components are linked by
+DataFrame rounds.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from . import pivots
 from .components import connected_components
 from .scratch import Scratch
 
@@ -23,27 +25,52 @@ BLOCK_ROWS = 2048
 LINK_ROWS = 2048
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
 
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, n: int, more: list | None = None) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *(more or [])).where("v is not null").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    )
+def similarity_cells(df: DataFrame, threshold: float, scratch: Scratch, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, v, cell and guest of every visit: each vector in its own cell, and as a guest in those before it that may hold a pair.
+
+    Two vectors whose cosine is over the threshold meet in exactly one cell, that of the
+    lesser pivot of theirs. Vectors of length 0 are similar to nothing; over a threshold
+    of 0 or less, where angles bound nothing, all vectors stay in one cell.
+    """
+    rows = _vectors(df, id_col, vector_col)
+    if threshold > 0:
+        rows = rows.where(F.exists("v", lambda x: x != 0))
+    within = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    n = rows.count()
+    sample = pivots.sample_of(rows, n)
+    picked = pivots.choose(sample, n, within, block_rows) if len(sample) else np.zeros((1, 1))
+    if len(picked) == 1:
+        return rows.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("cell"), F.lit(False).alias("guest"))
+    held = scratch.write(pivots.assigned(rows, picked))
+    radius, _ = pivots.radii(held, len(picked))
+    guests = pivots.visits(held, picked, radius, within, only_lower=True, with_own=False)
+    return held.select("id", "v", "cell", F.lit(False).alias("guest")).union(guests.select("id", "v", "cell", F.lit(True).alias("guest")))
 
 
 def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b whose cosine is over the threshold."""
+    """(a, b, similarity) of all pairs a < b whose cosine is over the threshold.
+
+    A cell's vectors meet its guests and each other in a grid of blocks, so a task is one
+    matrix product of bounded size, however many vectors are alike.
+    """
     ship(df.sparkSession)
-    n = max(1, -(-df.count() // block_rows))
-    b = _blocks(df, id_col, vector_col, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = b.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    scratch = Scratch(df.sparkSession, "similar")
+    visits = scratch.write(similarity_cells(df, threshold, scratch, id_col, vector_col, block_rows))
+    count = visits.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("natives"), F.count_if("guest").alias("guests"))
+    width = [F.ceil(F.col(c) / F.lit(float(block_rows))).cast("int").alias(w) for c, w in (("natives", "nb"), ("guests", "gb"))]
+    sized = visits.join(count.where("natives > 0").select("cell", *width), "cell")
+    at = F.when(F.col("guest"), F.col("nb") + F.pmod(F.xxhash64("id"), F.greatest("gb", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).cast("int")
+    # Natives meet every block, guests the natives' blocks only.
+    others = F.sequence(F.lit(0), F.when(F.col("guest"), F.col("nb")).otherwise(F.col("nb") + F.col("gb")) - 1)
+    met = sized.withColumn("block", at).withColumn("other", F.explode(others))
+    met = met.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
 
     def cell(t: pa.Table) -> pa.Table:
-        ids, x, block = t.column("id").to_numpy(), _unit(t.column("v")), t.column("block").to_numpy()
+        ids, x, block = t.column("id").to_numpy(), pivots.unit(t.column("v")), t.column("block").to_numpy()
         left = block == t.column("lo")[0].as_py()
         right = block == t.column("hi")[0].as_py()
         s = x[left] @ x[right].T
@@ -52,18 +79,24 @@ def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector
         keep = p < q if (left == right).all() else p != q
         return pa.table({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "similarity": s[i, j][keep]})
 
-    return cells.drop("other").groupBy("lo", "hi").applyInArrow(cell, "a long, b long, similarity double")
+    return met.groupBy("cell", "lo", "hi").applyInArrow(cell, "a long, b long, similarity double")
 
 
-def nearest(queries: DataFrame, canon: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, nearest, similarity): each query's most similar canonical vector, if at least the threshold; ties go to the least id."""
-    ship(queries.sparkSession)
-    n, m = max(1, -(-queries.count() // block_rows)), max(1, -(-canon.count() // block_rows))
-    q = _blocks(queries, id_col, vector_col, n, [F.lit(0).alias("kind")]).select("id", "v", "kind", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("cb"))
-    c = _blocks(canon, id_col, vector_col, m, [F.lit(1).alias("kind")]).select("id", "v", "kind", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb"), F.col("block").alias("cb"))
+def _best_in_cells(asked: DataFrame, held: DataFrame, sizes: dict[int, int], floor: float, block_rows: int) -> DataFrame:
+    """id, nearest and similarity: the best of the vectors of each visited cell, in blocks.
+
+    asked and held: id, v, cell; sizes: rows of each cell of ``held`` (a row a pivot).
+    """
+    spark = asked.sparkSession
+    visits = asked.groupBy("cell").agg(F.count("*").alias("asked"))
+    rows = [(c, n) for c, n in sizes.items()]
+    count = spark.createDataFrame(rows, "cell int, n long").join(visits, "cell")
+    width = count.select("cell", F.ceil(F.col("n") / float(block_rows)).cast("int").alias("cb"), F.ceil(F.col("asked") / float(block_rows)).cast("int").alias("qb"))
+    q = asked.join(width, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("y"), F.lit(0).alias("kind"), "id", "v")
+    c = held.join(width, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("x"), F.pmod(F.xxhash64("id"), F.col("cb")).cast("int").alias("y"), F.lit(1).alias("kind"), "id", "v")
 
     def cell(t: pa.Table) -> pa.Table:
-        kind, ids, x = t.column("kind").to_numpy(), t.column("id").to_numpy(), _unit(t.column("v"))
+        kind, ids, x = t.column("kind").to_numpy(), t.column("id").to_numpy(), pivots.unit(t.column("v"))
         order = np.argsort(ids[kind == 1])
         canon_ids = ids[kind == 1][order]
         if not len(canon_ids) or not (kind == 0).any():
@@ -71,20 +104,55 @@ def nearest(queries: DataFrame, canon: DataFrame, threshold: float, id_col: str
         s = np.round(x[kind == 0] @ x[kind == 1][order].T, 12)
         best = s.argmax(axis=1)
         top = s[np.arange(len(s)), best]
-        keep = top >= threshold
+        keep = top >= floor
         return pa.table({"id": ids[kind == 0][keep], "nearest": canon_ids[best][keep], "similarity": top[keep]})
 
-    found = q.unionByName(c).groupBy("qb", "cb").applyInArrow(cell, "id long, nearest long, similarity double")
+    return q.unionByName(c).groupBy("cell", "x", "y").applyInArrow(cell, "id long, nearest long, similarity double")
+
+
+def nearest(queries: DataFrame, canon: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, nearest, similarity): each query's most similar canonical vector, if at least the threshold; ties go to the least id.
+
+    A query first looks into the cell of its nearest pivot. The best found there, or the
+    threshold, is the radius of a second ring: the other cells that may hold as near a
+    vector.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "nearest")
+    asked, known = _vectors(queries, id_col, vector_col), _vectors(canon, id_col, vector_col)
+    if threshold > 0:
+        # A vector of length 0 is similar to nothing, and no angle bounds it.
+        known = known.where(F.exists("v", lambda x: x != 0))
+    n = known.count()
+    within = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    sample = pivots.sample_of(known, n)
+    if not len(sample):
+        return spark.createDataFrame([], "id long, nearest long, similarity double")
+    picked = pivots.choose(sample, n, within, block_rows)
+    held = scratch.write(pivots.assigned(known, picked))
+    radius, sizes = pivots.radii(held, len(picked))
+    first = scratch.write(pivots.assigned(asked, picked).drop("far"))
+    found = scratch.write(_best_in_cells(first, held.drop("far"), sizes, threshold, block_rows))
     best = F.min(F.struct((-F.col("similarity")).alias("d"), "nearest")).alias("x")
+    if len(picked) > 1:
+        ring = found.groupBy("id").agg(F.acos(F.least(F.max("similarity"), F.lit(1.0))).alias("ring"))
+        wider = first.join(ring, "id", "left").select("id", "v", F.coalesce("ring", F.lit(within)).alias("within"))
+        rest = scratch.write(pivots.visits(wider, picked, radius, "within", only_lower=False, with_own=False))
+        found = found.union(_best_in_cells(rest, held.drop("far"), sizes, threshold, block_rows))
     return found.groupBy("id").agg(best).select("id", F.col("x.nearest").alias("nearest"), (-F.col("x.d")).alias("similarity"))
 
 
-def average_linkage(x: np.ndarray, distance: float) -> np.ndarray:
-    """Labels of average linkage over cosine distance, cut strictly below ``distance``; least pair first on ties."""
+def average_linkage(x: np.ndarray, distance: float, size: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average linkage over cosine distance, cut strictly below ``distance``; least pair first on ties.
+
+    size: how many equal vectors each row stands for.
+    """
     n = len(x)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size = np.ones(n) if size is None else size.astype(np.float64)
+    label, alive = np.arange(n), np.ones(n, bool)
     while n > 1:
         flat = int(d.argmin())
         i, j = divmod(flat, len(x))
@@ -106,14 +174,23 @@ def average_linkage(x: np.ndarray, distance: float) -> np.ndarray:
 def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster): average-linkage clusters cut at 1 - similarity, named by their least id.
 
-    Clusters never cross components of the graph of pairs nearer than the cut (a merge
-    below it needs one such pair), so components are found first and linked apart:
-    small ones whole in a task, large ones by ``linkage_rounds``, with equal results
-    where no two pairs are equally near.
+    Equal vectors merge before all others, so each is looked at once, with its number, and
+    a group of copies costs one row. Clusters never cross components of the graph of
+    pairs nearer than the cut (a merge below it needs one such pair), so components are
+    found first and linked apart: small ones whole in a task, large ones by
+    ``linkage_rounds``, with equal results where no two pairs are equally near. Vectors of
+    length 0 are clusters of their own.
     """
     scratch = Scratch(df.sparkSession, "cluster")
-    base = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    pairs = scratch.write(similarity_pairs(df, similarity, id_col, vector_col))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    if 1 - similarity > 0:
+        same = F.exists("v", lambda x: x != 0)
+        rows = rows.withColumn("same", F.when(same, F.lit(None).cast("long")).otherwise(F.col("id")))
+    else:
+        rows = rows.withColumn("same", F.col("id"))
+    copies = scratch.write(rows.groupBy("v", "same").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    base = copies.select("id", "n", "v")
+    pairs = scratch.write(similarity_pairs(base, similarity, "id", "v"))
     roots = connected_components(pairs, scratch)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +198,7 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(x, 1 - similarity)]})
+        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(x, 1 - similarity, pdf["n"].to_numpy())]})
 
     sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
     found = base.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root")
@@ -129,17 +206,19 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
     alone = base.join(roots, base["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("cluster"))
     out = linked.union(alone)
     large = sizes.where(F.col("size") > LINK_ROWS)
-    if large.isEmpty():
-        return out
-    nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
-    inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
-    return out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
+    if not large.isEmpty():
+        nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
+        inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+        out = out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
+    first = copies.select(F.col("id").alias("first"), "v", "same")
+    of = rows.join(first, rows["v"].eqNullSafe(first["v"]) & rows["same"].eqNullSafe(first["same"])).select("id", "first")
+    return of.join(out.select(F.col("id").alias("first"), "cluster"), "first").select("id", "cluster")
 
 
 def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(id, cluster) by average linkage in rounds: every pair of clusters that are each other's nearest merges.
 
-    base: id, v; pairs: a < b and similarity of all pairs above the cut. The mean
+    base: id, n (rows that the vector stands for), v; pairs: a < b and similarity of all pairs above the cut. The mean
     similarity of two clusters of unit vectors is the product of their mean vectors, so
     a cluster is its size and its sum. It exceeds the cut only if it did for a pair that
     the two were merged from, so pairs at or below it are dropped. Pairs are in a total
@@ -147,7 +226,7 @@ def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch
     """
     square = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
     unit = F.transform("v", lambda x: x.cast("double") / F.greatest(F.sqrt(square), F.lit(1e-12)))
-    groups = scratch.write(base.select("id", F.lit(1).cast("long").alias("n"), unit.alias("sum")))
+    groups = scratch.write(base.select("id", "n", F.transform(unit, lambda x: x * F.col("n")).alias("sum")))
     near = scratch.write(pairs.select("a", "b", "similarity"))
     member = scratch.write(base.select("id", F.col("id").alias("cluster")))
     while True:
