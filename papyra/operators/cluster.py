@@ -265,8 +265,11 @@ def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch
 
 
 def cluster_scores(df: DataFrame, cluster_col: str, vector_col: str = "embedding") -> DataFrame:
-    """(cluster, members, cluster_score): mean dot of the members with their renormalised centroid."""
+    """(cluster, members, cluster_score, embedding): mean dot of the members with their renormalised centroid, and that centroid."""
     x = df.select(F.col(cluster_col).alias("cluster"), F.posexplode(F.col(vector_col)).alias("k", "x")).groupBy("cluster", "k").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     # The mean dot with c / |c| is |c|: sum(m . c/|c|) / n = n c . c/|c| / n.
     c = F.col("s") / F.col("n")
-    return x.groupBy("cluster").agg(F.max("n").alias("members"), F.sqrt(F.sum(c * c)).alias("cluster_score"))
+    parts = F.sort_array(F.collect_list(F.struct("k", c.alias("c"))))
+    out = x.groupBy("cluster").agg(F.max("n").alias("members"), F.sqrt(F.sum(c * c)).alias("cluster_score"), parts.alias("p"))
+    length = F.when(F.col("cluster_score") > 0, F.col("cluster_score")).otherwise(1.0)
+    return out.select("cluster", "members", "cluster_score", F.transform("p", lambda y: y["c"] / length).alias("embedding"))

@@ -1,7 +1,8 @@
 """Evidence graphs from triples: grouping, sanitising, degrees, consolidation, snapshots.
 
-Edges have subject, predicate, object, support and sorted id arrays; every function
-takes and returns DataFrames and keeps the job column out: filter a job before.
+Edges have edge_id, subject, predicate, object and support; the ids behind them are in
+postings (``evidence``). Every function takes and returns DataFrames and keeps the job
+column out: filter a job before.
 """
 
 from __future__ import annotations
@@ -11,24 +12,22 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..functions import text as T
+from . import evidence as E
 
-IDS = ("triple_ids", "block_ids", "source_ids")
+IDS = E.IDS
 
 
-def structural_edges(triples: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """Group triples by (subject, predicate, object); support counts distinct sources.
+def without_entities(triples: DataFrame, excluded: list[str] | None) -> DataFrame:
+    """Triples with no excluded entity at either end (any case)."""
+    if not excluded:
+        return triples
+    names = [e.lower() for e in excluded]
+    return triples.where(~F.lower("subject").isin(names) & ~F.lower("object").isin(names))
 
-    Triples with an excluded entity at either end (any case) are left out.
-    """
-    if excluded:
-        names = [e.lower() for e in excluded]
-        triples = triples.where(~F.lower("subject").isin(names) & ~F.lower("object").isin(names))
-    ids = {"triple_ids": "triple_id", "block_ids": "block_id", "source_ids": "ingestion_source_id"}
-    return (
-        triples.groupBy("subject", "predicate", "object")
-        .agg(*(F.sort_array(F.collect_set(c)).alias(k) for k, c in ids.items()))
-        .select("subject", "predicate", "object", F.size("source_ids").alias("support"), *IDS)
-    )
+
+def structural_edges(triples: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """Triples grouped by (subject, predicate, object); support counts distinct sources."""
+    return E.edges(without_entities(triples, excluded))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -90,12 +89,8 @@ def pair_degree(pairs: DataFrame) -> DataFrame:
 
 
 def pair_edges(edges: DataFrame) -> DataFrame:
-    """One row a (subject, object): its predicates in order, greatest support and united ids."""
-    return edges.groupBy("subject", "object").agg(
-        F.sort_array(F.collect_set("predicate")).alias("predicates"),
-        F.max("support").alias("support"),
-        *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in IDS),
-    )
+    """One row a (subject, object): its predicates in order and greatest support."""
+    return edges.groupBy("subject", "object").agg(F.sort_array(F.collect_set("predicate")).alias("predicates"), F.max("support").alias("support"))
 
 
 def suppress_hubs(pairs: DataFrame, threshold: int = P.HUB_DEGREE) -> DataFrame:
@@ -119,16 +114,6 @@ def canonical_labels(members: DataFrame, degrees: DataFrame) -> DataFrame:
     return ranked.select("cluster", F.get(names, 0).alias("canonical"), names.alias("aliases"))
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
-    """Group equal edges; loops go; support is the number of distinct sources united."""
-    return (
-        edges.where("subject <> object")
-        .groupBy("subject", "predicate", "object")
-        .agg(*(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in IDS))
-        .select("subject", "predicate", "object", F.size("source_ids").alias("support"), *IDS)
-    )
-
-
 def rewritten(edges: DataFrame, canon: DataFrame) -> DataFrame:
     """Both ends replaced by their canonical node (node, canonical); others stay."""
     s, o = canon.toDF("subject", "_s"), canon.toDF("object", "_o")
@@ -140,21 +125,18 @@ def rewritten(edges: DataFrame, canon: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_edges(edges: DataFrame, canon: DataFrame) -> DataFrame:
-    return merge_edges(rewritten(edges, canon))
+def rewrite_edges(edges: DataFrame, blocks: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, postings) with canonical ends; loops go; support is the number of distinct sources united."""
+    fresh, moved = E.renamed(rewritten(edges, canon).where("subject <> object"), blocks)
+    return E.merged(fresh.withColumn("fresh", F.lit(True)), moved), moved
 
 
-def merge_increment(old: DataFrame, new: DataFrame, canon: DataFrame) -> DataFrame:
-    """Old edges united with new ones; an old edge that no new one touches keeps its support."""
-    fresh = rewritten(new, canon).where("subject <> object").withColumn("_new", F.lit(1))
-    both = old.withColumn("_new", F.lit(0)).unionByName(fresh)
-    out = both.groupBy("subject", "predicate", "object").agg(
-        F.max("_new").alias("_new"),
-        F.max(F.when(F.col("_new") == 0, F.col("support"))).alias("_old"),
-        *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in IDS),
-    )
-    support = F.when(F.col("_new") == 1, F.size("source_ids")).otherwise(F.col("_old"))
-    return out.select("subject", "predicate", "object", support.alias("support"), *IDS)
+def merge_increment(old: DataFrame, old_blocks: DataFrame, new: DataFrame, new_blocks: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, postings) of old edges united with new ones; an old edge that no new one touches keeps its support."""
+    fresh, moved = E.renamed(rewritten(new, canon).where("subject <> object"), new_blocks)
+    both = old.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+    blocks = old_blocks.unionByName(moved)
+    return E.merged(both, blocks), blocks
 
 
 def active_snapshot(versions: DataFrame, key: str = "job_id") -> DataFrame:

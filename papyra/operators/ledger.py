@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..functions import text as T
+from . import evidence as E
 from .reason import is_promising
 
 RECORD = (
@@ -104,26 +105,28 @@ def next_verification(questions: DataFrame, queries: DataFrame) -> DataFrame:
     return o.join(done, ["job_id", "entities_hash"], "left_anti").groupBy("job_id").agg(F.min(F.struct("level", "entities", "entities_hash")).alias("x")).select("job_id", "x.*")
 
 
-def impact_scores(ledger: DataFrame, hypotheses: DataFrame, triples: DataFrame, sources: DataFrame) -> DataFrame:
+def impact_scores(ledger: DataFrame, hypotheses: DataFrame, edges: DataFrame, blocks: DataFrame, triples: DataFrame, sources: DataFrame) -> DataFrame:
     """Each ledger paper with references, summed confidence, distinct impactful entities and their sum.
 
     Only passed and promising hypotheses count, and only through ``paper:`` sources. A
-    paper counts once a hypothesis, however many of its triples support it.
+    paper counts once a hypothesis, however many of its triples support it. edges and
+    blocks: those the hypotheses were found in; triples: all.
     """
-    papers = sources.select(F.col("source_id").alias("ingestion_source_id"), T.source_ref_id(F.col("source_ref")).alias("paper_id")).where("paper_id is not null")
-    of_triple = triples.join(papers, "ingestion_source_id").select("triple_id", "paper_id", "subject", "object")
+    papers = sources.select("source_id", T.source_ref_id(F.col("source_ref")).alias("paper_id")).where("paper_id is not null")
     use = hypotheses.where(F.col("passed_filter") | is_promising(F.col("passed_filter"), F.col("filter_reason")))
+    hops = E.hops_of(use.withColumn("p", F.array_join("path", " > ")), "p", "confidence")
+    of_pair = E.sources_of_pairs(hops.select("subject", "object").distinct(), edges, blocks).join(papers, "source_id")
     credit = (
-        use.select(F.array_join("path", " > ").alias("p"), "confidence", F.explode("triple_ids").alias("triple_id"))
-        .join(of_triple.select("triple_id", "paper_id"), "triple_id")
+        hops.join(of_pair.select("subject", "object", "paper_id").distinct(), ["subject", "object"])
         .select("p", "confidence", "paper_id")
         .distinct()
         .groupBy("paper_id")
         .agg(F.count("*").alias("hypo_ref_count"), F.sum("confidence").cast("double").alias("cumulative_conf"))
     )
     density = (
-        of_triple.select("paper_id", F.explode(F.array("subject", "object")).alias("node"))
+        triples.select(F.col("ingestion_source_id").alias("source_id"), F.explode(F.array("subject", "object")).alias("node"))
         .where(T.is_impactful(F.col("node")))
+        .join(papers, "source_id")
         .groupBy("paper_id")
         .agg(F.countDistinct("node").alias("entity_density"))
     )
@@ -145,10 +148,11 @@ def paper_metrics(ledger: DataFrame) -> DataFrame:
     )
 
 
-def evidence_text(ids: DataFrame, triples: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Distinct texts of the blocks that hold the given triples (column triple_id)."""
-    hit = triples.join(ids.select("triple_id").distinct(), "triple_id", "left_semi").select("block_id").distinct()
-    return blocks.join(hit, "block_id", "left_semi").select("block_text").distinct()
+def evidence_text(hypotheses: DataFrame, edges: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct texts (block_id, block_text) of the blocks that hold evidence along the given hypotheses' paths."""
+    ends = E.hops_of(hypotheses).select("subject", "object").distinct()
+    hit = E.of_pairs(ends, edges, blocks).select("block_id").distinct()
+    return texts.join(hit, "block_id", "left_semi").select("block_text").distinct()
 
 
 def valid_domain(answer: Column) -> Column:

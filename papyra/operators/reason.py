@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
-from .graph import IDS
+from . import evidence as E
 
 
 def discovery_paths(pairs: DataFrame, seeds: list[str] | None = None, stop_words: list[str] | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def discovery_paths(pairs: DataFrame, seeds: list[str] | None = None, stop_words
     one_way = pairs.where("subject <> object").join(
         ends, (F.col("subject") == F.col("_o")) & (F.col("object") == F.col("_s")), "left_anti"
     )
-    cols = ["predicates", "support", *IDS]
+    cols = ["predicates", "support"]
     first = one_way.select(F.col("subject").alias("source"), F.col("object").alias("mid"), *(F.col(c).alias(f"{c}_1") for c in cols))
     second = one_way.select(F.col("subject").alias("mid"), F.col("object").alias("target"), *(F.col(c).alias(f"{c}_2") for c in cols))
     if stop_words:
@@ -40,7 +40,7 @@ def discovery_paths(pairs: DataFrame, seeds: list[str] | None = None, stop_words
 
 
 def hypotheses_of(paths: DataFrame, mode: str = "explore") -> DataFrame:
-    """Hypothesis rows: confidence is the weaker hop, ids are united, predicates follow the hops."""
+    """Hypothesis rows: confidence is the weaker hop, predicates follow the hops; ids: ``evidence.hypotheses_with_ids``."""
     said = F.concat(
         F.col("source"), F.lit(" -["), F.array_join("predicates_1", ", "), F.lit("]-> "), F.col("mid"),
         F.lit(" then "), F.col("mid"), F.lit(" -["), F.array_join("predicates_2", ", "), F.lit("]-> "), F.col("target"),
@@ -53,7 +53,6 @@ def hypotheses_of(paths: DataFrame, mode: str = "explore") -> DataFrame:
         said.alias("explanation"),
         F.least("support_1", "support_2").cast("int").alias("confidence"),
         F.lit(mode).alias("mode"),
-        *(F.sort_array(F.array_union(f"{c}_1", f"{c}_2")).alias(c) for c in IDS),
     )
 
 
@@ -147,14 +146,14 @@ def verify_pairs(questions: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def supporting_papers(hypotheses: DataFrame, pairs: DataFrame) -> DataFrame:
+def supporting_papers(hypotheses: DataFrame, pairs: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(source, target, path, paper_id, predicates): per source of each hop, its predicates with repetition."""
-    hops = hypotheses.select(
-        "source", "target", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("hop")
-    ).select("source", "target", "path", "hop", F.get("path", F.col("hop") - 1).alias("subject"), F.get("path", F.col("hop")).alias("object"))
-    joined = hops.join(pairs.select("subject", "object", "predicates", "source_ids"), ["subject", "object"])
+    hops = E.hops_of(hypotheses.withColumn("_path", F.col("path")), "source", "target", "_path").withColumnRenamed("_path", "path")
+    ends = hops.select("subject", "object").distinct()
+    papers = E.sources_of_pairs(ends, edges, blocks).withColumnRenamed("source_id", "paper_id")
+    said = papers.join(pairs.select("subject", "object", "predicates"), ["subject", "object"])
     return (
-        joined.select("source", "target", "path", "hop", "predicates", F.explode("source_ids").alias("paper_id"))
+        hops.join(said, ["subject", "object"])
         .groupBy("source", "target", "path", "paper_id")
         .agg(F.sort_array(F.collect_list(F.struct("hop", "predicates"))).alias("h"))
         .select("source", "target", "path", "paper_id", F.flatten(F.transform("h", lambda x: x["predicates"])).alias("predicates"))

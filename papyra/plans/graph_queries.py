@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import reason as R
 from . import views as V
@@ -25,6 +26,10 @@ def _hyp_flat(df: DataFrame) -> DataFrame:
     )
 
 
+def _edges_flat(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    return V.flat(E.with_ids(edges, blocks), *G.IDS).drop("edge_id")
+
+
 @REG.query(
     f"""WITH {V.SQL_HYPOTHESES}
 SELECT source, target, path, array_to_string(predicates, ' > ') AS predicates,
@@ -32,12 +37,14 @@ SELECT source, target, path, array_to_string(predicates, ' > ') AS predicates,
   confidence, passed_filter, weak, {IDS_SQL} FROM v_hyp"""
 )
 def hypotheses(spark, sf):
-    return _hyp_flat(V.hypotheses(spark, sf)).orderBy(F.desc("confidence"), "source", "target", "path")
+    edges, blocks = V.evidence_of(V.projected_triples(spark, sf))
+    found = V.written(V.hypotheses(spark, sf, V.written(G.pair_edges(edges), "pairs")), "hyp")
+    return _hyp_flat(E.hypotheses_with_ids(found, edges, blocks)).orderBy(F.desc("confidence"), "source", "target", "path")
 
 
 @REG.query(f"WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'e', noise=False)} SELECT subject, predicate, object, support, {IDS_SQL} FROM e")
 def structural_graph(spark, sf):
-    return V.flat(V.edges(spark, sf), *G.IDS)
+    return _edges_flat(*V.evidence_of(V.triples(spark, sf)))
 
 
 @REG.query(f"WITH {V.SQL_TRIPLES} SELECT DISTINCT unnest([subject, object]) AS node FROM v_triples")
@@ -50,7 +57,7 @@ def structural_nodes(spark, sf):
 {V.sql_edges('x', 'e', noise=False)} SELECT subject, predicate, object, support FROM e"""
 )
 def excluded_entities(spark, sf):
-    return G.structural_edges(V.triples(spark, sf), ["The", "and", "IN"]).drop(*G.IDS)
+    return G.structural_edges(V.triples(spark, sf), ["The", "and", "IN"]).drop("edge_id")
 
 
 @REG.query(
@@ -71,7 +78,8 @@ def sanitize_nodes(spark, sf):
 
 @REG.query(f"WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'e')} SELECT subject, predicate, object, support, {IDS_SQL} FROM e")
 def sanitize_edges(spark, sf):
-    return V.flat(G.without_noise(V.edges(spark, sf)), *G.IDS)
+    edges, blocks = V.evidence_of(V.triples(spark, sf))
+    return _edges_flat(G.without_noise(edges), blocks)
 
 
 @REG.query(
@@ -112,8 +120,9 @@ def hub_suppression(spark, sf):
 SELECT subject, object, array_to_string(predicates, ',') AS predicates, support, {IDS_SQL} FROM v_pairs"""
 )
 def pair_edges(spark, sf):
-    pairs = G.pair_edges(G.without_noise(G.structural_edges(V.triples_with_predicates(spark, sf))))
-    return V.flat(pairs, "predicates", *G.IDS)
+    edges, blocks = V.evidence_of(V.triples_with_predicates(spark, sf))
+    pairs = G.pair_edges(G.without_noise(edges))
+    return V.flat(E.pairs_with_ids(pairs, edges, blocks), "predicates", *G.IDS)
 
 
 _PATHS = f"WITH {V.SQL_TRIPLES}, {V.sql_edges('v_triples', 'v_edges_p', V.sql_predicate('predicate'))}, {V.sql_paths('v_edges_p')}"
@@ -214,8 +223,9 @@ s AS (SELECT source, target, path, hop, predicates, unnest(source_ids) AS paper_
 SELECT source, target, path, paper_id, array_to_string(flatten(list(predicates ORDER BY hop)), ',') AS predicates FROM s GROUP BY source, target, path, paper_id"""
 )
 def supporting_papers(spark, sf):
-    pairs = V.projected_pairs(spark, sf)
-    out = R.supporting_papers(V.hypotheses(spark, sf, pairs), pairs)
+    edges, blocks = V.evidence_of(V.projected_triples(spark, sf))
+    pairs = V.written(G.pair_edges(edges), "pairs")
+    out = R.supporting_papers(V.written(V.hypotheses(spark, sf, pairs), "hyp"), pairs, edges, blocks)
     return V.flat(out.withColumn("path", F.array_join("path", " > ")), "predicates")
 
 
@@ -316,9 +326,10 @@ g AS (SELECT s AS subject, predicate, o AS object, {_MERGED} FROM w WHERE s <> o
 SELECT subject, predicate, object, len(source_ids)::INTEGER AS support, {IDS_SQL} FROM g"""
 )
 def edge_rewrite(spark, sf):
-    e = G.without_noise(V.edges(spark, sf))
-    canon = _canon(e).select(F.explode("aliases").alias("node"), "canonical")
-    return V.flat(G.rewrite_edges(e, canon), *G.IDS)
+    edges, blocks = V.evidence_of(G.without_noise(V.triples(spark, sf)))
+    canon = V.written(_canon(edges).select(F.explode("aliases").alias("node"), "canonical"), "canon")
+    merged, moved = G.rewrite_edges(edges, blocks, canon)
+    return _edges_flat(V.written(merged, "merged"), V.written(moved, "moved"))
 
 
 @REG.query(
@@ -329,11 +340,11 @@ g AS (SELECT subject, predicate, object, max(fresh) AS fresh, max(support) FILTE
 SELECT subject, predicate, object, CASE WHEN fresh = 1 THEN len(source_ids)::INTEGER ELSE old END AS support FROM g"""
 )
 def incremental_edges(spark, sf):
-    t = V.triples(spark, sf)
-    old = G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 0")))
-    new = G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 1")))
-    same = G.nodes_of(new).select("node", F.col("node").alias("canonical"))
-    return G.merge_increment(old, new, same).drop(*G.IDS)
+    t = G.without_noise(V.triples(spark, sf))
+    old = V.evidence_of(t.where("ingestion_source_id % 2 = 0"))
+    new = V.evidence_of(t.where("ingestion_source_id % 2 = 1"))
+    same = G.nodes_of(new[0]).select("node", F.col("node").alias("canonical"))
+    return G.merge_increment(*old, *new, same)[0].drop("edge_id")
 
 
 def _versions(spark, sf) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cluster as C
+from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import ledger as L
 from ..operators.components import connected_components as components
@@ -103,9 +104,15 @@ def _ledger(spark, sf) -> DataFrame:
     return labels.select((F.col("doc_id") % 3).alias("job_id"), F.col("doc_id").alias("paper_id"), (F.col("quality") == 1).alias("evaluated"))
 
 
+def _found(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hypotheses and the edges and postings that they were found in."""
+    edges, blocks = V.evidence_of(V.projected_triples(spark, sf))
+    return V.written(V.hypotheses(spark, sf, V.written(G.pair_edges(edges), "pairs")), "hyp"), edges, blocks
+
+
 def _impact(spark, sf) -> DataFrame:
-    h = V.written(V.hypotheses(spark, sf), "hyp")
-    return L.impact_scores(_ledger(spark, sf), h, V.triples(spark, sf), sources(spark, sf))
+    h, edges, blocks = _found(spark, sf)
+    return L.impact_scores(_ledger(spark, sf), h, edges, blocks, V.triples(spark, sf), sources(spark, sf))
 
 
 _IMPACT = f"""WITH {V.SQL_HYPOTHESES}, {SQL_SOURCES}, tp AS (SELECT triple_id, substr(source_ref, 7)::BIGINT AS paper_id, subject, object FROM v_triples JOIN v_sources ON source_id = ingestion_source_id WHERE source_ref LIKE 'paper:%'),
@@ -140,9 +147,9 @@ def paper_metrics(spark, sf):
 b AS (SELECT DISTINCT block_id FROM v_triples JOIN t USING (triple_id)) SELECT DISTINCT block_text FROM v_blocks JOIN b ON source_id * 10000 + block_order + 1 = block_id"""
 )
 def evidence_text(spark, sf):
-    ids = V.hypotheses(spark, sf).where("passed_filter").select(F.explode("triple_ids").alias("triple_id"))
+    h, edges, postings = _found(spark, sf)
     blocks = I.slice_sources(V.read(spark, sf, "documents"), "doc_id").select((F.col("source_id") * 10000 + F.col("block_order") + 1).alias("block_id"), "block_text")
-    return L.evidence_text(ids, V.triples(spark, sf), blocks)
+    return L.evidence_text(h.where("passed_filter"), edges, postings, blocks)
 
 
 @REG.query(
@@ -235,7 +242,7 @@ n AS (SELECT label, sqrt(sum(c * c)) AS n FROM c GROUP BY label), s AS (SELECT d
 SELECT label AS cluster, count(*) AS members, round(avg(s), 6) AS cluster_score FROM s GROUP BY label"""
 )
 def cluster_score(spark, sf):
-    return C.cluster_scores(V.read(spark, sf, "embeddings"), "label").withColumn("cluster_score", F.round("cluster_score", 6))
+    return C.cluster_scores(V.read(spark, sf, "embeddings"), "label").drop("embedding").withColumn("cluster_score", F.round("cluster_score", 6))
 
 
 @REG.query(f"WITH RECURSIVE {SQL_BLOCKS} SELECT source_id, block_order::INTEGER AS block_order, block_text FROM v_blocks")

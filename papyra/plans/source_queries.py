@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..operators import evidence as I
 from ..operators import graph as G
 from ..operators import intake as N
 from ..operators import semantic as S
@@ -91,9 +92,9 @@ def research_queries(spark, sf):
 
 
 def _concepts(spark, sf):
-    """The sanitised graph and the vectors of its nodes."""
-    e = V.written(G.without_noise(V.edges(spark, sf)), "edges")
-    return e, V.written(E.embed(G.nodes_of(e), "node"), "vectors")
+    """The sanitised graph's edges and postings and the vectors of its nodes."""
+    edges, blocks = V.evidence_of(G.without_noise(V.triples(spark, sf)))
+    return edges, blocks, V.written(E.embed(G.nodes_of(edges), "node"), "vectors")
 
 
 # The provider's hash of three characters, modulo 2^64: its upper 7 bits are the place, bit 20 the sign.
@@ -105,34 +106,38 @@ s AS (SELECT node, (h // 144115188075855872)::INTEGER AS place, sum(CASE WHEN (h
 SELECT node AS text, place, round(s / sqrt(sum(s * s) OVER (PARTITION BY node)), 5)::DOUBLE AS value FROM s"""
 )
 def hashed_embeddings(spark, sf):
-    _, v = _concepts(spark, sf)
+    v = _concepts(spark, sf)[2]
     places = v.select("text", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
     return places.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+def _shown(nodes):
+    return V.flat(nodes.drop("attributes", "embedding"), "aliases").withColumn("cluster_score", F.round("cluster_score", 6))
+
+
 @REG.query()
 def semantic_merge(spark, sf):
-    e, v = _concepts(spark, sf)
-    nodes, _ = S.merge(e, v, P.MERGE_SIMILARITY)
-    return V.flat(nodes, "aliases").withColumn("cluster_score", F.round("cluster_score", 6))
+    edges, blocks, v = _concepts(spark, sf)
+    return _shown(S.merge(edges, blocks, v, P.MERGE_SIMILARITY)[0])
 
 
 @REG.query()
 def semantic_edges(spark, sf):
-    e, v = _concepts(spark, sf)
-    return V.flat(S.merge(e, v, P.MERGE_SIMILARITY)[1], *G.IDS)
+    edges, blocks, v = _concepts(spark, sf)
+    _, merged, moved = S.merge(edges, blocks, v, P.MERGE_SIMILARITY)
+    return V.flat(I.with_ids(V.written(merged, "merged"), V.written(moved, "moved")), *G.IDS).drop("edge_id")
 
 
 @REG.query()
 def incremental_merge(spark, sf):
     """The graph of even sources, then the odd ones joined to it."""
-    t = V.triples(spark, sf)
-    old = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 0"))), "old")
-    new = V.written(G.without_noise(G.structural_edges(t.where("ingestion_source_id % 2 = 1"))), "new")
-    v = V.written(E.embed(G.nodes_of(old.union(new)), "node"), "vectors")
-    nodes, edges = S.merge(old, v, P.MERGE_SIMILARITY)
-    merged, _ = S.merge_incrementally(V.written(nodes, "nodes"), V.written(edges, "edges"), new, v, P.MERGE_SIMILARITY)
-    return V.flat(merged, "aliases").withColumn("cluster_score", F.round("cluster_score", 6))
+    t = G.without_noise(V.triples(spark, sf))
+    old = V.evidence_of(t.where("ingestion_source_id % 2 = 0"))
+    new = V.evidence_of(t.where("ingestion_source_id % 2 = 1"))
+    v = V.written(E.embed(G.nodes_of(old[0].union(new[0])), "node"), "vectors")
+    nodes, edges, blocks = S.merge(*old, v, P.MERGE_SIMILARITY)
+    merged, _, _ = S.merge_incrementally(V.written(nodes, "nodes"), V.written(edges, "edges"), blocks, *new, v, P.MERGE_SIMILARITY)
+    return _shown(merged)
 
 
 @REG.query(

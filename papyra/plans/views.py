@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions import policy as P
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import reason as R
 from ..operators.scratch import Scratch
@@ -51,10 +52,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.structural_edges(triples(spark, sf_dir))
 
 
-def projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with projected predicates and concepts only."""
+def projected_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples with projected predicates whose ends are concepts."""
     t = triples(spark, sf_dir).withColumn("predicate", T.project_predicate(F.col("predicate")))
-    return G.without_noise(G.structural_edges(t))
+    return G.without_noise(t)
+
+
+def projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.structural_edges(projected_triples(spark, sf_dir))
+
+
+def evidence_of(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, postings) of triples, both written."""
+    kept = written(triples, "triples")
+    return written(G.structural_edges(kept), "edges"), written(E.postings(kept), "postings")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

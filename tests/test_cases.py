@@ -51,8 +51,7 @@ PATH_EDGES = [("a", "b"), ("b", "c"), ("d", "a"), ("d", "e"), ("f", "g"), ("h",
 
 
 def graph(spark, pairs):
-    rows = [(s, "causes", o, 1, [i], [i], [i]) for i, (s, o) in enumerate(pairs)]
-    return spark.createDataFrame(rows, "subject string, predicate string, object string, support int, triple_ids array<long>, block_ids array<long>, source_ids array<long>")
+    return spark.createDataFrame([(s, "causes", o, 1) for s, o in pairs], "subject string, predicate string, object string, support int")
 
 
 def test_discovery(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions.settings import Policy, PolicyError, job_settings, load_policy, policy_of
 from papyra.operators import decide as D
+from papyra.operators import evidence as I
 from papyra.operators import graph as G
 from papyra.operators import intake as N
 from papyra.operators import ledger as L
@@ -87,23 +88,54 @@ def triples(spark, pairs):
     return spark.createDataFrame(rows, "triple_id long, block_id long, ingestion_source_id long, subject string, predicate string, object string")
 
 
+def evidence(spark, pairs):
+    t = triples(spark, pairs)
+    return G.structural_edges(t), I.postings(t)
+
+
 def test_semantic_merge_and_increment(spark):
-    edges = G.structural_edges(triples(spark, [("gene editing", "cell wall"), ("gene editings", "cell wall"), ("gene editing", "virus"), ("cell wall", "cell walls")]))
+    edges, blocks = evidence(spark, [("gene editing", "cell wall"), ("gene editings", "cell wall"), ("gene editing", "virus"), ("cell wall", "cell walls")])
     vec = E.embed(G.nodes_of(edges), "node")
-    nodes, merged = S.merge(edges, vec, 0.8)
+    nodes, merged, moved = S.merge(edges, blocks, vec, 0.8)
     got = {r["text"]: r["aliases"] for r in nodes.collect()}
     assert got == {"gene editing": ["gene editing", "gene editings"], "cell wall": ["cell wall", "cell walls"], "virus": ["virus"]}
     assert {(r["subject"], r["object"], r["support"]) for r in merged.collect()} == {("gene editing", "cell wall", 2), ("gene editing", "virus", 1)}
-    new = G.structural_edges(triples(spark, [("viruss", "cell wall"), ("membrane", "virus")]))
+    ids = {(r["subject"], r["object"]): r["triple_ids"] for r in I.with_ids(merged, moved).collect()}
+    assert ids == {("gene editing", "cell wall"): [0, 1], ("gene editing", "virus"): [2]}
+    new, new_blocks = evidence(spark, [("viruss", "cell wall"), ("membrane", "virus")])
     more = E.embed(G.nodes_of(edges.union(new)), "node")
-    after, joined = S.merge_incrementally(nodes, merged, new, more, 0.7)
+    after, joined, _ = S.merge_incrementally(nodes, merged, moved, new, new_blocks, more, 0.7)
     names = {r["text"]: r["aliases"] for r in after.collect()}
     assert names["virus"] == ["virus", "viruss"] and names["membrane"] == []
     assert ("virus", "cell wall") in {(r["subject"], r["object"]) for r in joined.collect()}
-    same, _ = S.merge_incrementally(nodes, merged, edges.limit(0), vec, 0.7)
+    same, _, _ = S.merge_incrementally(nodes, merged, moved, edges.limit(0), blocks, vec, 0.7)
     assert same is nodes
 
 
+def test_semantic_nodes_keep_what_they_are(spark):
+    """Attributes and centroids come along, other types stay, concepts that may not merge go."""
+    edges, blocks = evidence(spark, [("gene editing", "cell wall"), ("gene editings", "2020-01-01"), ("x", "cell wall")])
+    vec = E.embed(G.nodes_of(edges), "node")
+    kinds = [("gene editing", "concept", {"doi": "1"}), ("gene editings", "concept", {"doi": "2"}), ("cell wall", "concept", None), ("2020-01-01", "metadata", {"k": "v"}), ("x", "concept", {})]
+    table = spark.createDataFrame(kinds, "text string, type string, attributes map<string, string>")
+    nodes, _, _ = S.merge(edges, blocks, vec, 0.8, table)
+    got = {r["text"]: r for r in nodes.collect()}
+    assert set(got) == {"gene editings", "cell wall", "2020-01-01"}
+    assert got["gene editings"]["attributes"] == {"doi": "2"} and got["cell wall"]["attributes"] == {}
+    assert (got["2020-01-01"]["type"], got["2020-01-01"]["attributes"], got["2020-01-01"]["embedding"]) == ("metadata", {"k": "v"}, None)
+    x = np.array([r["embedding"] for r in vec.where("text like 'gene%'").collect()], float)
+    mean = x.mean(axis=0)
+    assert np.allclose(got["gene editings"]["embedding"], mean / np.linalg.norm(mean))
+    assert abs(got["gene editings"]["cluster_score"] - float((x @ (mean / np.linalg.norm(mean))).mean())) < 1e-6
+
+
+def test_semantic_merge_without_concepts_returns_the_graph(spark):
+    edges, blocks = evidence(spark, [("7", "7"), ("7", "9")])
+    nodes, same, kept = S.merge(edges, blocks, E.embed(G.nodes_of(edges), "node"), 0.8)
+    assert nodes.count() == 0 and same is edges and kept is blocks
+    assert {(r["subject"], r["object"]) for r in same.collect()} == {("7", "7"), ("7", "9")}
+
+
 def test_embeddings_are_unit_and_blank_is_zero():
     x = E.hashed(["Gene editing", "gene editing ", "", "x"])
     assert np.allclose(x[0], x[1]) and np.linalg.norm(x[2]) == 0 and abs(np.linalg.norm(x[3]) - 1) < 1e-6
