@@ -9,34 +9,67 @@ from pyspark.sql import functions as F
 
 from ..functions import policy as P
 from . import evidence as E
+from .scratch import Scratch
 
 
-def discovery_paths(pairs: DataFrame, seeds: list[str] | None = None, stop_words: list[str] | None = None) -> DataFrame:
+_HOP = ["predicates", "support"]
+
+
+def one_way_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs that are no loop and have no reverse."""
+    back = pairs.select(F.col("object").alias("_s"), F.col("subject").alias("_o"))
+    return pairs.where("subject <> object").join(back, (F.col("subject") == F.col("_s")) & (F.col("object") == F.col("_o")), "left_anti")
+
+
+def first_hops(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("subject").alias("source"), F.col("object").alias("mid"), *(F.col(c).alias(f"{c}_1") for c in _HOP))
+
+
+def second_hops(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("subject").alias("mid"), F.col("object").alias("target"), *(F.col(c).alias(f"{c}_2") for c in _HOP))
+
+
+def still_open(paths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Paths whose ends differ and that no pair joins, either way."""
+    ends = pairs.select(F.col("subject").alias("_s"), F.col("object").alias("_o"))
+    paths = paths.where("source <> target").join(ends, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_o")), "left_anti")
+    return paths.join(ends, (F.col("source") == F.col("_o")) & (F.col("target") == F.col("_s")), "left_anti")
+
+
+def as_nodes(nodes: list[str] | DataFrame, like: DataFrame) -> DataFrame:
+    """A list or a table (column node) of nodes as a table."""
+    if isinstance(nodes, DataFrame):
+        return nodes.select("node").distinct()
+    return like.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(nodes)], "node string")
+
+
+def effective_seeds(seeds: list[str] | DataFrame | None, affected: DataFrame) -> DataFrame:
+    """Seeds and affected nodes united (column node), each once."""
+    mine = as_nodes(seeds if seeds is not None else [], affected)
+    return mine.union(affected.select("node")).distinct()
+
+
+def discovery_paths(pairs: DataFrame, seeds: list[str] | DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """A -> B -> C with A, B, C distinct and no edge A-C or C-A nor a way back along either hop.
 
     pairs: pair edges, hubs already suppressed. Pairs with a reverse drop out of both
     sides before the self-join; edges between the ends are tested against all pairs.
-    seeds keep paths that start or end in one; an empty list keeps none. The seed test
-    is a union of two narrowed joins, so it prunes before the self-join.
+    seeds (a list, or a table with column node) keep paths that start or end in one; none
+    at all keep no path. The seed test is a union of two narrowed joins, so it prunes
+    before the self-join.
     """
-    ends = pairs.select(F.col("subject").alias("_s"), F.col("object").alias("_o"))
-    one_way = pairs.where("subject <> object").join(
-        ends, (F.col("subject") == F.col("_o")) & (F.col("object") == F.col("_s")), "left_anti"
-    )
-    cols = ["predicates", "support"]
-    first = one_way.select(F.col("subject").alias("source"), F.col("object").alias("mid"), *(F.col(c).alias(f"{c}_1") for c in cols))
-    second = one_way.select(F.col("subject").alias("mid"), F.col("object").alias("target"), *(F.col(c).alias(f"{c}_2") for c in cols))
+    one_way = one_way_pairs(pairs)
+    first, second = first_hops(one_way), second_hops(one_way)
     if stop_words:
         first = first.where(~F.lower("mid").isin([w.lower() for w in stop_words]))
     if seeds is None:
         both = first.join(second, "mid")
     else:
-        begin = first.where(F.col("source").isin(seeds)).join(second, "mid")
-        end = first.where(~F.col("source").isin(seeds)).join(second.where(F.col("target").isin(seeds)), "mid")
-        both = begin.union(end)
-    both = both.where("source <> target")
-    both = both.join(ends, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_o")), "left_anti")
-    return both.join(ends, (F.col("source") == F.col("_o")) & (F.col("target") == F.col("_s")), "left_anti")
+        named = as_nodes(seeds, pairs)
+        begin = first.join(named, first["source"] == named["node"], "left_semi").join(second, "mid")
+        others = first.join(named, first["source"] == named["node"], "left_anti")
+        both = begin.union(others.join(second.join(named, second["target"] == named["node"], "left_semi"), "mid"))
+    return still_open(both, pairs)
 
 
 def hypotheses_of(paths: DataFrame, mode: str = "explore") -> DataFrame:
@@ -105,45 +138,77 @@ def is_promising(passed: Column, reason: Column) -> Column:
 
 
 PATTERNS = ("direct_forward", "direct_reverse", "2hop_forward", "2hop_reverse", "common_cause", "collider")
+#: Neighbours of a node that one join key holds about.
+BUCKET = 1024
+
+
+def _neighbours(links: DataFrame, end: str, other: str, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(node, its degree; node, bucket and neighbour) of one direction: a hub's neighbours are dealt into many buckets."""
+    degree = links.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("degree"))
+    dealt = links.select(F.col(end).alias("node"), F.col(other).alias("mid")).join(degree, "node")
+    width = F.ceil(F.col("degree") / F.lit(float(bucket)))
+    return degree, dealt.select("node", F.pmod(F.xxhash64("mid"), width).alias("bucket"), "mid")
+
+
+def expansions(asked: DataFrame, links: DataFrame, ways: tuple[str, str], bucket: int = BUCKET) -> DataFrame:
+    """source, target, mid and far: for every question the neighbours of its lighter end, and the other end to test them with.
 
+    ways: ``out`` or ``in``, how the source and the target are tied to the middle. A
+    question with an end that has no such neighbour has no rows.
+    """
+    side = {"out": ("u", "v"), "in": ("v", "u")}
+    (deg_s, near_s), (deg_t, near_t) = (_neighbours(links, *side[w], bucket) for w in ways)
+    sized = asked.select("source", "target").join(deg_s.withColumnRenamed("node", "source").withColumnRenamed("degree", "ds"), "source")
+    sized = sized.join(deg_t.withColumnRenamed("node", "target").withColumnRenamed("degree", "dt"), "target")
+    out = []
+    for end, far, own, near, light in (("source", "target", "ds", near_s, F.col("ds") <= F.col("dt")), ("target", "source", "dt", near_t, F.col("ds") > F.col("dt"))):
+        width = F.ceil(F.col(own) / F.lit(float(bucket)))
+        dealt = sized.where(light).select("source", "target", F.col(end).alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), width - 1)).alias("bucket"))
+        met = dealt.join(near, ["node", "bucket"]).where((F.col("mid") != F.col("source")) & (F.col("mid") != F.col("target")))
+        out.append(met.select("source", "target", "mid", F.col(far).alias("far"), F.lit(end == "source").alias("from_source")))
+    return out[0].union(out[1])
+
+
+def wedges(asked: DataFrame, links: DataFrame, ways: tuple[str, str], bucket: int = BUCKET) -> DataFrame:
+    """(source, target, mid): the least middle that ties a question's ends so.
+
+    The lighter end is expanded and each middle tested by its link to the other end, so a
+    hub costs what its partner has, and its own link only as a key of the test.
+    """
+    grown = expansions(asked, links, ways, bucket)
+    ties = {"out": links.select(F.col("u").alias("far"), F.col("v").alias("mid")), "in": links.select(F.col("v").alias("far"), F.col("u").alias("mid"))}
+    hit = grown.where("from_source").join(ties[ways[1]], ["far", "mid"], "left_semi").unionByName(grown.where("not from_source").join(ties[ways[0]], ["far", "mid"], "left_semi"))
+    return hit.groupBy("source", "target").agg(F.min("mid").alias("mid"))
 
-def verify_pairs(questions: DataFrame, edges: DataFrame) -> DataFrame:
+
+def verify_pairs(questions: DataFrame, edges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """connection_type and path of each (source, target): the first pattern of the ladder that holds.
 
     Two-hop ways go through the middle of least first-edge position (edge rows in
     order of subject, predicate, object); common causes and colliders through the first
     node in the order of nodes. Ends that the graph lacks give ``none``. Question rows
-    are distinct pairs.
+    are distinct pairs. Each step of the ladder asks only what those before left open.
     """
-    e = edges.select(F.col("subject").alias("u"), F.col("object").alias("v")).distinct()
-    q = questions.select("source", "target").distinct()
-    out_s = q.join(e.select(F.col("u").alias("source"), F.col("v").alias("mid")), "source")
-    out_t = q.join(e.select(F.col("u").alias("target"), F.col("v").alias("mid")), "target")
-    in_s = q.join(e.select(F.col("v").alias("source"), F.col("u").alias("mid")), "source")
-    in_t = q.join(e.select(F.col("v").alias("target"), F.col("u").alias("mid")), "target")
-    key = ["source", "target", "mid"]
-
-    def found(df: DataFrame, rank: int, path: Column) -> DataFrame:
-        return df.select("source", "target", F.lit(rank).alias("rank"), path.alias("path"))
-
+    scratch = Scratch(edges.sparkSession, "verify")
+    links = scratch.write(edges.select(F.col("subject").alias("u"), F.col("object").alias("v")).distinct())
+    left = scratch.write(questions.select("source", "target").distinct())
     s, t, m = F.col("source"), F.col("target"), F.col("mid")
-
-    def two(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b.select(*key), key).where((m != s) & (m != t))
-
-    options = [
-        found(out_s.where(m == t), 0, F.array(s, t)),
-        found(out_t.where(m == s), 1, F.array(t, s)),
-        found(two(out_s, in_t), 2, F.array(s, m, t)),
-        found(two(out_t, in_s), 3, F.array(t, m, s)),
-        found(two(in_s, in_t), 4, F.array(s, m, t)),
-        found(two(out_s, out_t), 5, F.array(s, m, t)),
-    ]
-    best = reduce(DataFrame.union, options).groupBy("source", "target").agg(F.min(F.struct("rank", "path")).alias("b"))
-    names = F.array(*(F.lit(p) for p in PATTERNS))
-    return q.join(best, ["source", "target"], "left").select(
-        "source", "target", F.coalesce(F.get(names, F.col("b.rank")), F.lit("none")).alias("connection_type"), F.col("b.path").alias("path")
-    )
+    done = []
+
+    def settle(hit: DataFrame, rank: int, path: Column) -> None:
+        nonlocal left
+        found = scratch.write(hit.select("source", "target", F.lit(PATTERNS[rank]).alias("connection_type"), path.alias("path")))
+        done.append(found)
+        left = scratch.write(left.join(found, ["source", "target"], "left_anti"))
+
+    for rank, (u, v) in enumerate((("source", "target"), ("target", "source"))):
+        ends = links.select(F.col("u").alias(u), F.col("v").alias(v))
+        settle(left.join(ends, ["source", "target"], "left_semi"), rank, F.array(u, v))
+    steps = ((("out", "in"), F.array(s, m, t)), (("in", "out"), F.array(t, m, s)), (("in", "in"), F.array(s, m, t)), (("out", "out"), F.array(s, m, t)))
+    for rank, (ways, path) in enumerate(steps, 2):
+        settle(wedges(left, links, ways, bucket), rank, path)
+    none = left.select("source", "target", F.lit("none").alias("connection_type"), F.lit(None).cast("array<string>").alias("path"))
+    return reduce(DataFrame.union, done).union(none)
 
 
 def supporting_papers(hypotheses: DataFrame, pairs: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import policy as P
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import graph as G
+from ..operators import incremental as I
 from ..operators import reason as R
 from . import views as V
 from .registry import Registry
@@ -194,7 +195,8 @@ def promising(spark, sf):
 
 @REG.query(
     f"""WITH {V.SQL_HYPOTHESES}, p AS (SELECT subject u, object v FROM v_pairs),
-q AS (SELECT source, target FROM v_hyp UNION SELECT target, source FROM v_hyp),
+q AS (SELECT source, target FROM v_hyp UNION SELECT target, source FROM v_hyp UNION SELECT u, v FROM p UNION SELECT v, u FROM p
+  UNION SELECT min(v), max(v) FROM p GROUP BY u UNION SELECT min(u), max(u) FROM p GROUP BY v UNION SELECT u, 'no ' || u FROM p),
 c AS (
   SELECT source, target, 0 AS r, [source, target] AS path FROM q JOIN p ON u = source AND v = target
   UNION ALL SELECT source, target, 1, [target, source] FROM q JOIN p ON u = target AND v = source
@@ -207,13 +209,42 @@ SELECT source, target, coalesce((['direct_forward', 'direct_reverse', '2hop_forw
 array_to_string(b.path, ' > ') AS path FROM q LEFT JOIN m USING (source, target)"""
 )
 def verification_ladder(spark, sf):
-    """The ends of every hypothesis are verified, both ways round."""
+    """Verified are the ends of every hypothesis and of every edge, both ways round, two effects of each node, two causes of each, and a node that is not there."""
     pairs = V.projected_pairs(spark, sf)
     ends = V.hypotheses(spark, sf, pairs).select("source", "target")
-    questions = V.written(ends.union(ends.select("target", "source")).distinct(), "questions")
+    edges = pairs.select(F.col("subject").alias("source"), F.col("object").alias("target"))
+    effects = pairs.groupBy("subject").agg(F.min("object").alias("source"), F.max("object").alias("target")).select("source", "target")
+    causes = pairs.groupBy("object").agg(F.min("subject").alias("source"), F.max("subject").alias("target")).select("source", "target")
+    absent = edges.select("source", F.concat(F.lit("no "), "source").alias("target"))
+    questions = ends.union(edges)
+    questions = questions.union(questions.select("target", "source")).union(effects).union(causes).union(absent)
     return V.flat(R.verify_pairs(questions, pairs), "path", sep=" > ")
 
 
+@REG.query(f"{_PATHS} SELECT source, mid, target, array_to_string(p1, ',') AS predicates_1, array_to_string(p2, ',') AS predicates_2, confidence FROM v_paths")
+def incremental_paths(spark, sf):
+    """Paths of the graph of even sources, brought up to date with all sources."""
+    t = V.written(V.projected_triples(spark, sf), "triples")
+    before = V.live_pairs(V.written(G.pair_edges(G.structural_edges(t.where("ingestion_source_id % 2 = 0"))), "before"))
+    after = V.live_pairs(V.written(G.pair_edges(G.structural_edges(t)), "after"))
+    known = V.written(R.discovery_paths(before), "paths")
+    found = I.updated_paths(known, before, after)
+    found = V.flat(found, "predicates_1", "predicates_2")
+    return found.select("source", "mid", "target", "predicates_1", "predicates_2", F.least("support_1", "support_2").alias("confidence"))
+
+
+@REG.query(
+    f"""{_PATHS}, n AS (SELECT node, min(ingestion_source_id % 2) AS odd FROM (SELECT subject AS node, ingestion_source_id FROM v_triples UNION ALL SELECT object, ingestion_source_id FROM v_triples) GROUP BY node),
+e AS (SELECT node FROM n WHERE odd = 1 UNION SELECT unnest([{", ".join(map(V.sql_quote, SEEDS))}]))
+SELECT source, mid, target FROM v_paths WHERE source IN (SELECT node FROM e) OR target IN (SELECT node FROM e)"""
+)
+def effective_seed_paths(spark, sf):
+    """Paths that start or end in a seed or in a node that the last version lacked."""
+    seeds = R.effective_seeds(SEEDS, G.affected_nodes(_versions(spark, sf)))
+    pairs = V.live_pairs(V.projected_pairs(spark, sf))
+    return R.discovery_paths(pairs, seeds=V.written(seeds, "seeds")).select("source", "mid", "target")
+
+
 @REG.query(
     f"""WITH {V.SQL_HYPOTHESES}, hop AS (
   SELECT source, target, path, 1 AS hop, source AS subject, mid AS object FROM v_hyp
