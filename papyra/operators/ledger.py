@@ -47,10 +47,10 @@ def by_doi(candidates: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def by_external_id(candidates: DataFrame, papers: DataFrame) -> DataFrame:
-    """(paper_id, match): the least known paper that shares any (type, value) id, any case."""
+    """(paper_id, match): the least known paper that shares any (type, value) id, any case; blank ids are none."""
 
     def ids(df: DataFrame) -> DataFrame:
-        e = df.select("paper_id", F.explode("external_ids").alias("t", "v")).where("v <> ''")
+        e = df.select("paper_id", F.explode("external_ids").alias("t", "v")).where("trim(v) <> ''")
         return e.select("paper_id", F.lower("t").alias("t"), F.lower(F.trim("v")).alias("v"))
 
     known = ids(papers).groupBy("t", "v").agg(F.min("paper_id").alias("match"))

@@ -110,8 +110,8 @@ def stagnation_window(spark, sf):
 
 
 _DECIDE = """CASE WHEN passed_hypothesis_count = 0 AND promising_hypothesis_count = 0 THEN 'insufficient_signal' WHEN saturated THEN 'halt_no_hypothesis' WHEN growth_score > 0.5 THEN 'strategic_download_targeted'
-WHEN max_paths_per_pair >= 2 AND is_dominant_clear AND max_normalized_confidence >= 0.7 THEN 'halt_confident'
-WHEN abs(evidence_growth_rate) <= 0.1 AND max_paths_per_pair < 2 AND graph_density > 0.05 AND diversity_score > 0.3 THEN 'halt_no_hypothesis'
+WHEN job_id % 4 > 1 AND max_paths_per_pair >= 2 AND is_dominant_clear AND max_normalized_confidence >= 0.7 THEN 'halt_confident'
+WHEN job_id % 4 > 1 AND abs(evidence_growth_rate) <= 0.1 AND max_paths_per_pair < 2 AND graph_density > 0.05 AND diversity_score > 0.3 THEN 'halt_no_hypothesis'
 WHEN pairs < 2 OR diversity_score < 0.3 OR graph_density < 0.05 THEN 'fetch_more_literature' ELSE 'insufficient_signal' END"""
 _MEASURES = """m AS (SELECT *, job_id % 3 AS max_paths_per_pair, job_id % 5 = 0 AS is_dominant_clear, (job_id % 11) / 10.0 AS max_normalized_confidence, (job_id % 7) / 50.0 AS graph_density, job_id % 4 + 1 AS pairs FROM v_t)"""
 
@@ -120,7 +120,7 @@ def _decisions(spark, sf) -> DataFrame:
     """History with the measurements that events lack made from the job id."""
     j = F.col("job_id")
     m = {
-        "mean_path_length": F.lit(3.0), "max_paths_per_pair": j % 3, "is_dominant_clear": j % 5 == 0, "max_normalized_confidence": (j % 11) / 10.0,
+        "mean_path_length": (j % 4).cast("double"), "max_paths_per_pair": j % 3, "is_dominant_clear": j % 5 == 0, "max_normalized_confidence": (j % 11) / 10.0,
         "graph_density": (j % 7) / 50.0, "unique_source_target_pairs": j % 4 + 1,
     }
     return D.saturated(D.growth(snapshots(spark, sf))).withColumn("decision", D.decide_discovery(m))
@@ -230,11 +230,18 @@ def signal_delta(spark, sf):
     return a.withColumn("delta", delta).select("run_id", F.round("delta", 6).alias("delta"), D.signal_class(F.col("delta")).alias("s")).select("run_id", "delta", "s.*")
 
 
+_SAID = "(conv_id + turn) % 9"
+
+
 @REG.query(
-    f"""WITH a AS (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN text || ' HALT_CONFIDENT.' WHEN 1 THEN 'So: fetch_more_literature ' || text ELSE text END) AS a FROM conversations)
+    f"""WITH a AS (SELECT conv_id, turn, lower(CASE {_SAID} {' '.join(f"WHEN {k} THEN 'So: {d.upper()}, ' || text" for k, d in enumerate(P.DECISIONS))}
+WHEN 7 THEN text || ' verification_not_found or Halt_Confident.' ELSE text END) AS a FROM conversations)
 SELECT conv_id, turn, CASE {' '.join(f"WHEN contains(a, '{d}') THEN '{d}'" for d in P.DECISIONS)} ELSE 'insufficient_signal' END AS decision FROM a"""
 )
 def decision_text(spark, sf):
+    """Answers that name each label, answers that name two, and answers that name none."""
     c = V.read(spark, sf, "conversations")
-    answer = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" HALT_CONFIDENT."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("So: fetch_more_literature "), "text")).otherwise(F.col("text"))
+    answer = F.when(F.expr(f"{_SAID} = 7"), F.concat("text", F.lit(" verification_not_found or Halt_Confident."))).otherwise(F.col("text"))
+    for k, label in enumerate(P.DECISIONS):
+        answer = F.when(F.expr(f"{_SAID} = {k}"), F.concat(F.lit(f"So: {label.upper()}, "), "text")).otherwise(answer)
     return c.select("conv_id", "turn", D.decision_in(answer).alias("decision"))

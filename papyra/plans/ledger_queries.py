@@ -19,16 +19,22 @@ from .text_queries import SQL_BLOCKS, SQL_FINGERPRINT, SQL_SOURCES, sources
 REG = Registry()
 
 
+#: Two kinds of ids, in two spellings; some blank, some papers without any.
+_EXTERNAL = """CASE WHEN doc_id % 5 <> 2 THEN map('arXiv', CAST(doc_id % 89 AS STRING), 'PubMed',
+CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 2 = 0 THEN concat('P', doc_id % 71) ELSE concat('p', doc_id % 71) END) END"""
+
+
 def papers(spark, sf) -> DataFrame:
     """Documents as papers; every third is a candidate, the others are known."""
     i = F.col("doc_id")
     return V.read(spark, sf, "documents").select(
-        i.alias("paper_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.concat(F.lit("10.1/X"), i % 800).alias("doi"),
-        F.create_map(F.lit("arXiv"), (i % 90).cast("string")).alias("external_ids"), T.fingerprint(F.substring("text", 1, 80), F.col("text")).alias("fingerprint"),
+        i.alias("paper_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.when(i % 4 != 1, F.concat(F.lit("10.1/X"), i % 151)).alias("doi"),
+        F.expr(_EXTERNAL).alias("external_ids"), T.fingerprint(F.substring("text", 1, 80), F.col("text")).alias("fingerprint"),
     )
 
 
-SQL_PAPERS = f"""p AS (SELECT doc_id AS paper_id, text AS abstract, '10.1/X' || doc_id % 800 AS doi, doc_id % 90 AS arxiv, {SQL_FINGERPRINT} AS fp FROM documents),
+SQL_PAPERS = f"""p AS (SELECT doc_id AS paper_id, text AS abstract, CASE WHEN doc_id % 4 <> 1 THEN '10.1/X' || doc_id % 151 END AS doi, CASE WHEN doc_id % 5 <> 2 THEN doc_id % 89 END AS arxiv,
+CASE WHEN doc_id % 5 <> 2 AND doc_id % 7 <> 0 THEN doc_id % 71 END AS pubmed, {SQL_FINGERPRINT} AS fp FROM documents),
 c AS (SELECT * FROM p WHERE paper_id % 3 = 0), k AS (SELECT * FROM p WHERE paper_id % 3 <> 0)"""
 
 
@@ -42,7 +48,7 @@ def doi_dedup(spark, sf):
     return L.by_doi(*_split(spark, sf))
 
 
-@REG.query(f"WITH {SQL_PAPERS} SELECT c.paper_id, min(k.paper_id) AS match FROM c JOIN k ON c.arxiv = k.arxiv GROUP BY c.paper_id")
+@REG.query(f"WITH {SQL_PAPERS} SELECT c.paper_id, min(k.paper_id) AS match FROM c JOIN k ON c.arxiv = k.arxiv OR c.pubmed = k.pubmed GROUP BY c.paper_id")
 def external_id_dedup(spark, sf):
     return L.by_external_id(*_split(spark, sf))
 
@@ -53,14 +59,15 @@ def fingerprint_dedup(spark, sf):
 
 
 @REG.query(
-    f"""WITH {SQL_PAPERS}, m AS (SELECT c.paper_id, (SELECT min(paper_id) FROM k WHERE lower(k.doi) = lower(c.doi)) AS d, (SELECT min(paper_id) FROM k WHERE k.arxiv = c.arxiv AND c.paper_id % 2 = 0) AS e,
+    f"""WITH {SQL_PAPERS}, m AS (SELECT c.paper_id, (SELECT min(paper_id) FROM k WHERE lower(k.doi) = lower(c.doi) AND c.paper_id % 9 = 0) AS d, (SELECT min(paper_id) FROM k WHERE (k.arxiv = c.arxiv OR k.pubmed = c.pubmed) AND c.paper_id % 2 = 0) AS e,
 (SELECT min(paper_id) FROM k WHERE k.fp = c.fp) AS f FROM c)
 SELECT paper_id, coalesce(d, e, f) AS match, CASE WHEN d IS NOT NULL THEN 'doi' WHEN e IS NOT NULL THEN 'external_id' WHEN f IS NOT NULL THEN 'fingerprint' END AS match_type,
 CASE WHEN d IS NOT NULL THEN 1.0 WHEN e IS NOT NULL THEN 0.95 WHEN f IS NOT NULL THEN 0.9 END::DOUBLE AS match_confidence FROM m"""
 )
 def dedup_ladder(spark, sf):
     c, k = _split(spark, sf)
-    c = c.withColumn("external_ids", F.when(F.col("paper_id") % 2 == 0, F.col("external_ids")))
+    i = F.col("paper_id")
+    c = c.withColumns({"external_ids": F.when(i % 2 == 0, F.col("external_ids")), "doi": F.when(i % 9 == 0, F.col("doi"))})
     return L.find_duplicates(c, k).select("paper_id", "match", "match_type", "match_confidence")
 
 

@@ -248,13 +248,13 @@ def acronym_extract(spark, sf):
     return _pieces(spark, sf).select("doc_id", T.acronym(s).alias("acronym"), T.project_subject(s).alias("subject"))
 
 
-_MIXED = """mixed AS (SELECT CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN (1900 + page_id % 300)::VARCHAR WHEN 2 THEN 'doi:10.1/' || page_id WHEN 3 THEN 'arXiv:' || page_id || '.5'
+_MIXED = """mixed AS (SELECT CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN (1900 + page_id % 300)::VARCHAR WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN '10.1/' ELSE 'doi:10.1/' END || page_id WHEN 3 THEN 'arXiv:' || page_id || '.5'
 WHEN 4 THEN 'PMID:' || page_id WHEN 5 THEN 'ISSN 1234-' || (5000 + page_id % 1000) WHEN 6 THEN 'Gene-' || page_id WHEN 7 THEN 'DNA' ELSE page_id || '%' END AS node, page_id FROM pages)"""
 
 
 def _mixed(spark, sf) -> DataFrame:
     k, i = F.col("page_id") % 9, F.col("page_id")
-    options = ["url", (1900 + i % 300).cast("string"), F.concat(F.lit("doi:10.1/"), i), F.concat(F.lit("arXiv:"), i, F.lit(".5")), F.concat(F.lit("PMID:"), i),
+    options = ["url", (1900 + i % 300).cast("string"), F.concat(F.when(i % 2 == 0, "10.1/").otherwise("doi:10.1/"), i), F.concat(F.lit("arXiv:"), i, F.lit(".5")), F.concat(F.lit("PMID:"), i),
                F.concat(F.lit("ISSN 1234-"), 5000 + i % 1000), F.concat(F.lit("Gene-"), i), F.lit("DNA"), F.concat(i, F.lit("%"))]
     node = F.when(k == 0, F.col("url"))
     for j, o in enumerate(options[1:], 1):
