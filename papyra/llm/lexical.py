@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..cluster import ship
+from ..functions import varint
 from ..operators.scratch import Scratch
 
 #: Documents of a shard and their terms (with repeats) at most, but for a single long document.
@@ -46,40 +47,16 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _BREAK), lambda w: w != "")
 
 
-def pack_numbers(v: np.ndarray) -> bytes:
-    """Numbers from 0 as variable-length bytes, seven bits a byte, the lowest first."""
-    v = v.astype(np.uint64)
-    size = np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        size += v >= np.uint64(1 << (7 * k))
-    start = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max()) if len(v) else 0):
-        on = size > k
-        more = np.where(size[on] > k + 1, 128, 0)
-        out[start[on] + k] = ((v[on] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more.astype(np.uint8)
-    return out.tobytes()
-
-
-def unpack_numbers(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64)
-    start = np.concatenate(([0], np.flatnonzero(b < 128)[:-1] + 1))
-    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
-    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), start)
-
-
 def pack_postings(docs: np.ndarray, tf: np.ndarray) -> bytes:
     """Ascending document numbers as gaps, each followed by its term frequency."""
     pairs = np.empty(2 * len(docs), np.int64)
     pairs[0::2] = np.diff(docs, prepend=0)
     pairs[1::2] = tf
-    return pack_numbers(pairs)
+    return varint.pack(pairs)[0].tobytes()
 
 
 def unpack_postings(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    pairs = unpack_numbers(raw)
+    pairs = varint.unpack(raw)
     return np.cumsum(pairs[0::2]), pairs[1::2]
 
 

@@ -84,11 +84,15 @@ def test_terms_alike_in_spark_and_python(spark):
         assert r["w"] == terms(r["t"]) == [w.decode() for w in r["t"].encode().translate(lexical._LOWER).split()]
 
 
-def test_numbers_round_trip():
+def test_postings_round_trip():
     rng = np.random.default_rng(2)
     for size in (0, 1, 5, 1000):
-        v = (rng.integers(0, 1 << 62, size) >> rng.integers(0, 62, size)).astype(np.int64)
-        assert lexical.unpack_numbers(lexical.pack_numbers(v)).tolist() == v.tolist()
+        docs = np.cumsum(rng.integers(1, 1 << 20, size))
+        tf = rng.integers(1, 1 << 40, size)
+        raw = lexical.pack_postings(docs, tf)
+        back = lexical.unpack_postings(raw)
+        assert back[0].tolist() == docs.tolist() and back[1].tolist() == tf.tolist()
+    assert len(lexical.pack_postings(np.arange(1000), np.ones(1000, int))) == 2000
 
 
 def test_best_documents_equals_sorting():
