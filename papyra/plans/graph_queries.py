@@ -11,6 +11,8 @@ from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import incremental as I
 from ..operators import reason as R
+from ..operators import versions as W
+from ..operators.scratch import Scratch
 from . import views as V
 from .registry import Registry
 
@@ -410,3 +412,45 @@ SELECT source, target, path, NOT ((source IN (SELECT node FROM n WHERE odd = 1))
 def partial_deactivate(spark, sf):
     affected = G.affected_nodes(_versions(spark, sf))
     return V.flat(G.deactivate(V.hypotheses(spark, sf), affected), "path", sep=" > ").select("source", "target", "path", "is_active")
+
+
+_OF_JOBS = f"""WITH {V.SQL_TRIPLES}, t AS (SELECT job_id, version, subject, predicate, object, ingestion_source_id FROM v_triples, (SELECT unnest([1, 2]) AS version) WHERE version = 2 OR ingestion_source_id % 8 < 4),
+e AS (SELECT job_id, version, subject, predicate, object, count(DISTINCT ingestion_source_id) AS support FROM t GROUP BY ALL)"""
+
+
+def _published(spark, sf) -> W.VersionedTable:
+    """Graphs of four jobs, published twice: half of the sources, then all; job 3 is withdrawn, and job 2 once more published."""
+    table = W.VersionedTable(spark, Scratch(spark, "versions").folder())
+    t = V.written(V.triples(spark, sf), "triples")
+
+    def edges(rows: DataFrame) -> DataFrame:
+        seen = rows.select("job_id", *E.KEY, "ingestion_source_id").distinct()
+        return seen.groupBy("job_id", *E.KEY).agg(F.count("*").alias("support"))
+
+    first = table.publish({"edges": edges(t.where("ingestion_source_id % 8 < 4"))}, now=1000.0)
+    table.publish({"edges": edges(t)}, expect=first, now=2000.0)
+    table.deactivate(3, now=3000.0)
+    table.publish({"edges": edges(t.where("job_id = 2"))}, now=4000.0)
+    return table
+
+
+@REG.query(f"{_OF_JOBS} SELECT job_id, CASE WHEN job_id = 2 THEN 3 ELSE 2 END::BIGINT AS version, subject, predicate, object, support FROM e WHERE version = 2 AND job_id <> 3")
+def published_edges(spark, sf):
+    """What is active of all jobs after publications and a withdrawal."""
+    return _published(spark, sf).active("edges").select("job_id", "version", *E.KEY, "support")
+
+
+@REG.query(
+    f"""{_OF_JOBS}, n AS (SELECT job_id, version, count(*) AS n FROM e GROUP BY ALL)
+SELECT job_id, version AS entry, version, 'publish' AS action, n AS rows, version * 1000000 AS created_at FROM n
+UNION ALL SELECT 3, 3, 2, 'withdraw', 0, 3000000 UNION ALL SELECT 2, 3, 3, 'publish', n, 4000000 FROM n WHERE job_id = 2 AND version = 2"""
+)
+def version_log(spark, sf):
+    """The log of the same publications as a table."""
+    return _published(spark, sf).manifest().select("job_id", "entry", "version", "action", "rows", "created_at")
+
+
+@REG.query(f"{_OF_JOBS} SELECT subject, predicate, object, support FROM e WHERE job_id = 3 AND version = 1")
+def published_version(spark, sf):
+    """A version that is no longer active, read by its number."""
+    return _published(spark, sf).read("edges", 3, 1).select(*E.KEY, "support")
