@@ -262,11 +262,11 @@ def scan(
     docs = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")
     )
-    # The generator makes each k-gram with its neighbours, so no row holds all words of its text.
-    around = {"_before": -1, **{f"_w{k}": k for k in range(gram)}, "_after": gram}
-    each = F.transform(
-        "words", lambda w, i: F.struct(*(F.when(i + k >= 0, F.get(F.col("words"), i + k)).alias(c) for c, k in around.items()))
-    )
+    # Shifted copies side by side: the generator makes each k-gram with its neighbours, so no row holds all words of its text.
+    none = F.array(F.lit(None).cast("string"))
+    around = {"_before": F.concat(none, F.col("words")), "_w0": F.col("words")}
+    around |= {("_after" if k == gram else f"_w{k}"): F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1))) for k in range(1, gram + 1)}
+    each = F.arrays_zip(*(x.alias(c) for c, x in around.items()))
     places = docs.select("row", "id", F.size("words").alias("n_words"), F.posexplode_outer(each).alias("at", "g"))
     places = places.select("row", "id", "n_words", "at", *(F.col("g")[c].alias(c) for c in around))
     word = [F.col(f"_w{k}") for k in range(gram)]
