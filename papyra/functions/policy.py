@@ -178,6 +178,20 @@ STAGE_AFTER = {
     "PATH_REASONING_DONE": "RUNNING_HANDLERS",
     "DOWNLOAD_QUEUED": "READY_TO_INGEST",
 }
+# Retries of a stage at most, and seconds until the next try (None: 1, 2, 4, ...).
+STAGE_RETRIES = {
+    "EXTRACTING": (3, 20),
+    "READY_TO_INGEST": (3, None),
+    "INGESTED": (3, None),
+    "TRIPLES_EXTRACTED": (2, 10),
+    "STRUCTURAL_GRAPH_BUILT": (2, 10),
+    "GRAPH_SANITIZED": (3, 60),
+    "GRAPH_SEMANTIC_MERGED": (2, None),
+    "PATH_REASONING_DONE": (3, 30),
+    "RUNNING_HANDLERS": (3, 30),
+    "FETCH_QUEUED": (3, None),
+    "DOWNLOAD_QUEUED": (3, None),
+}
 MANUAL_TRIGGERS = {
     "READY_TO_INGEST": "ingest",
     "TRIPLES_EXTRACTED": "structural_graph",

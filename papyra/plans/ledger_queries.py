@@ -12,6 +12,8 @@ from ..operators import ingest as I
 from ..operators import ledger as L
 from ..operators.components import connected_components as components
 from ..operators.scratch import Scratch
+from ..streaming import ingest as S
+from ..streaming import jobs as J
 from . import views as V
 from .registry import Registry
 from .text_queries import SQL_BLOCKS, SQL_FINGERPRINT, SQL_SOURCES, sources
@@ -255,17 +257,41 @@ def cluster_score(spark, sf):
 @REG.query(f"WITH RECURSIVE {SQL_BLOCKS} SELECT source_id, block_order::INTEGER AS block_order, block_text FROM v_blocks")
 def stream_ingest(spark, sf):
     """The slicer run as a stream over the documents' files; equals the batch result."""
-    from ..streaming.ingest import stream_blocks
-
     V.ship(spark)
-    return stream_blocks(spark, f"{sf}/documents.parquet")
+    base = Scratch(spark, "stream").folder()
+    return S.stream_blocks(S.source(spark, f"{sf}/documents.parquet"), f"{base}/blocks", f"{base}/state")
 
 
 @REG.query(f"SELECT {SQL_FINGERPRINT} AS fingerprint, min(doc_id) AS first_seen FROM documents GROUP BY 1")
 def stream_new_papers(spark, sf):
-    """Fetched papers deduplicated by fingerprint across micro-batches."""
-    from ..streaming.ingest import stream_first_seen
+    """The first document of each fingerprint over all micro-batches."""
+    V.ship(spark)
+    key = T.fingerprint(F.substring("text", 1, 80), F.col("text"))
+    base = Scratch(spark, "stream").folder()
+    return S.stream_first_seen(S.source(spark, f"{sf}/documents.parquet"), key, f"{base}/seen", f"{base}/state").withColumnRenamed("key", "fingerprint")
 
+
+@REG.query(f"SELECT DISTINCT {SQL_FINGERPRINT} AS fingerprint FROM documents")
+def stream_unique_papers(spark, sf):
+    """Fetched papers, each fingerprint once, remembered for a bounded time."""
     V.ship(spark)
     key = T.fingerprint(F.substring("text", 1, 80), F.col("text"))
-    return stream_first_seen(spark, f"{sf}/documents.parquet", key).withColumnRenamed("key", "fingerprint")
+    base = Scratch(spark, "stream").folder()
+    rows = S.source(spark, f"{sf}/documents.parquet").withColumn("at", F.timestamp_seconds(F.col("doc_id") + 1_600_000_000))
+    return S.stream_new(rows, key, "at", f"{base}/new", f"{base}/state").select(F.col("key").alias("fingerprint"))
+
+
+@REG.query()
+def stream_status_log(spark, sf):
+    """Users as jobs, their events as what happens to them: the stream's log of statuses, retries and barriers."""
+    V.ship(spark)
+    base = Scratch(spark, "stream").folder()
+    e = S.source(spark, f"{sf}/events.parquet")
+    stages = F.array(*map(F.lit, ("EXTRACTING", "READY_TO_INGEST", "INGESTED", "TRIPLES_EXTRACTED")))
+    kinds = F.array(*map(F.lit, ("expect", "extracted", "done", "failed", "set")))
+    made = e.select(
+        F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"),
+        F.get(stages, (F.crc32(F.col("event_type").cast("binary")) % 4).cast("int")).alias("stage"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("file"), F.lit(1).alias("number"),
+    )
+    J.stream_status(made, f"{base}/log", f"{base}/state", "1 day").awaitTermination()
+    return J.read_log(spark, f"{base}/log").withColumn("at", F.col("at").cast("string"))
