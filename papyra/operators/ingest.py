@@ -118,9 +118,11 @@ def adapter_of(source_type: Column, ref: Column) -> Column:
     )
 
 
-def slice_sources(sources: DataFrame, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
+def slice_sources(
+    sources: DataFrame, id_col: str = "source_id", text_col: str = "text", per_block: int = P.SENTENCES_PER_BLOCK, tokens: int = P.TOKENS_PER_BLOCK
+) -> DataFrame:
     """(source_id, block_order, block_text) of every source; blank sources have none."""
-    return sources.select(F.col(id_col).alias("source_id"), F.posexplode(T.blocks(F.col(text_col))).alias("block_order", "block_text"))
+    return sources.select(F.col(id_col).alias("source_id"), F.posexplode(T.blocks(F.col(text_col), per_block, tokens)).alias("block_order", "block_text"))
 
 
 def pending_sources(sources: DataFrame) -> DataFrame:

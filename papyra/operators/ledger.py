@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,21 +59,42 @@ def by_external_id(candidates: DataFrame, papers: DataFrame) -> DataFrame:
     return ids(candidates).join(known, ["t", "v"]).groupBy("paper_id").agg(F.min("match").alias("match"))
 
 
-def by_fingerprint(candidates: DataFrame, papers: DataFrame) -> DataFrame:
-    """(paper_id, match): the least known paper of equal fingerprint.
+#: Places of a fingerprint.
+FINGERPRINT_CHARS = 64
 
-    Unrelated digests differ in about fifteen of sixteen places, so a similarity of
-    0.95 holds for equal ones only and the join is an equality.
-    """
-    known = papers.groupBy("fingerprint").agg(F.min("paper_id").alias("match"))
-    return candidates.join(known, "fingerprint").select("paper_id", "match")
 
+def by_fingerprint(candidates: DataFrame, papers: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(paper_id, match): the least known paper whose fingerprint is alike enough.
 
-def find_duplicates(candidates: DataFrame, papers: DataFrame) -> DataFrame:
+    Unrelated digests differ in about fifteen of sixteen places, so a similarity of
+    0.95 holds for equal ones only and without a threshold the join is an equality. With
+    one it is exact for any: fingerprints that differ in at most d places agree in one
+    of d + 1 stretches, on which they are joined before their distance is taken.
+    """
+    seen = papers.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("paper_id").alias("match"))
+    most = 0 if similarity is None else int((1 - similarity) * 4 * FINGERPRINT_CHARS + 1e-9)
+    if most == 0:
+        return candidates.join(seen, "fingerprint").select("paper_id", "match")
+    mine = candidates.where("fingerprint <> ''")
+    if most >= FINGERPRINT_CHARS:
+        # No two are further apart than that.
+        return mine.crossJoin(F.broadcast(seen.agg(F.min("match").alias("match")))).where("match is not null").select("paper_id", "match")
+    cuts = [k * FINGERPRINT_CHARS // (most + 1) for k in range(most + 2)]
+    parts = F.array(*(F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))
+
+    def stretches(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*more, "fingerprint", F.posexplode(parts).alias("place", "part"))
+
+    met = stretches(mine, "paper_id").join(stretches(seen, "match").withColumnRenamed("fingerprint", "_f"), ["place", "part"])
+    near = met.where(T.fingerprint_similarity(F.col("fingerprint"), F.col("_f")) >= similarity)
+    return near.groupBy("paper_id").agg(F.min("match").alias("match"))
+
+
+def find_duplicates(candidates: DataFrame, papers: DataFrame, similarity: float | None = None) -> DataFrame:
     """Each candidate with match, match_type and confidence of the first test that finds a known paper."""
     d = by_doi(candidates, papers).withColumnRenamed("match", "_d")
     e = by_external_id(candidates, papers).withColumnRenamed("match", "_e")
-    f = by_fingerprint(candidates, papers).withColumnRenamed("match", "_f")
+    f = by_fingerprint(candidates, papers, similarity).withColumnRenamed("match", "_f")
     out = candidates.join(d, "paper_id", "left").join(e, "paper_id", "left").join(f, "paper_id", "left")
     kind = F.when(F.col("_d").isNotNull(), "doi").when(F.col("_e").isNotNull(), "external_id").when(F.col("_f").isNotNull(), "fingerprint")
     sure = F.when(kind == "doi", 1.0).when(kind == "external_id", 0.95).when(kind == "fingerprint", 0.9)
@@ -89,6 +112,13 @@ def new_sources(papers: DataFrame, sources: DataFrame) -> DataFrame:
     return refs.join(sources, ["job_id", "source_ref"], "left_anti")
 
 
+def search_texts(hypotheses: DataFrame, focus_areas: Sequence[str] = ()) -> DataFrame:
+    """(job_id, signature, query_text) of the searches for hypotheses, narrowed by the job's focus areas."""
+    focus = F.array(*map(F.lit, focus_areas)).cast("array<string>")
+    s, t = F.col("source"), F.col("target")
+    return hypotheses.select("job_id", T.hypothesis_signature(s, t).alias("signature"), T.query_text(s, t, focus).alias("query_text")).distinct()
+
+
 def missing_queries(wanted: DataFrame, queries: DataFrame) -> DataFrame:
     """Wanted searches (job_id, signature, query_text) whose signature the job has not used, once each."""
     return wanted.dropDuplicates(["job_id", "signature"]).join(queries, ["job_id", "signature"], "left_anti").withColumn("status", F.lit("new"))
@@ -155,17 +185,17 @@ def evidence_text(hypotheses: DataFrame, edges: DataFrame, blocks: DataFrame, te
     return texts.join(hit, "block_id", "left_semi").select("block_text").distinct()
 
 
-def valid_domain(answer: Column) -> Column:
-    """The allowed domain that a trimmed answer names, any case; else null."""
+def valid_domain(answer: Column, allowed: Sequence[str] = P.ALLOWED_DOMAINS) -> Column:
+    """The allowed domain that a trimmed answer names, any case (the first, if two differ in case only); else null."""
     out = F.lit(None).cast("string")
-    for d in P.ALLOWED_DOMAINS:
+    for d in reversed(allowed):
         out = F.when(F.lower(F.trim(answer)) == d.lower(), d).otherwise(out)
     return out
 
 
-def resolve_domains(pairs: DataFrame, job_domain: str | None, known: DataFrame, answers: DataFrame) -> DataFrame:
+def resolve_domains(pairs: DataFrame, job_domain: str | None, known: DataFrame, answers: DataFrame, allowed: Sequence[str] = P.ALLOWED_DOMAINS) -> DataFrame:
     """Domain of each (source, target): the job's, else the active snapshot's, else the provider's valid answer."""
     k = known.groupBy("source", "target").agg(F.min("domain").alias("_k"))
-    a = answers.select("source", "target", valid_domain(F.col("answer")).alias("_a"))
+    a = answers.select("source", "target", valid_domain(F.col("answer"), allowed).alias("_a"))
     out = pairs.distinct().join(k, ["source", "target"], "left").join(a, ["source", "target"], "left")
     return out.withColumn("domain", F.coalesce(F.lit(job_domain), "_k", "_a")).drop("_k", "_a")

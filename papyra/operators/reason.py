@@ -271,6 +271,11 @@ def pair_groups(hypotheses: DataFrame) -> DataFrame:
     )
 
 
+def top_pairs(hypotheses: DataFrame, k: int = P.TOP_HYPOTHESES) -> DataFrame:
+    """The k pair groups of the highest score, then confidence, then source and target."""
+    return pair_groups(hypotheses).orderBy(F.desc("pair_score"), F.desc("max_confidence"), "source", "target").limit(k)
+
+
 def diverse_leads(hypotheses: DataFrame, k: int = P.LEADS) -> DataFrame:
     """The best hypothesis of each pair, passed ones before promising ones, by confidence; the first k."""
     ready = hypotheses.where(F.col("passed_filter") | is_promising(F.col("passed_filter"), F.col("filter_reason")))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.settings import JobSettings, Policy
-from . import graph as G
-from . import reason as R
+from .run import JobRun
 
 
 def of_job(table: DataFrame, job_id: int) -> DataFrame:
@@ -70,15 +69,5 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def explore(triples: DataFrame, policy: Policy | None = None, job: JobSettings | None = None) -> DataFrame:
-    """Hypotheses of a job's triples under a policy and the job's own settings.
-
-    Excluded entities leave before the graph is built; seeds keep paths that start or
-    end in one, the stoplist drops middles, preferred predicates raise confidence.
-    """
-    policy, job = policy or Policy(), job or JobSettings()
-    edges = G.without_noise(G.structural_edges(triples, list(job.excluded_entities)))
-    pairs = G.suppress_hubs(G.pair_edges(edges), policy.hub_degree)
-    found = R.hypotheses_of(R.discovery_paths(pairs, list(job.seeds) or None, list(job.stoplist)), "query" if job.seeds else "explore")
-    if job.preferred_predicates:
-        found = R.boost(found, list(job.preferred_predicates), policy.predicate_boost)
-    return R.filter_hypotheses(found, least=policy.min_confidence)
+    """Hypotheses of a job's triples under a policy and the job's own settings (``JobRun.explore``)."""
+    return JobRun(policy or Policy(), job or JobSettings()).explore(triples)

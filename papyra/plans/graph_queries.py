@@ -296,8 +296,7 @@ max(confidence) AS max_confidence, count(*) AS n, array_to_string(list_sort(list
 SELECT source, target, pair_score::DOUBLE AS pair_score, max_confidence, n, intermediates FROM g ORDER BY pair_score DESC, max_confidence DESC, source, target LIMIT 5"""
 )
 def top_pairs(spark, sf):
-    g = R.pair_groups(V.hypotheses(spark, sf)).drop("any_passed")
-    return V.flat(g, "intermediates").orderBy(F.desc("pair_score"), F.desc("max_confidence"), "source", "target").limit(P.TOP_HYPOTHESES)
+    return V.flat(R.top_pairs(V.hypotheses(spark, sf)).drop("any_passed"), "intermediates")
 
 
 @REG.query(

@@ -10,6 +10,7 @@ from ..functions.settings import job_settings, policy_of
 from ..operators import decide as D
 from ..operators import ingest as I
 from ..operators import records as N
+from ..operators.run import JobRun
 from . import views as V
 from .registry import Registry
 from .text_queries import SQL_BLOCKS, SQL_FINGERPRINT
@@ -110,3 +111,30 @@ SELECT source, mid, target, c AS confidence, c >= 3 AS passed_filter FROM b WHER
 def policy_overrides(spark, sf):
     h = N.explore(V.triples_with_predicates(spark, sf), policy_of(TUNED), job_settings(JOB))
     return h.select("source", F.get("path", 1).alias("mid"), "target", "confidence", "passed_filter")
+
+
+_SMALL = {"algorithm": {"slicing": {"sentences_per_block": 2}, "deduplication_defaults": {"similarity_threshold": 0.8}}, "query_orchestrator": {"top_k_hypotheses": 4}}
+_FOCUS = {"query_config": {"focus_areas": ["cell", "gene"]}}
+
+
+@REG.query(
+    f"""WITH {V.SQL_HYPOTHESES}, l AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY passed_filter DESC, confidence DESC, path) AS r FROM v_hyp),
+d AS (SELECT source, target FROM l WHERE r = 1 ORDER BY passed_filter DESC, confidence DESC, source, target LIMIT 4)
+SELECT 0 AS job_id, substr(sha256(lower(source) || '→' || lower(target)), 1, 64) AS signature,
+'(relationship between ' || source || ' and ' || target || ') AND (cell OR gene)' AS query_text FROM d"""
+)
+def tuned_searches(spark, sf):
+    """Searches for as many leads as the policy says, within the job's focus areas."""
+    run = JobRun(policy_of(_SMALL), job_settings(_FOCUS))
+    return run.searches(run.leads(V.hypotheses(spark, sf)).withColumn("job_id", F.lit(0)))
+
+
+@REG.query(
+    rf"""WITH s AS (SELECT doc_id, unnest(ss) AS st, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(
+regexp_replace({V.sql_strip('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents))
+SELECT doc_id AS source_id, ((i - 1) // 2)::INTEGER AS block_order, string_agg(st, ' ' ORDER BY i) AS block_text FROM s GROUP BY doc_id, (i - 1) // 2"""
+)
+def tuned_slices(spark, sf):
+    """Blocks of two sentences each, whatever their length."""
+    run = JobRun(policy_of(_SMALL | {"tokens_per_block": 1_000_000}))
+    return run.slices(V.read(spark, sf, "documents"), "doc_id")
