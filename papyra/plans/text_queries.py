@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..functions import tables
 from ..functions import text as T
 from ..operators import ingest as I
 from . import views as V
@@ -131,6 +132,20 @@ def triple_line_parse(spark, sf):
     return t.select("doc_id", F.get("t", 0).alias("subject"), F.get("t", 1).alias("predicate"), F.get("t", 2).alias("object"))
 
 
+@REG.query(
+    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split({_RESPONSE_SQL}, chr(10))) AS line FROM w),
+p AS (SELECT doc_id, list_transform(string_split(line, '|'), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^"(.*)"$', '\1'), '^''(.*)''$', '\1'))) AS p
+  FROM l WHERE length(line) - length(replace(line, '|', '')) = 2)
+SELECT doc_id, p[1] AS subject, p[2] AS predicate, p[3] AS object FROM p WHERE p[1] <> '' AND p[2] <> '' AND p[3] <> ''"""
+)
+def lateral_triples(spark, sf):
+    """The same by a table function in SQL."""
+    tables.register(spark)
+    _responses(spark, sf).createOrReplaceTempView("papyra_responses")
+    return spark.sql("SELECT doc_id, subject, predicate, object FROM papyra_responses, LATERAL parse_triples(response)")
+
+
 @REG.query(
     f"""WITH RECURSIVE {V.SQL_TRIPLES}, {SQL_BLOCKS}, b AS (SELECT source_id * 10000 + block_order + 1 AS block_id FROM v_blocks),
 t AS (SELECT block_id, count(*) AS n FROM v_triples GROUP BY block_id)
