@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..cluster import ship
 from ..functions import policy as P
+from ..operators.intake import progress_event
 
 EVENT = "job_id long, event_id long, at timestamp, kind string, stage string, file string, number int"
 LOG = "job_id long, seq int, at timestamp, status string, cause string"
@@ -202,3 +203,16 @@ def statuses(log: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(out)
+
+
+def stream_progress(events: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Progress events (job_id, phase, status, result) with prompt and message, each once, under out; those there now.
+
+    Files become visible by the sink's commit alone: what a failed task or a failed run
+    wrote before is never read, and the same folders resume.
+    """
+    ship(events.sparkSession)
+    told = progress_event(events)
+    job = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return events.sparkSession.read.schema(told.schema).parquet(out)
