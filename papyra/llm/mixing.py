@@ -20,12 +20,14 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.5
 #: Tokens kept, as a share of all.
 KEEP = 0.5
-#: Rounds of raking at most, rounds of one plan, and the relative miss of a marginal that counts as met.
-ROUNDS, PER_PLAN, TOLERANCE = 120, 10, 1e-7
-#: The rounds of a plan that leave more than this share of the miss have stalled.
-STALLED = 0.999
-#: Up to so many cells are raked in one task without a shuffle, more by shuffles.
+#: Rounds of raking in one plan, and the relative miss of a marginal that counts as met.
+PER_PLAN, TOLERANCE = 10, 1e-7
+#: Plans that leave more than this share of the miss, so many after each other, have stalled.
+STALLED, STALLED_PLANS = 0.999, 3
+#: Up to so many cells are raked in one task without a shuffle, more by sums of each category.
 ONE_TASK_CELLS = 20_000
+#: Categories of a dimension up to which its factors are broadcast to the cells.
+BROADCAST_CATEGORIES = 100_000
 
 #: What a text is about, told by its form: the first pattern that it holds.
 TOPICS = (("table", r"\|[^|\n]*\|"), ("legal", r"(?i)licen[cs]e"), ("data", r"\d{4,}"), ("notice", r"!!"))
@@ -54,14 +56,60 @@ def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None, temper:
     return sums.select(dim, (F.col("w") / F.lit(sums.agg(F.sum("w")).first()[0] or 1.0)).alias(f"target_{dim}"))
 
 
+def _rounds_in_one_task(cells: DataFrame, total: float, scratch: Scratch) -> DataFrame:
+    """cells with weight and off after some rounds; sums are windows over the few cells of one task."""
+    start = cells.coalesce(1).drop("off")
+    for _ in range(PER_PLAN):
+        for dim in DIMENSIONS:
+            have = F.sum("weight").over(Window.partitionBy(dim))
+            start = start.withColumn("weight", F.col("weight") * F.col(f"target_{dim}") * total / have)
+    # The last dimension is met as the rounds leave it; the others tell.
+    miss = [F.abs(F.sum("weight").over(Window.partitionBy(d)) / (F.col(f"target_{d}") * total) - 1) for d in DIMENSIONS]
+    return scratch.write(start.withColumn("off", F.greatest(*miss)))
+
+
+def _with_factors(cells: DataFrame, factors: dict[str, DataFrame], few: dict[str, bool]) -> DataFrame:
+    for dim, table in factors.items():
+        cells = cells.join(F.broadcast(table) if few[dim] else table, dim)
+    return cells
+
+
+def _rounds_by_sums(cells: DataFrame, total: float, scratch: Scratch) -> DataFrame:
+    """The same for cells of any number: each step sums the cells by category, which combines in every task.
+
+    What changes is a factor a category; the cells are read, never shuffled whole.
+    """
+    few = {d: cells.select(d).distinct().count() <= BROADCAST_CATEGORIES for d in DIMENSIONS}
+    base = cells.drop("off")
+    factors: dict[str, DataFrame] = {}
+    for _ in range(PER_PLAN):
+        for dim in DIMENSIONS:
+            others = {d: t for d, t in factors.items() if d != dim}
+            weight = F.col("weight")
+            for d in others:
+                weight = weight * F.col(f"f_{d}")
+            sums = _with_factors(base, others, few).groupBy(dim).agg(F.sum(weight).alias("have"), F.first(f"target_{dim}").alias("t"))
+            factors[dim] = scratch.write(sums.select(dim, (F.col("t") * total / F.col("have")).alias(f"f_{dim}")))
+    scaled = F.col("weight")
+    for d in DIMENSIONS:
+        scaled = scaled * F.col(f"f_{d}")
+    scaled_cells = scratch.write(_with_factors(base, factors, few).withColumn("weight", scaled).select(*base.columns))
+    misses = {}
+    for d in DIMENSIONS:
+        miss = F.abs(F.sum("weight") / (F.first(f"target_{d}") * total) - 1)
+        misses[d] = scaled_cells.groupBy(d).agg(miss.alias(f"off_{d}"))
+    told = _with_factors(scaled_cells, misses, few)
+    return scratch.write(told.withColumn("off", F.greatest(*(f"off_{d}" for d in DIMENSIONS))).select(*base.columns, "off"))
+
+
 def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
     """cells (source, lang, topic, tokens > 0) with weight, raked so that every marginal meets its target.
 
-    Rounds go on until every marginal is within ``TOLERANCE`` of its target. Targets that
-    contradict each other (a category lives only in cells of others) have no solution;
-    the rounds then end at the last dimension's marginals once the others come no nearer
-    (or after ``ROUNDS``), and a warning says so. Column off is the relative miss of the
-    cell's worst marginal.
+    Rounds go on until every marginal is within ``TOLERANCE`` of its target, however many
+    that takes. Targets that contradict each other (a category lives only in cells of
+    others) have no solution; the rounds then end at the last dimension's marginals once
+    the others come no nearer, and a warning says so. Column off is the relative miss of
+    the cell's worst marginal.
     """
     n = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
     total = float(n["tokens"] or 0)
@@ -69,25 +117,18 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
     for dim, goal in zip(DIMENSIONS, goals, strict=True):
         cells = cells.join(goal, dim)
     cells = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
-    before = None
-    for done in range(PER_PLAN, ROUNDS + PER_PLAN, PER_PLAN):
-        step = cells.coalesce(1) if n["n"] <= ONE_TASK_CELLS else cells
-        start = step.drop("off")
-        for _ in range(PER_PLAN):
-            for dim in DIMENSIONS:
-                have = F.sum("weight").over(Window.partitionBy(dim))
-                start = start.withColumn("weight", F.col("weight") * F.col(f"target_{dim}") * total / have)
-        # The last dimension is met as the rounds leave it; the others tell.
-        miss = [F.abs(F.sum("weight").over(Window.partitionBy(d)) / (F.col(f"target_{d}") * total) - 1) for d in DIMENSIONS]
-        moved = scratch.write(start.withColumn("off", F.greatest(*miss)))
+    best, stalled, done = float("inf"), 0, 0
+    while True:
+        moved = (_rounds_in_one_task if n["n"] <= ONE_TASK_CELLS else _rounds_by_sums)(cells, total, scratch)
         scratch.drop(cells)
-        cells = moved
+        cells, done = moved, done + PER_PLAN
         gap = cells.agg(F.max("off")).first()[0]
         if gap is None or gap < TOLERANCE:
             return cells
-        if before is not None and gap > STALLED * before:
+        stalled = stalled + 1 if gap > STALLED * best else 0
+        best = min(best, gap)
+        if stalled == STALLED_PLANS:
             break
-        before = gap
     warnings.warn(f"targets are not met: a marginal is off by {gap:.2g} of its target after {done} rounds", stacklevel=2)
     return cells
 
@@ -138,7 +179,8 @@ def mix(
 
     targets: shares by dimension (source, lang, topic) and category; categories not
     named get their observed share to the power ``temper``. Null sources or languages
-    form the category "". Null text is empty. Rows that share an id are drawn together.
+    form the category "". Null text is empty; texts are counted whole, however long. Rows
+    that share an id are drawn together.
     Columns of the appended names are replaced; an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "mix")

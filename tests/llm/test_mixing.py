@@ -56,6 +56,33 @@ def test_contradicting_targets_say_so(spark):
     assert abs(out[out.lang == "en"].weight.sum() / out.weight.sum() - 0.1) < 1e-6
 
 
+def test_slow_targets_are_met_all_the_same(spark, recwarn):
+    """Targets at the edge of what the cells allow take hundreds of rounds, and get them."""
+    rows = [("a", "en", "prose", 1000), ("a", "fr", "prose", 1), ("b", "en", "prose", 1), ("b", "fr", "prose", 1000)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    out = mixing.rake(cells, Scratch(spark, "t"), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.4, "fr": 0.6}}).toPandas()
+    assert abs(out[out.lang == "en"].weight.sum() / out.weight.sum() - 0.4) < 1e-6
+    assert abs(out[out.source == "a"].weight.sum() / out.weight.sum() - 0.5) < 1e-6
+    assert not [w for w in recwarn if "not met" in str(w.message)]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_many_cells_are_raked_by_sums(spark, monkeypatch, few):
+    """The way for many cells gives the same weights, with factors broadcast or joined by shuffle, and no window."""
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i}", lang, topic, int(rng.integers(1, 900))) for i in range(9) for lang in ("en", "fr", "de") for topic in ("x", "y") if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goal = {"lang": {"en": 0.2, "fr": 0.3, "de": 0.5}}
+    key = list(mixing.DIMENSIONS)
+    one = mixing.rake(cells, Scratch(spark, "t"), goal).toPandas().sort_values(key)
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_CATEGORIES", few)
+    monkeypatch.setattr(mixing, "PER_PLAN", 5)
+    many = mixing.rake(cells, Scratch(spark, "t"), goal).toPandas().sort_values(key)
+    assert len(one) == len(many) == len(rows)
+    assert np.allclose(one.weight.to_numpy(), many.weight.to_numpy(), rtol=1e-5) and many.off.max() < mixing.TOLERANCE
+
+
 def test_a_given_topic_takes_the_place_of_the_form(spark):
     df = spark.createDataFrame([(1, "one two", "s", "en", "x"), (2, "three", "s", "en", None)], "doc_id long, text string, source string, lang string, topic string")
     got = mixing.mix(df, topic=F.col("topic"), keep=1.0).orderBy("doc_id").collect()
