@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_OPEN: ContextVar[tuple[list, ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that operators write inside, at the end; results are to be written or collected before.
+
+    Without it they stay until the application ends, since a result that is not yet
+    computed reads them.
+    """
+    mine: list[Scratch] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for scratch in mine:
+            scratch.clear()
+
+
 class Scratch:
     """Writes DataFrames as Parquet and reads them again, which cuts their lineage.
 
@@ -38,6 +61,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/papyra-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        for held in _OPEN.get():
+            held.append(self)
 
     def folder(self) -> str:
         """A new path under the base; the application's end removes what is left there."""
@@ -59,6 +84,10 @@ class Scratch:
         """Delete a table that nothing reads any more."""
         self._files(df._papyra_path).delete(self._path(df._papyra_path), True)
 
+    def clear(self) -> None:
+        """Delete all that was written here."""
+        self._files(self.base).delete(self._path(self.base), True)
+
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
