@@ -283,7 +283,15 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, held_out, lang_pred and score of every document, learned from the other fold."""
+    """id, held_out, lang_pred and score of every document, learned from the other fold.
+
+    Whole texts, however long, one row of features each. Null texts, empty ones and those
+    without a letter get ``und``. Rows without a language teach nothing; a null id is in no
+    held-out fold. Repeated rows are rows of their own and get the same language, with a
+    score that differs by rounding at most; ties between languages go to the first by
+    name. Other columns are not read; an empty table gives no rows, and a table without a
+    labelled row gives ``und`` throughout.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("held_out", is_held_out())
     model = fit(rows.where("not held_out").select(F.col("doc_id").alias("key"), "text", "lang"))

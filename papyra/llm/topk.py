@@ -119,8 +119,9 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
 
     Scores are integer inner products of quantised vectors of equal length (sums of
     products must fit 64 bits); ties go to the smaller id. Rows with the query's id are
-    its own and never its answers; other repeated rows are candidates each. Queries
-    with no candidate have no rows. Exact: no candidate is skipped that could rank.
+    its own and never its answers; other repeated rows are candidates each. Query rows
+    of one id with different vectors are one query: its ranking has the best scores of
+    any of them. Queries with no candidate have no rows. Exact: no candidate is skipped that could rank.
     Other columns are not read; empty vectors score 0. An empty table gives no rows. A
     task holds one shard, about ``SHARD_BYTES`` of vectors and as much for its tree.
     """

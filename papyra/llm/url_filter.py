@@ -17,6 +17,8 @@ from ..operators.scratch import Scratch
 
 #: Urls of one sweep at least, before a host is salted.
 SWEEP_ROWS = 256
+#: Copies of a row that one task gives back at a time.
+AGAIN_ROWS = 65536
 #: Rule hosts are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 10_000
 
@@ -52,7 +54,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules: host, path, verdict. The longest rule (host and path together) wins; of rules
     as long, the one of the longer host; of equal ones, ``block``. No rule: null and
     ``default``. Null urls and urls without ``://`` have empty host and path. Repeated
-    rows come back as often. Other columns are not read.
+    rows, null ids too, come back as often, however often that is. Urls are read whole,
+    however long; only as many labels of a host as rules have are tried. Other columns
+    are not read; an empty table gives no rows, and without rules every url gets
+    ``default``.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -87,7 +92,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     points = keys.where("ruled").join(salts, "parent").select(
         "parent",
-        F.pmod(F.xxhash64("id", "host", "path"), F.col("salts")).cast("int").alias("salt"),
+        # Rows that repeat whole are dealt as well.
+        F.pmod(F.xxhash64("id", "host", "path", F.monotonically_increasing_id()), F.col("salts")).cast("int").alias("salt"),
         reversed_host(F.col("parent")).alias("key"),
         "path",
         F.lit(1).alias("kind"),
@@ -120,7 +126,11 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     bare = keys.where("ruled is null").select("id", "host", "path", "level", F.lit(None).cast(judged.schema["best"].dataType).alias("best"))
     # level 0 comes once for each row, so its count tells how often a row repeats.
     out = judged.union(bare).groupBy("id", "host", "path").agg(F.max("best").alias("best"), F.sum((F.col("level") == 0).cast("int")).alias("times"))
-    again = out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    # A row that repeats very often comes back from many tasks.
+    often = out.where(F.col("times") > AGAIN_ROWS).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / AGAIN_ROWS))))
+    left = F.least(F.col("times") - F.col("_run") * AGAIN_ROWS, F.lit(AGAIN_ROWS))
+    often = often.withColumn("times", left).repartition("id", "host", "path", "_run").drop("_run")
+    again = out.where(F.col("times") <= AGAIN_ROWS).unionByName(often).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return again.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -27,7 +27,7 @@ def test_random_texts_equal_tiktoken():
 
 
 def test_every_code_point_splits_alike():
-    texts = ["a" + chr(i) + "b1" + chr(i) + "! " + chr(i) for i in range(0, 0x110000, 7) if not 0xD800 <= i < 0xE000]
+    texts = ["a" + chr(i) + "b1" + chr(i) + "! " + chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     assert encoded(texts) == [ENC.encode_ordinary(t) for t in texts]
 
 

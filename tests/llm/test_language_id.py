@@ -1,4 +1,6 @@
 import numpy as np
+from pyspark.sql import functions as F
+
 from papyra.llm import language_id as L
 from papyra.llm import queries
 
@@ -95,3 +97,14 @@ def test_a_profile_is_not_moved_by_one_odd_row():
     fit = x @ w[:-1]
     assert (fit[:200] >= w[-1]).all() and fit[200] < w[-1]
     assert L.train_profile(np.sqrt(x[:1]))[-1] == -np.inf
+
+
+def test_what_the_docstring_says_of_odd_tables(spark, edge_docs, empty_docs):
+    rows = L.identify(edge_docs).collect()
+    assert len(rows) == edge_docs.count()
+    assert {r["lang_pred"] for r in rows if r["doc_id"] in (3, 4, 7, 9)} == {"und"}
+    assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
+    assert len({(r["lang_pred"], round(r["score"], 6)) for r in rows if r["doc_id"] in (1, 2)}) == 1
+    assert L.identify(empty_docs).count() == 0
+    unlabelled = L.identify(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in unlabelled} == {"und"}

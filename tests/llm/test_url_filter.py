@@ -50,3 +50,16 @@ def test_no_rules_and_no_pages(spark):
 def test_no_python_on_the_main_path(spark, sf_dir):
     plan = queries.op4_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_repeat_without_end(spark, monkeypatch):
+    """A third of all rows are one row: dealt over many windows, given back in many runs."""
+    monkeypatch.setattr(url_filter, "SWEEP_ROWS", 50)
+    monkeypatch.setattr(url_filter, "AGAIN_ROWS", 64)
+    rules = spark.createDataFrame([("org", "/", "allow"), ("a.org", "/x", "block")], "host string, path string, verdict string")
+    hot = [(None, "http://a.org/x/y")] * 500 + [(7, "http://b.org/")] * 64 + [(8, "http://b.org/")] * 65 + [(i, f"http://a.org/{i}") for i in range(100, 400)]
+    got = {}
+    for r in url_filter.judge(spark.createDataFrame(hot, "page_id long, url string"), rules).collect():
+        k = (r["page_id"], r["rule"], r["verdict"])
+        got[k] = got.get(k, 0) + 1
+    assert got == {(None, "a.org/x", "block"): 500, (7, "org/", "allow"): 64, (8, "org/", "allow"): 65, **{(i, "org/", "allow"): 1 for i in range(100, 400)}}
