@@ -162,12 +162,12 @@ def evidence_text(spark, sf):
 
 
 @REG.query(
-    r"""SELECT doc_id AS paper_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled' ELSE substr(regexp_replace(text, '["\\\n]', '', 'g'), 1, 20) END AS title, CASE WHEN doc_id % 4 = 0 THEN 'Unknown,B' ELSE '' END AS authors,
+    r"""SELECT doc_id AS paper_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled' ELSE regexp_replace(text, '["\\\x00-\x1f]', '', 'g') END AS title, CASE WHEN doc_id % 4 = 0 THEN 'Unknown,B' ELSE '' END AS authors,
 CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id END AS pdf_url FROM documents"""
 )
 def record_normalise(spark, sf):
     i = F.col("doc_id")
-    title = F.when(i % 5 == 0, "").otherwise(F.concat(F.lit('"title": "'), F.substring(F.regexp_replace("text", r'["\\\n]', ""), 1, 20), F.lit('", ')))
+    title = F.when(i % 5 == 0, "").otherwise(F.concat(F.lit('"title": "'), F.regexp_replace("text", r'["\\\x00-\x1f]', ""), F.lit('", ')))
     raw = F.concat(
         F.lit("{"), title, F.lit('"authors": '), F.when(i % 4 == 0, '[{"id": 1}, {"name": "B"}]').otherwise("null"),
         F.lit(', "externalIds": '), F.when(i % 3 == 0, F.concat(F.lit('{"DOI": "10.1/'), i, F.lit('"}'))).otherwise("{}"),

@@ -109,7 +109,7 @@ ELSE w[3*k-2] || ' | ' || w[3*k-1] || ' | ' || w[3*k] END), chr(10)) || chr(10)
 
 def _responses(spark, sf) -> DataFrame:
     """Documents' words as a model's answer: three to a line, some lines broken."""
-    w = V.read(spark, sf, "documents").select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ").alias("w"))
+    w = V.read(spark, sf, "documents").select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " ").alias("w"))
     lines = F.transform(
         F.filter(F.sequence(F.lit(0), F.floor(F.size("w") / 3)), lambda k: k > 0),
         lambda k: F.when(k % 5 == 0, F.lit("note"))
@@ -121,7 +121,7 @@ def _responses(spark, sf) -> DataFrame:
 
 
 @REG.query(
-    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')), ' ') AS w FROM documents),
 l AS (SELECT doc_id, unnest(string_split({_RESPONSE_SQL}, chr(10))) AS line FROM w),
 p AS (SELECT doc_id, list_transform(string_split(line, '|'), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^"(.*)"$', '\1'), '^''(.*)''$', '\1'))) AS p
   FROM l WHERE length(line) - length(replace(line, '|', '')) = 2)
@@ -133,7 +133,7 @@ def triple_line_parse(spark, sf):
 
 
 @REG.query(
-    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+    rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')), ' ') AS w FROM documents),
 l AS (SELECT doc_id, unnest(string_split({_RESPONSE_SQL}, chr(10))) AS line FROM w),
 p AS (SELECT doc_id, list_transform(string_split(line, '|'), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^"(.*)"$', '\1'), '^''(.*)''$', '\1'))) AS p
   FROM l WHERE length(line) - length(replace(line, '|', '')) = 2)
@@ -164,14 +164,14 @@ def preview_wrap(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-_INTENT_TEXT = """CASE WHEN conv_id % 3 = 0 THEN 'noise' || chr(10) || 'research_seed | "' || role || '" | biomedical | ' || replace(substr(text, 1, 40), ' ', ',')
-WHEN conv_id % 3 = 1 THEN ' CONVERSATIONAL | ' || substr(text, 1, 20) ELSE 'nothing here' END"""
+_INTENT_TEXT = """CASE WHEN conv_id % 3 = 0 THEN 'noise' || chr(10) || 'research_seed | "' || role || '" | biomedical | ' || replace(text, ' ', ',')
+WHEN conv_id % 3 = 1 THEN ' CONVERSATIONAL | ' || text ELSE 'nothing here' END"""
 
 
 def _intent_text():
     return (
-        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('noise\nresearch_seed | "'), F.col("role"), F.lit('" | biomedical | '), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit(","))))
-        .when(F.col("conv_id") % 3 == 1, F.concat(F.lit(" CONVERSATIONAL | "), F.substring("text", 1, 20)))
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('noise\nresearch_seed | "'), F.col("role"), F.lit('" | biomedical | '), F.replace("text", F.lit(" "), F.lit(","))))
+        .when(F.col("conv_id") % 3 == 1, F.concat(F.lit(" CONVERSATIONAL | "), F.col("text")))
         .otherwise("nothing here")
     )
 
@@ -202,20 +202,23 @@ def seed_endpoints(spark, sf):
     return V.flat(s.select("conv_id", "turn", "s.*"), "focus", sep="|")
 
 
-_PIECES = r"pieces AS (SELECT doc_id, trim(split_part(replace(text, chr(10), ' '), ',', 1)) AS piece FROM documents)"
+_PIECES = r"""parts AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ',') AS p FROM documents),
+pieces AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS pos, trim(unnest(p)) AS piece FROM parts)"""
 
 
 def _pieces(spark, sf) -> DataFrame:
-    """The text before the first comma of each document, on one line."""
-    return V.read(spark, sf, "documents").select("doc_id", F.trim(F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), F.lit(1))).alias("piece"))
+    """All of each document, piece by piece between commas, on one line."""
+    parts = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), ",")
+    p = V.read(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("pos", "piece"))
+    return p.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.trim("piece").alias("piece"))
 
 
 @REG.query(
-    rf"""WITH {_PIECES} SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(trim(lower('"' || piece || ' ;.')), '\s+', ' ', 'g'), '[.,;:]+$', '')),
+    rf"""WITH {_PIECES} SELECT doc_id, pos, regexp_replace(trim(regexp_replace(regexp_replace(trim(lower('"' || piece || ' ;.')), '\s+', ' ', 'g'), '[.,;:]+$', '')),
 '^["''“”‘’]+|["''“”‘’]+$', '', 'g') AS n FROM pieces"""
 )
 def normalize_component(spark, sf):
-    return _pieces(spark, sf).select("doc_id", T.normalize_component(F.concat(F.lit('"'), "piece", F.lit(" ;."))).alias("n"))
+    return _pieces(spark, sf).select("doc_id", "pos", T.normalize_component(F.concat(F.lit('"'), "piece", F.lit(" ;."))).alias("n"))
 
 
 _VERBS = list(P.PREDICATE_MAP)
@@ -243,24 +246,24 @@ _PLAIN_SUBJECT = V.sql_strip(rf"regexp_replace(regexp_replace(s, {_ARTICLE}, '\1
 
 
 @REG.query(
-    rf"""WITH {_PIECES}, o AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ensuring that ' || piece WHEN 1 THEN piece || ' rather than that.' WHEN 2 THEN 'to ' || piece || ' ;)' ELSE piece END AS o FROM pieces)
-SELECT doc_id, lower({V.sql_strip(_TAIL)}) AS object FROM o"""
+    rf"""WITH {_PIECES}, o AS (SELECT doc_id, pos, CASE doc_id % 4 WHEN 0 THEN 'ensuring that ' || piece WHEN 1 THEN piece || ' rather than that.' WHEN 2 THEN 'to ' || piece || ' ;)' ELSE piece END AS o FROM pieces)
+SELECT doc_id, pos, lower({V.sql_strip(_TAIL)}) AS object FROM o"""
 )
 def object_clean(spark, sf):
     k = F.col("doc_id") % 4
     o = F.when(k == 0, F.concat(F.lit("ensuring that "), "piece")).when(k == 1, F.concat("piece", F.lit(" rather than that."))).when(k == 2, F.concat(F.lit("to "), "piece", F.lit(" ;)"))).otherwise(F.col("piece"))
-    return _pieces(spark, sf).select("doc_id", T.project_object(o).alias("object"))
+    return _pieces(spark, sf).select("doc_id", "pos", T.project_object(o).alias("object"))
 
 
 @REG.query(
-    rf"""WITH {_PIECES}, s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN piece || ' (' || upper(substr(regexp_replace(piece, '[^a-zA-Z]', '', 'g'), 1, 3)) || 's)' ELSE 'the ' || piece END AS s FROM pieces)
-SELECT doc_id, regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1) AS acronym,
+    rf"""WITH {_PIECES}, s AS (SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 THEN piece || ' (' || upper(substr(regexp_replace(piece, '[^a-zA-Z]', '', 'g'), 1, 3)) || 's)' ELSE 'the ' || piece END AS s FROM pieces)
+SELECT doc_id, pos, regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1) AS acronym,
 lower(coalesce(nullif(regexp_extract(s, '\(([A-Z0-9]{{2,}})s?\)', 1), ''), {_PLAIN_SUBJECT})) AS subject FROM s"""
 )
 def acronym_extract(spark, sf):
     short = F.upper(F.substring(F.regexp_replace("piece", "[^a-zA-Z]", ""), 1, 3))
     s = F.when(F.col("doc_id") % 3 == 0, F.concat("piece", F.lit(" ("), short, F.lit("s)"))).otherwise(F.concat(F.lit("the "), "piece"))
-    return _pieces(spark, sf).select("doc_id", T.acronym(s).alias("acronym"), T.project_subject(s).alias("subject"))
+    return _pieces(spark, sf).select("doc_id", "pos", T.acronym(s).alias("acronym"), T.project_subject(s).alias("subject"))
 
 
 _MIXED = """mixed AS (SELECT CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN (1900 + page_id % 300)::VARCHAR WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN '10.1/' ELSE 'doi:10.1/' END || page_id WHEN 3 THEN 'arXiv:' || page_id || '.5'
@@ -327,14 +330,14 @@ def fingerprint_similarity(spark, sf):
 
 
 @REG.query(
-    """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Here is your text' || chr(10) || '  ' || text WHEN 1 THEN 'Refinement: ' || substr(replace(text, chr(10), ' '), 1, 50) ELSE text END AS r, text FROM documents),
+    """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Here is your text' || chr(10) || '  ' || text WHEN 1 THEN 'Refinement: ' || replace(text, chr(10), ' ') ELSE text END AS r, text FROM documents),
 l AS (SELECT doc_id, text, list_filter(list_transform(string_split(r, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM r)
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN array_to_string(l[2:], chr(10)) WHEN 1 THEN '' ELSE array_to_string(l, chr(10)) END AS clean,
 length(text) > 200 AND NOT regexp_matches(l[-1], '[.?!"]$') AS again FROM l"""
 )
 def refine_cleanup(spark, sf):
     k, t = F.col("doc_id") % 3, F.col("text")
-    r = F.when(k == 0, F.concat(F.lit("Here is your text\n  "), t)).when(k == 1, F.concat(F.lit("Refinement: "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 50))).otherwise(t)
+    r = F.when(k == 0, F.concat(F.lit("Here is your text\n  "), t)).when(k == 1, F.concat(F.lit("Refinement: "), F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(t)
     return V.read(spark, sf, "documents").select("doc_id", I.clean_refinement(r).alias("clean"), I.looks_truncated(t, r).alias("again"))
 
 
