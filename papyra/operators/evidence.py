@@ -23,7 +23,6 @@ from ..functions import varint
 BLOCK = 1024
 KEY = ("subject", "predicate", "object")
 IDS = ("triple_ids", "block_ids", "source_ids")
-_ID = {"triple_ids": "triple_id", "block_ids": "block_id", "source_ids": "source_id"}
 _NULL = np.iinfo(np.int64).min
 
 
@@ -81,53 +80,91 @@ def postings(triples: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, "edge_id binary, first long, n int, data binary")
 
 
+def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(postings of each block, their triple, block and source ids in three columns)."""
+    count = batch.column("n").to_numpy().astype(np.int64)
+    raw = b"".join(batch.column("data").to_pylist())
+    step = varint.unzigzag(varint.unpack(raw)).reshape(-1, 3)
+    start = np.cumsum(count) - count
+    total = np.cumsum(step, axis=0)
+    # Sums run on over all blocks, so what was summed before a block is taken off.
+    return count, total - np.repeat(total[start] - step[start], count, axis=0)
+
+
+def _kept(blocks: DataFrame) -> list[str]:
+    return [c for c in blocks.columns if c not in ("first", "n", "data")]
+
+
+def _fields(blocks: DataFrame) -> str:
+    kinds = dict(blocks.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in _kept(blocks))
+
+
 def decoded(blocks: DataFrame) -> DataFrame:
     """edge_id, triple_id, block_id, source_id and the other columns: a row a posting."""
     ship(blocks.sparkSession)
-    kept = [f for f in blocks.schema if f.name not in ("first", "n", "data")]
+    kept = _kept(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = batch.column("n").to_numpy()
-            if not count.sum():
+            if not batch.num_rows:
                 continue
-            raw = b"".join(batch.column("data").to_pylist())
-            step = varint.unzigzag(varint.unpack(raw)).reshape(-1, 3)
-            start = np.cumsum(count) - count
-            total = np.cumsum(step, axis=0)
-            # Sums run on over all blocks, so what was summed before a block is taken off.
-            ids = total - np.repeat(total[start] - step[start], count, axis=0)
+            count, ids = _ids_of(batch)
             row = pa.array(np.repeat(np.arange(len(count)), count))
             for a in range(0, len(ids), 1 << 16):
                 part = ids[a : a + (1 << 16)]
                 columns = [pa.array(part[:, k].copy(), mask=part[:, k] == _NULL) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(f.name).take(row.slice(a, len(part))) for f in kept), *columns], names=[*(f.name for f in kept), "triple_id", "block_id", "source_id"]
+                    [*(batch.column(c).take(row.slice(a, len(part))) for c in kept), *columns], names=[*kept, "triple_id", "block_id", "source_id"]
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return blocks.select(*(f.name for f in kept), "first", "n", "data").mapInArrow(run, f"{fields}, triple_id long, block_id long, source_id long")
+    return blocks.select(*kept, "n", "data").mapInArrow(run, f"{_fields(blocks)}, triple_id long, block_id long, source_id long")
+
+
+def listed(blocks: DataFrame) -> DataFrame:
+    """A row a block: its other columns and its triple_ids, block_ids and source_ids as they stand, null ids left out."""
+    ship(blocks.sparkSession)
+    kept = _kept(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            count, ids = _ids_of(batch)
+            ends = np.append(0, np.cumsum(count))
+            lists = []
+            for k in range(3):
+                there = ids[:, k] != _NULL
+                lists.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(there))[ends].astype(np.int32), pa.array(ids[there, k])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *lists], names=[*kept, *IDS])
+
+    return blocks.select(*kept, "n", "data").mapInArrow(run, f"{_fields(blocks)}, " + ", ".join(f"{c} array<long>" for c in IDS))
 
 
-def _arrays(rows: DataFrame, *key: str) -> DataFrame:
-    return rows.groupBy(*key).agg(*(F.sort_array(F.collect_set(_ID[c])).alias(c) for c in IDS))
+def _arrays(blocks: DataFrame, *key: str) -> DataFrame:
+    """Sorted distinct ids of each key's blocks; rows that meet are blocks, not postings."""
+    return listed(blocks).groupBy(*key).agg(*(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in IDS))
 
 
 def with_ids(shown: DataFrame, blocks: DataFrame) -> DataFrame:
     """Edges (with edge_id) and the sorted ids of their triples, blocks and sources; for rows that are shown."""
-    found = decoded(blocks.join(shown.select("edge_id").distinct(), "edge_id", "left_semi"))
-    return shown.join(_arrays(found, "edge_id"), "edge_id")
+    own = blocks.join(shown.select("edge_id").distinct(), "edge_id", "left_semi").select("edge_id", "n", "data")
+    return shown.join(_arrays(own, "edge_id"), "edge_id")
+
+
+def _blocks_of_pairs(pairs: DataFrame, all_edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    wanted = all_edges.join(pairs.select("subject", "object").distinct(), ["subject", "object"]).select("subject", "object", "edge_id")
+    return blocks.join(wanted, "edge_id").select("subject", "object", "n", "data")
 
 
 def of_pairs(pairs: DataFrame, all_edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """subject, object, triple_id, block_id, source_id: a row a posting of any edge between the given pairs' ends."""
-    wanted = all_edges.join(pairs.select("subject", "object").distinct(), ["subject", "object"]).select("subject", "object", "edge_id")
-    return decoded(blocks.join(wanted, "edge_id")).drop("edge_id")
+    return decoded(_blocks_of_pairs(pairs, all_edges, blocks))
 
 
 def pairs_with_ids(shown: DataFrame, all_edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pairs and the sorted ids of the evidence of all edges between their ends."""
-    return shown.join(_arrays(of_pairs(shown, all_edges, blocks), "subject", "object"), ["subject", "object"])
+    return shown.join(_arrays(_blocks_of_pairs(shown, all_edges, blocks), "subject", "object"), ["subject", "object"])
 
 
 def hops_of(hypotheses: DataFrame, *more: str) -> DataFrame:
