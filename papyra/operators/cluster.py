@@ -10,19 +10,20 @@ DataFrame rounds.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import pivots
+from . import pivots, signatures
 from .components import connected_components
 from .scratch import Scratch
 
 BLOCK_ROWS = 2048
 #: Components of at most so many vectors are linked in one task (a matrix of 32 MB), larger ones by rounds.
 LINK_ROWS = 2048
+#: Rounds of merges after which what is left of a large component is looked at for parts that a task can link.
+SPLIT_ROUNDS = 4
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -59,6 +60,12 @@ def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector
     """
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession, "similar")
+    rows = _vectors(df, id_col, vector_col)
+    n = rows.count()
+    sample = pivots.sample_of(rows, n)
+    keys = signatures.choose(sample, n, threshold, block_rows)
+    if keys is not None:
+        return signatures.pairs(rows, keys, scratch, sample.shape[1], threshold, block_rows)
     visits = scratch.write(similarity_cells(df, threshold, scratch, id_col, vector_col, block_rows))
     count = visits.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("natives"), F.count_if("guest").alias("guests"))
     width = [F.ceil(F.col(c) / F.lit(float(block_rows))).cast("int").alias(w) for c, w in (("natives", "nb"), ("guests", "gb"))]
@@ -129,6 +136,11 @@ def nearest(queries: DataFrame, canon: DataFrame, threshold: float, id_col: str
     sample = pivots.sample_of(known, n)
     if not len(sample):
         return spark.createDataFrame([], "id long, nearest long, similarity double")
+    keys = signatures.choose(sample, n, threshold, block_rows)
+    if keys is not None:
+        found = signatures.nearest(asked, known, keys, scratch, sample.shape[1], threshold, block_rows)
+        best = F.min(F.struct((-F.col("similarity")).alias("d"), "nearest")).alias("x")
+        return found.groupBy("id").agg(best).select("id", F.col("x.nearest").alias("nearest"), (-F.col("x.d")).alias("similarity"))
     picked = pivots.choose(sample, n, within, block_rows)
     held = scratch.write(pivots.assigned(known, picked))
     radius, sizes = pivots.radii(held, len(picked))
@@ -171,6 +183,32 @@ def average_linkage(x: np.ndarray, distance: float, size: np.ndarray | None = No
     return label
 
 
+def _linked(rows: DataFrame, similarity: float, means: bool = False) -> DataFrame:
+    """(id, cluster) of components of at most ``LINK_ROWS`` rows; rows: root, id, n, v, where v is a vector or, with means, the mean of n unit vectors.
+
+    Most components are a few rows, so a group of rows holds many of them.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(parts, -(-rows.count() // (4 * LINK_ROWS)))
+
+    def link(t: pa.Table) -> pa.Table:
+        root, ids = t.column("root").to_numpy(), t.column("id").to_numpy()
+        by = np.lexsort((ids, root))
+        lists = t.column("v").combine_chunks()
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if means else pivots.unit(lists)
+        root, ids, x, n = root[by], ids[by], x[by], t.column("n").to_numpy()[by]
+        start = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+        named = ids.copy()
+        for a, b in zip(start, np.append(start[1:], len(root)), strict=True):
+            named[a:b] = ids[a:b][average_linkage(x[a:b], 1 - similarity, n[a:b])]
+        return pa.table({"id": ids, "cluster": named})
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("root"), F.lit(groups)))
+    # A given number of partitions stays: what is linked is small, the work on it is not.
+    return dealt.repartition(min(groups, 16 * parts), "group").groupBy("group").applyInArrow(link, "id long, cluster long")
+
+
 def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster): average-linkage clusters cut at 1 - similarity, named by their least id.
 
@@ -193,16 +231,9 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
     pairs = scratch.write(similarity_pairs(base, similarity, "id", "v"))
     roots = connected_components(pairs, scratch)
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(x, 1 - similarity, pdf["n"].to_numpy())]})
-
     sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
     found = base.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root")
-    linked = found.where(F.col("size") <= LINK_ROWS).groupBy("root").applyInPandas(link, "id long, cluster long")
+    linked = _linked(found.where(F.col("size") <= LINK_ROWS).select("root", "id", "n", "v"), similarity)
     alone = base.join(roots, base["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("cluster"))
     out = linked.union(alone)
     large = sizes.where(F.col("size") > LINK_ROWS)
@@ -222,13 +253,16 @@ def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch
     similarity of two clusters of unit vectors is the product of their mean vectors, so
     a cluster is its size and its sum. It exceeds the cut only if it did for a pair that
     the two were merged from, so pairs at or below it are dropped. Pairs are in a total
-    order (similarity, then ids), so the nearest pair of all merges in every round.
+    order (similarity, then ids), so the nearest pair of all merges in every round. Merges
+    and dropped pairs take a component apart: every ``SPLIT_ROUNDS`` rounds the parts of at
+    most ``LINK_ROWS`` clusters are linked by a task each, so long chains need no round a link.
     """
     square = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
     unit = F.transform("v", lambda x: x.cast("double") / F.greatest(F.sqrt(square), F.lit(1e-12)))
     groups = scratch.write(base.select("id", "n", F.transform(unit, lambda x: x * F.col("n")).alias("sum")))
     near = scratch.write(pairs.select("a", "b", "similarity"))
     member = scratch.write(base.select("id", F.col("id").alias("cluster")))
+    done = 0
     while True:
         ends = near.select(F.explode(F.array("a", "b")).alias("c"), F.struct((-F.col("similarity")).alias("d"), "a", "b").alias("p"))
         best = ends.groupBy("c").agg(F.min("p").alias("p")).groupBy(F.col("p.a").alias("into"), F.col("p.b").alias("gone"))
@@ -262,14 +296,40 @@ def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch
         for old in (groups, near, member, moved):
             scratch.drop(old)
         groups, near, member = grown, kept, renamed
+        done += 1
+        if done % SPLIT_ROUNDS == 0:
+            groups, near, member = _split(groups, near, member, similarity, scratch)
+
+
+def _split(groups: DataFrame, near: DataFrame, member: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, near, member) once the small components of near are linked whole: they have no pairs any more."""
+    roots = connected_components(near, scratch)
+    sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
+    part = scratch.write(roots.join(sizes, "root").select(F.col("node").alias("id"), "root", (F.col("size") <= LINK_ROWS).alias("small")))
+    means = groups.join(part.where("small"), "id").select("root", "id", "n", F.transform("sum", lambda x: x / F.col("n")).alias("v"))
+    linked = _linked(means, similarity, means=True).select(F.col("id").alias("cluster"), F.col("cluster").alias("into"))
+    renamed = scratch.write(member.join(linked, "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster")))
+    large = part.where("not small").select("id")
+    kept = scratch.write(near.join(large.withColumnRenamed("id", "a"), "a", "left_semi"))
+    grown = scratch.write(groups.join(large, "id", "left_semi"))
+    for old in (groups, near, member):
+        scratch.drop(old)
+    return grown, kept, renamed
 
 
 def cluster_scores(df: DataFrame, cluster_col: str, vector_col: str = "embedding") -> DataFrame:
     """(cluster, members, cluster_score, embedding): mean dot of the members with their renormalised centroid, and that centroid."""
-    x = df.select(F.col(cluster_col).alias("cluster"), F.posexplode(F.col(vector_col)).alias("k", "x")).groupBy("cluster", "k").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
+    rows = df.select(F.col(cluster_col).alias("cluster"), F.col(vector_col).alias("v")).where(F.size("v") > 0)
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("members"), F.first("v").alias("v"))
+    # The centroid of one vector is that vector; only others are taken apart.
+    square = F.aggregate("v", F.lit(0.0), lambda acc, y: acc + F.coalesce(y.cast("double") * y.cast("double"), F.lit(0.0)))
+    single = sizes.where("members = 1").select("cluster", "members", F.sqrt(square).alias("cluster_score"), F.transform("v", lambda y: y.cast("double")).alias("p"))
+    several = rows.join(sizes.where("members > 1").select("cluster"), "cluster", "left_semi")
+    x = several.select("cluster", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     # The mean dot with c / |c| is |c|: sum(m . c/|c|) / n = n c . c/|c| / n.
     c = F.col("s") / F.col("n")
     parts = F.sort_array(F.collect_list(F.struct("k", c.alias("c"))))
     out = x.groupBy("cluster").agg(F.max("n").alias("members"), F.sqrt(F.sum(c * c)).alias("cluster_score"), parts.alias("p"))
+    out = single.unionByName(out.withColumn("p", F.transform("p", lambda y: y["c"])))
     length = F.when(F.col("cluster_score") > 0, F.col("cluster_score")).otherwise(1.0)
-    return out.select("cluster", "members", "cluster_score", F.transform("p", lambda y: y["c"] / length).alias("embedding"))
+    return out.select("cluster", "members", "cluster_score", F.transform("p", lambda y: y / length).alias("embedding"))
