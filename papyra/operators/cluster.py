@@ -20,6 +20,8 @@ from .components import connected_components
 from .scratch import Scratch
 
 BLOCK_ROWS = 2048
+#: Vectors of a block of the grid that finds all pairs, of whose products a task holds strips.
+PAIR_ROWS, STRIP_ROWS = 8192, 512
 #: Components of at most so many vectors are linked in one task (a matrix of 32 MB), larger ones by rounds.
 LINK_ROWS = 2048
 #: Rounds of merges after which what is left of a large component is looked at for parts that a task can link.
@@ -45,18 +47,21 @@ def similarity_cells(df: DataFrame, threshold: float, scratch: Scratch, id_col:
     sample = pivots.sample_of(rows, n)
     picked = pivots.choose(sample, n, within, block_rows) if len(sample) else np.zeros((1, 1))
     if len(picked) == 1:
-        return rows.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("cell"), F.lit(False).alias("guest"))
+        # As narrow as they came: a grid copies them once a block.
+        return rows.select("id", "v", F.lit(0).alias("cell"), F.lit(False).alias("guest"))
     held = scratch.write(pivots.assigned(rows, picked))
     radius, _ = pivots.radii(held, len(picked))
     guests = pivots.visits(held, picked, radius, within, only_lower=True, with_own=False)
     return held.select("id", "v", "cell", F.lit(False).alias("guest")).union(guests.select("id", "v", "cell", F.lit(True).alias("guest")))
 
 
-def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block_rows: int = PAIR_ROWS) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose cosine is over the threshold.
 
     A cell's vectors meet its guests and each other in a grid of blocks, so a task is one
-    matrix product of bounded size, however many vectors are alike.
+    matrix product of bounded size, however many vectors are alike. Sizes of cells, a row
+    a pivot, go along with the tasks: a join dealt by cell would send all to one task
+    where the vectors are one cell.
     """
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession, "similar")
@@ -69,7 +74,7 @@ def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector
     visits = scratch.write(similarity_cells(df, threshold, scratch, id_col, vector_col, block_rows))
     count = visits.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("natives"), F.count_if("guest").alias("guests"))
     width = [F.ceil(F.col(c) / F.lit(float(block_rows))).cast("int").alias(w) for c, w in (("natives", "nb"), ("guests", "gb"))]
-    sized = visits.join(count.where("natives > 0").select("cell", *width), "cell")
+    sized = visits.join(F.broadcast(count.where("natives > 0").select("cell", *width)), "cell")
     at = F.when(F.col("guest"), F.col("nb") + F.pmod(F.xxhash64("id"), F.greatest("gb", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).cast("int")
     # Natives meet every block, guests the natives' blocks only.
     others = F.sequence(F.lit(0), F.when(F.col("guest"), F.col("nb")).otherwise(F.col("nb") + F.col("gb")) - 1)
@@ -80,11 +85,16 @@ def similarity_pairs(df: DataFrame, threshold: float, id_col: str = "id", vector
         ids, x, block = t.column("id").to_numpy(), pivots.unit(t.column("v")), t.column("block").to_numpy()
         left = block == t.column("lo")[0].as_py()
         right = block == t.column("hi")[0].as_py()
-        s = x[left] @ x[right].T
-        i, j = np.nonzero(s > threshold)
-        p, q = ids[left][i], ids[right][j]
-        keep = p < q if (left == right).all() else p != q
-        return pa.table({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "similarity": s[i, j][keep]})
+        same = (left == right).all()
+        a, b, x, y = ids[left], ids[right], x[left], x[right]
+        strips = []
+        for at in range(0, max(len(a), 1), STRIP_ROWS):
+            s = x[at : at + STRIP_ROWS] @ y.T
+            i, j = np.nonzero(s > threshold)
+            p, q = a[at + i], b[j]
+            keep = p < q if same else p != q
+            strips.append(pa.table({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "similarity": s[i, j][keep]}))
+        return pa.concat_tables(strips)
 
     return met.groupBy("cell", "lo", "hi").applyInArrow(cell, "a long, b long, similarity double")
 

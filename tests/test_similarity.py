@@ -105,3 +105,18 @@ def test_copies_are_clustered_once(spark):
     for i, c in zip(ids, label, strict=True):
         want.setdefault(c, []).append(i)
     assert got == {i: min(g) for g in want.values() for i in g} | {200: 200, 201: 201, 202: 202}
+
+
+def test_pairs_of_one_cell_are_not_one_task(spark):
+    """Where angles tell nothing all vectors are one cell, whose blocks still go to many tasks."""
+    x = np.random.default_rng(4).normal(size=(400, 60))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        tasks = C.similarity_pairs(frame(spark, x), 0.3, block_rows=64).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks > 1
