@@ -99,6 +99,10 @@ class Job:
             self._apply(at, kind, stage, file, number)
         self._retry(until)
 
+    def next(self) -> int | None:
+        """The time of the first event or retry that waits."""
+        return min((x[0] for x in (*self.events, *self.due)), default=None)
+
     def add(self, rows: pd.DataFrame) -> None:
         for r in rows.itertuples(index=False):
             number = None if pd.isna(r.number) else int(r.number)
@@ -117,7 +121,7 @@ def _text(v) -> str | None:
 
 
 class JobProcessor(StatefulProcessor):
-    """A job's state, with a timer at every event and every retry."""
+    """A job's state, with a timer at the first event or retry that waits; a timer at each would read the state as often."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -128,10 +132,12 @@ class JobProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         job = self._load()
+        before = job.next()
         for part in rows:
             job.add(part)
-        for at in {e[0] for e in job.events}:
-            self.handle.registerTimer(at)
+        first = job.next()
+        if first is not None and first != before:
+            self.handle.registerTimer(first)
         self.held.update((job.state(),))
         return iter(())
 
@@ -139,8 +145,9 @@ class JobProcessor(StatefulProcessor):
         job = self._load()
         # All that the watermark has passed, so a retry that falls due meanwhile needs no further batch.
         job.run(timerValues.getCurrentWatermarkInMs())
-        for due, _, _ in job.due:
-            self.handle.registerTimer(due)
+        first = job.next()
+        if first is not None:
+            self.handle.registerTimer(first)
         self.held.update((job.state(),))
         out = job.rows(key[0])
         return iter([out] if len(out) else ())

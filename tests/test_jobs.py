@@ -93,3 +93,39 @@ def test_a_restart_repeats_nothing(spark, tmp_path):
 def test_odd_rows(spark):
     odd = [(1, 1, None, "set", "X", None, None), (None, 2, 1.0, "set", "X", None, None), (1, 3, 1.0, None, None, None, None), (1, 4, 2.0, "done", None, None, None), (1, 5, 2.0, "expect", None, None, None)]
     assert J.status_log(frame(spark, odd)).count() == 0 and J.status_log(frame(spark, odd).limit(0)).count() == 0
+
+
+def test_a_job_waits_on_one_timer():
+    """Each timer that expires reads a job's whole state, so a job has one at its first event, not one at each."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.state, self.timers = None, []
+
+        def getValueState(self, name, kind):
+            return self
+
+        def exists(self):
+            return self.state is not None
+
+        def get(self):
+            return self.state
+
+        def update(self, state):
+            self.state = state
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 50_000
+
+    held = Held()
+    processor = J.JobProcessor()
+    processor.init(held)
+    rows = pd.DataFrame({"at": pd.to_datetime(range(10, 110), unit="s"), "event_id": range(100), "kind": "set", "stage": "INGESTED", "file": None, "number": 1})
+    list(processor.handleInputRows((7,), iter([rows]), held))
+    assert held.timers == [10_000]
+    out = list(processor.handleExpiredTimer((7,), held, None))
+    assert len(out[0]) == 41 and held.timers == [10_000, 51_000]
