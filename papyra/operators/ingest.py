@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions import policy as P
 from ..functions import text as T
 
+#: Characters of texts whose spans leave together.
+SPAN_BATCH = 1 << 20
+
 
 def region_of(block: Column) -> Column:
     """The region that a heading opens (short, any case, with or without full stops at the end); null for other text."""
@@ -75,18 +79,32 @@ def _spans(text: str, limit: int) -> list[str]:
     return [*out, text] if text else out
 
 
-def split_spans(text: Column, limit: int = P.SPAN_CHARS) -> Column:
-    """Spans of at most ``limit`` characters (null stays null).
+def split_spans(sources: DataFrame, id_col: str = "source_id", text_col: str = "text", limit: int = P.SPAN_CHARS) -> DataFrame:
+    """(id, pos, span): spans of at most ``limit`` characters; a null text has none.
 
-    A cut at place 0 would never end, so it is taken at the limit instead.
+    A cut at place 0 would never end, so it is taken at the limit instead. Texts are taken
+    one by one and spans leave in small batches, so a worker holds few of either as objects.
     """
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if t is None else _spans(t, limit))
-
-    return cut(text)
+    kind = dict(sources.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            rows, places, spans, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                if text is not None:
+                    cut = _spans(text, limit)
+                    rows += [i] * len(cut)
+                    places += range(len(cut))
+                    spans += cut
+                    held += len(text)
+                if rows and (held >= SPAN_BATCH or i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(places, pa.int32()), pa.array(spans, pa.string())], names=[id_col, "pos", "span"])
+                    rows, places, spans, held = [], [], [], 0
+
+    ship(sources.sparkSession)
+    return sources.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos int, span string")
 
 
 def clean_refinement(response: Column) -> Column:

@@ -53,8 +53,7 @@ def _cut(sep: str) -> str:
 SELECT doc_id, pos::INTEGER AS pos, span FROM s WHERE pos >= 0"""
 )
 def span_split(spark, sf):
-    docs = V.read(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(I.split_spans(F.col("text"))).alias("pos", "span"))
+    return I.split_spans(V.read(spark, sf, "documents"), "doc_id")
 
 
 HEADINGS = ["Abstract", "INTRODUCTION.", "Methods", "Results", "result", "Discussion", "Conclusions", "See also"]

@@ -219,3 +219,12 @@ def test_versions(spark):
 
 def test_policy_tables():
     assert len(P.PREDICATE_MAP) == 27 and len(P.NOISE_WORDS) == 28 and len(P.NOISE_PATTERNS) == 14
+
+
+def test_spans_leave_in_small_batches(spark, monkeypatch):
+    """A worker lets spans go after a bounded number of characters; null texts have none, empty ones an empty span."""
+    monkeypatch.setattr(I, "SPAN_BATCH", 40)
+    texts = ["word " * 30, None, "", "x" * 25, "a\n\nb c", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "source_id long, text string").coalesce(1)
+    got = sorted((r["source_id"], r["pos"], r["span"]) for r in I.split_spans(rows, limit=10).collect())
+    assert got == [(i, p, s) for i, t in enumerate(texts) if t is not None for p, s in enumerate(I._spans(t, 10))]
