@@ -236,7 +236,9 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
         rows = rows.withColumn("same", F.when(same, F.lit(None).cast("long")).otherwise(F.col("id")))
     else:
         rows = rows.withColumn("same", F.col("id"))
-    copies = scratch.write(rows.groupBy("v", "same").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    # Two hashes of a vector are its key in joins: sorting by vectors would compare them number by number.
+    rows = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit("copy"), "v")})
+    copies = scratch.write(rows.groupBy("h", "g", "v", "same").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     base = copies.select("id", "n", "v")
     pairs = scratch.write(similarity_pairs(base, similarity, "id", "v"))
     roots = connected_components(pairs, scratch)
@@ -251,8 +253,10 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
         nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
         inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
         out = out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
-    first = copies.select(F.col("id").alias("first"), "v", "same")
-    of = rows.join(first, rows["v"].eqNullSafe(first["v"]) & rows["same"].eqNullSafe(first["same"])).select("id", "first")
+    first = copies.select(F.col("id").alias("first"), "h", "g", F.col("v").alias("w"), F.col("same").alias("of"))
+    equal = F.forall(F.zip_with("v", "w", lambda x, y: x.eqNullSafe(y)), lambda e: e)
+    equal = F.coalesce(equal, F.col("v").isNull() & F.col("w").isNull()) & F.col("same").eqNullSafe(F.col("of"))
+    of = rows.join(first, ["h", "g"]).where(equal).select("id", "first")
     return of.join(out.select(F.col("id").alias("first"), "cluster"), "first").select("id", "cluster")
 
 
@@ -268,8 +272,10 @@ def linkage_rounds(base: DataFrame, pairs: DataFrame, similarity: float, scratch
     most ``LINK_ROWS`` clusters are linked by a task each, so long chains need no round a link.
     """
     square = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
-    unit = F.transform("v", lambda x: x.cast("double") / F.greatest(F.sqrt(square), F.lit(1e-12)))
-    groups = scratch.write(base.select("id", "n", F.transform(unit, lambda x: x * F.col("n")).alias("sum")))
+    # The length is bound to a variable of its own; inside the inner function it would be computed for every number.
+    length = F.array(F.greatest(F.sqrt(square), F.lit(1e-12)))
+    total = F.get(F.transform(length, lambda r: F.transform("v", lambda x: x.cast("double") / r * F.col("n"))), 0)
+    groups = scratch.write(base.select("id", "n", total.alias("sum")))
     near = scratch.write(pairs.select("a", "b", "similarity"))
     member = scratch.write(base.select("id", F.col("id").alias("cluster")))
     done = 0

@@ -228,3 +228,12 @@ def test_spans_leave_in_small_batches(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "source_id long, text string").coalesce(1)
     got = sorted((r["source_id"], r["pos"], r["span"]) for r in I.split_spans(rows, limit=10).collect())
     assert got == [(i, p, s) for i, t in enumerate(texts) if t is not None for p, s in enumerate(I._spans(t, 10))]
+
+
+def test_components_need_few_rounds(spark):
+    """A chain of 300 nodes in random order: trees hang under trees, so 8 rounds suffice where labels alone took 149."""
+    order = np.random.default_rng(8).permutation(300).tolist()
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    scratch = Scratch(spark, "t")
+    assert {r["root"] for r in connected_components(edges, scratch).collect()} == {0}
+    assert scratch.n <= 2 + 2 * 8

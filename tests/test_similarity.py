@@ -120,3 +120,12 @@ def test_pairs_of_one_cell_are_not_one_task(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert tasks > 1
+
+
+def test_copies_are_not_joined_by_their_numbers(spark):
+    """Copies find their first by hashes: sorting by vectors compares them number by number. Equal numbers are equal, whatever their sign or kind."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [0.0, 1.0]), (4, [float("nan"), 1.0]), (5, [float("nan"), 1.0])]
+    out = C.clusters(spark.createDataFrame(rows, KIND), 0.9)
+    assert {r["id"]: r["cluster"] for r in out.where("id < 4").collect()} == {1: 1, 2: 1, 3: 3}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(v#" not in plan
