@@ -12,6 +12,7 @@ from . import ingest as I
 from . import ledger as L
 from . import reason as R
 from . import semantic as S
+from .scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -28,9 +29,10 @@ class JobRun:
         return I.slice_sources(sources, id_col, text_col, self.policy.sentences_per_block, self.policy.tokens_per_block)
 
     def pairs(self, triples: DataFrame) -> DataFrame:
-        """Pair edges without excluded entities, noise and hubs."""
+        """Pair edges without excluded entities, noise and hubs; written, since paths read them many times."""
+        scratch = Scratch(triples.sparkSession, "job")
         edges = G.without_noise(G.structural_edges(triples, list(self.job.excluded_entities)))
-        return G.suppress_hubs(G.pair_edges(edges), self.policy.hub_degree)
+        return scratch.write(G.suppress_hubs(scratch.write(G.pair_edges(edges)), self.policy.hub_degree))
 
     def explore(self, triples: DataFrame, affected: DataFrame | None = None) -> DataFrame:
         """Hypotheses of a job's triples.

@@ -26,9 +26,9 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The words are made inside the generator, so no filter above computes them again.
     """
-    words = F.transform(
-        T.sentences(F.col("text")), lambda s: F.split(F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}]+", " ")), " ", 4)
-    )
+    # The rest of a sentence is not read by the patterns once its third word has ended.
+    head = lambda s: F.regexp_extract(F.lower(s), r"^\P{L}*+(\p{L}++\P{L}++\p{L}++\P{L}++\p{L}++)", 1)
+    words = F.transform(T.sentences(F.col("text")), lambda s: F.split(F.regexp_replace(head(s), r"\P{L}+", " "), " "))
     w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "w"))
     w = w.select("doc_id", (F.col("pos") + 1).alias("i"), "w")
     doc = F.col("doc_id") * 10000
@@ -54,8 +54,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projected_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples with projected predicates whose ends are concepts."""
-    t = triples(spark, sf_dir).withColumn("predicate", T.project_predicate(F.col("predicate")))
-    return G.without_noise(t)
+    return projected(triples(spark, sf_dir))
+
+
+def projected(triples: DataFrame) -> DataFrame:
+    return G.without_noise(triples.withColumn("predicate", T.project_predicate(F.col("predicate"))))
 
 
 def projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,11 @@ def projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_of(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, postings) of triples, both written."""
-    kept = written(triples, "triples")
+    return graph_of(written(triples, "triples"))
+
+
+def graph_of(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, postings) of written triples, both written."""
     return written(G.structural_edges(kept), "edges"), written(E.postings(kept), "postings")
 
 
