@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as P
 from ..functions import text as T
 from . import evidence as E
+from .scratch import Scratch
 
 IDS = E.IDS
 
@@ -148,6 +149,7 @@ def active_snapshot(versions: DataFrame, key: str = "job_id") -> DataFrame:
 def affected_nodes(versions: DataFrame) -> DataFrame:
     """Nodes of the current version that the one before lacks: version, node."""
     n = versions.select("version", F.explode(F.array("subject", "object")).alias("node")).distinct()
+    n = Scratch(versions.sparkSession, "affected").write(n)
     before = n.select((F.col("version") + 1).alias("version"), "node")
     first = n.agg(F.min("version")).first()[0]
     return n.where(F.col("version") > F.lit(first)).join(before, ["version", "node"], "left_anti")

@@ -242,8 +242,9 @@ SELECT source, mid, target FROM v_paths WHERE source IN (SELECT node FROM e) OR
 )
 def effective_seed_paths(spark, sf):
     """Paths that start or end in a seed or in a node that the last version lacked."""
-    seeds = R.effective_seeds(SEEDS, G.affected_nodes(_versions(spark, sf)))
-    pairs = V.live_pairs(V.projected_pairs(spark, sf))
+    t = V.written(V.triples(spark, sf), "triples")
+    seeds = R.effective_seeds(SEEDS, G.affected_nodes(_version_rows(t)))
+    pairs = V.live_pairs(V.written(G.pair_edges(G.structural_edges(V.projected(t))), "pairs"))
     return R.discovery_paths(pairs, seeds=V.written(seeds, "seeds")).select("source", "mid", "target")
 
 
@@ -372,16 +373,20 @@ g AS (SELECT subject, predicate, object, max(fresh) AS fresh, max(support) FILTE
 SELECT subject, predicate, object, CASE WHEN fresh = 1 THEN len(source_ids)::INTEGER ELSE old END AS support FROM g"""
 )
 def incremental_edges(spark, sf):
-    t = G.without_noise(V.triples(spark, sf))
-    old = V.evidence_of(t.where("ingestion_source_id % 2 = 0"))
-    new = V.evidence_of(t.where("ingestion_source_id % 2 = 1"))
+    t = V.written(G.without_noise(V.triples(spark, sf)), "triples")
+    old = V.graph_of(t.where("ingestion_source_id % 2 = 0"))
+    new = V.graph_of(t.where("ingestion_source_id % 2 = 1"))
     same = G.nodes_of(new[0]).select("node", F.col("node").alias("canonical"))
     return G.merge_increment(*old, *new, same)[0].drop("edge_id")
 
 
-def _versions(spark, sf) -> DataFrame:
+def _version_rows(triples: DataFrame) -> DataFrame:
     """Version 1 of the graph holds the triples of even sources, version 2 all."""
-    t = V.triples(spark, sf).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).where("version = 2 or ingestion_source_id % 2 = 0")
+    return triples.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).where("version = 2 or ingestion_source_id % 2 = 0")
+
+
+def _versions(spark, sf) -> DataFrame:
+    t = _version_rows(V.written(V.triples(spark, sf), "triples"))
     return t.groupBy("job_id", "version", "subject", "predicate", "object").agg(F.count("*").alias("n"))
 
 
@@ -399,7 +404,7 @@ def snapshot_active(spark, sf):
 SELECT version, node FROM n WHERE version > 1 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.version = n.version - 1 AND b.node = n.node)"""
 )
 def affected_nodes(spark, sf):
-    return G.affected_nodes(_versions(spark, sf))
+    return G.affected_nodes(_version_rows(V.triples(spark, sf)))
 
 
 @REG.query(
@@ -409,8 +414,11 @@ SELECT source, target, path, NOT ((source IN (SELECT node FROM n WHERE odd = 1))
   OR (target IN (SELECT node FROM n WHERE odd = 1))) AS is_active FROM v_hyp"""
 )
 def partial_deactivate(spark, sf):
-    affected = G.affected_nodes(_versions(spark, sf))
-    return V.flat(G.deactivate(V.hypotheses(spark, sf), affected), "path", sep=" > ").select("source", "target", "path", "is_active")
+    t = V.written(V.triples(spark, sf), "triples")
+    affected = G.affected_nodes(_version_rows(t))
+    pairs = V.written(G.pair_edges(G.structural_edges(V.projected(t))), "pairs")
+    found = V.written(V.hypotheses(spark, sf, pairs).select("source", "target", "path"), "hyp")
+    return V.flat(G.deactivate(found, affected), "path", sep=" > ").select("source", "target", "path", "is_active")
 
 
 _OF_JOBS = f"""WITH {V.SQL_TRIPLES}, t AS (SELECT job_id, version, subject, predicate, object, ingestion_source_id FROM v_triples, (SELECT unnest([1, 2]) AS version) WHERE version = 2 OR ingestion_source_id % 8 < 4),
