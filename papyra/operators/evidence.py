@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions import varint
+from .scratch import Scratch
 
 #: Postings of a block at most.
 BLOCK = 1024
@@ -193,7 +194,8 @@ def renamed(changed: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame
 
     Blocks go over as they are; those of edges that ``changed`` lacks are left out.
     """
-    named = changed.withColumn("_new", edge_id())
+    # Edges and blocks both read it, and what reads edges may do so more than once.
+    named = Scratch(changed.sparkSession, "renamed").write(changed.withColumn("_new", edge_id()))
     moved = blocks.join(named.select("edge_id", "_new"), "edge_id").select(F.col("_new").alias("edge_id"), "first", "n", "data")
     return named.drop("edge_id").withColumnRenamed("_new", "edge_id"), moved
 
@@ -206,6 +208,7 @@ def merged(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     edges alone; others keep theirs.
     """
     groups = rows.groupBy("edge_id", *KEY).agg(F.count("*").alias("rows"), F.max("support").alias("support"), F.max("fresh").alias("fresh"))
+    groups = Scratch(rows.sparkSession, "merged").write(groups)
     meet = groups.where((F.col("rows") > 1) & F.col("fresh")).select("edge_id")
     sources = decoded(blocks.join(meet, "edge_id", "left_semi")).where("source_id is not null").groupBy("edge_id", "source_id").agg(F.lit(1).alias("one"))
     counted = sources.groupBy("edge_id").agg(F.count("*").cast("int").alias("many"))
