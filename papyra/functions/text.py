@@ -61,21 +61,23 @@ def triple_like(line: Column) -> Column:
 
 
 def unquote(part: Column) -> Column:
-    """Without one matching pair of quotes around it."""
-    return F.regexp_replace(part, r"""^(?s)(["'])(.*)\1$""", "$2")
-
-
-def triple_parts(line: Column) -> Column:
-    """The three cleaned parts of a triple line, or null if it has not three good ones."""
-    parts = F.transform(F.split(line, r"\|"), lambda p: strip(unquote(strip(p))))
-    good = triple_like(line) & F.forall(F.transform(F.split(line, r"\|"), lambda p: unquote(strip(p))), lambda p: (p != "") & (F.length(p) <= P.TRIPLE_PART_CHARS))
-    return F.when(good, parts)
+    """A stripped text without one matching pair of quotes around it."""
+    first = F.substring(part, 1, 1)
+    paired = (F.length(part) >= 2) & first.isin('"', "'") & (F.substring(part, -1, 1) == first)
+    return F.when(paired, F.substring(part, F.lit(2), F.length(part) - 2)).otherwise(part)
 
 
 def parse_triples(response: Column) -> Column:
-    """Triples of a model response: lines from the first to the last triple-like one that parse."""
-    lines = F.filter(F.transform(F.split(response, "\n"), lambda s: strip(s)), lambda s: triple_like(s))
-    return F.filter(F.transform(lines, triple_parts), lambda t: t.isNotNull())
+    """Triples of a model response: the lines of exactly two pipes whose three parts are good.
+
+    Parts lose blanks, a pair of quotes and blanks again. Every step runs once a part: a
+    line is cut once, and a variable of a lambda is not computed again where it is read.
+    """
+    cut = F.filter(F.transform(F.split(response, "\n"), lambda s: F.split(s, r"\|")), lambda t: F.size(t) == 3)
+    stripped = F.transform(cut, lambda t: F.transform(t, lambda p: strip(p)))
+    bare = F.transform(stripped, lambda t: F.transform(t, unquote))
+    good = F.filter(bare, lambda t: F.forall(t, lambda p: (p != "") & (F.length(p) <= P.TRIPLE_PART_CHARS)))
+    return F.transform(good, lambda t: F.transform(t, lambda p: strip(p)))
 
 
 def normalize_component(s: Column) -> Column:

@@ -14,6 +14,8 @@ from papyra.operators import ledger as L
 from papyra.operators import reason as R
 from papyra.operators.components import connected_components
 from papyra.operators.scratch import Scratch
+from papyra.plans import catalog
+from papyra.plans import views as V
 
 
 def one(spark, column, **values):
@@ -237,3 +239,24 @@ def test_components_need_few_rounds(spark):
     scratch = Scratch(spark, "t")
     assert {r["root"] for r in connected_components(edges, scratch).collect()} == {0}
     assert scratch.n <= 2 + 2 * 8
+
+
+def test_lines_are_cut_once(spark):
+    """Texts are split into lines and a line into parts once each; quotes need no pattern."""
+    plan = spark.createDataFrame([("a | 'b' | c",)], "r string").select(T.parse_triples(F.col("r")).alias("t"))
+    assert plan.first()["t"] == [["a", "b", "c"]]
+    said = plan._jdf.queryExecution().analyzed().toString()
+    assert said.count("split(") == 2 and "regexp_replace" not in said
+
+
+@pytest.mark.parametrize("name", ["policy_overrides", "partial_deactivate"])
+def test_results_do_not_read_texts_again(spark, sf_dir, name):
+    """Pairs and triples are written, so what paths read many times is small."""
+    assert not [f for f in catalog.queries()[name](spark, sf_dir).inputFiles() if "documents" in f]
+
+
+def test_increments_parse_texts_once(spark, sf_dir, monkeypatch):
+    names, write = [], V.written
+    monkeypatch.setattr(V, "written", lambda df, name: names.append(name) or write(df, name))
+    catalog.queries()["incremental_edges"](spark, sf_dir)
+    assert names.count("triples") == 1
