@@ -95,10 +95,13 @@ def pair_edges(edges: DataFrame) -> DataFrame:
 
 
 def suppress_hubs(pairs: DataFrame, threshold: int = P.HUB_DEGREE) -> DataFrame:
-    """Drop every pair with an end whose degree is over the threshold (0 or less keeps all), in one pass."""
+    """Drop every pair with an end whose degree is over the threshold (0 or less keeps all), in one pass.
+
+    Hubs are written, so that the planner knows their size and pairs need not move to meet few of them.
+    """
     if threshold <= 0:
         return pairs
-    hubs = pair_degree(pairs).where(F.col("degree") > threshold).select("node")
+    hubs = Scratch(pairs.sparkSession, "hubs").write(pair_degree(pairs).where(F.col("degree") > threshold).select("node"))
     return pairs.join(hubs, pairs["subject"] == hubs["node"], "left_anti").join(
         hubs.withColumnRenamed("node", "hub"), F.col("object") == F.col("hub"), "left_anti"
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +20,11 @@ def one_way_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def first_hops(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("subject").alias("source"), F.col("object").alias("mid"), *(F.col(c).alias(f"{c}_1") for c in _HOP))
+    return pairs.select(F.col("subject").alias("source"), F.col("object").alias("mid"), *(F.col(c).alias(f"{c}_1") for c in _HOP if c in pairs.columns))
 
 
 def second_hops(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("subject").alias("mid"), F.col("object").alias("target"), *(F.col(c).alias(f"{c}_2") for c in _HOP))
+    return pairs.select(F.col("subject").alias("mid"), F.col("object").alias("target"), *(F.col(c).alias(f"{c}_2") for c in _HOP if c in pairs.columns))
 
 
 def still_open(paths: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -52,7 +50,8 @@ def effective_seeds(seeds: list[str] | DataFrame | None, affected: DataFrame) ->
 def discovery_paths(pairs: DataFrame, seeds: list[str] | DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """A -> B -> C with A, B, C distinct and no edge A-C or C-A nor a way back along either hop.
 
-    pairs: pair edges, hubs already suppressed. Pairs with a reverse drop out of both
+    pairs: pair edges, hubs already suppressed; predicates and support go along with the
+    hops if they are there. Pairs with a reverse drop out of both
     sides before the self-join; edges between the ends are tested against all pairs.
     seeds (a list, or a table with column node) keep paths that start or end in one; none
     at all keep no path. The seed test is a union of two narrowed joins, so it prunes
@@ -143,30 +142,48 @@ BUCKET = 1024
 
 
 def _neighbours(links: DataFrame, end: str, other: str, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(node, its degree; node, bucket and neighbour) of one direction: a hub's neighbours are dealt into many buckets."""
-    degree = links.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("degree"))
-    dealt = links.select(F.col(end).alias("node"), F.col(other).alias("mid")).join(degree, "node")
-    width = F.ceil(F.col("degree") / F.lit(float(bucket)))
-    return degree, dealt.select("node", F.pmod(F.xxhash64("mid"), width).alias("bucket"), "mid")
+    """(node, its degree; node, bucket, neighbour and its other columns) of one direction: a hub's neighbours are dealt into many buckets.
+
+    Degrees and hubs are written: hubs are at most one in ``bucket`` of the links, so the
+    planner can see that they fit a broadcast and the links need not move to meet them.
+    """
+    scratch = Scratch(links.sparkSession, "degrees")
+    degree = scratch.write(links.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("degree")))
+    hubs = scratch.write(degree.where(F.col("degree") > bucket))
+    kept = [c for c in links.columns if c not in (end, other)]
+    dealt = links.select(F.col(end).alias("node"), F.col(other).alias("mid"), *kept).join(hubs, "node", "left")
+    width = F.ceil(F.coalesce("degree", F.lit(1)) / F.lit(float(bucket)))
+    return degree, dealt.select("node", F.pmod(F.xxhash64("mid"), width).alias("bucket"), "mid", *kept)
 
 
 def expansions(asked: DataFrame, links: DataFrame, ways: tuple[str, str], bucket: int = BUCKET) -> DataFrame:
-    """source, target, mid and far: for every question the neighbours of its lighter end, and the other end to test them with.
+    """source, target, from_source, mid and the links' other columns: for every question the neighbours of its lighter end.
 
     ways: ``out`` or ``in``, how the source and the target are tied to the middle. A
-    question with an end that has no such neighbour has no rows.
+    question with an end that has no such neighbour has no rows. The end to test a middle
+    with is the target where it comes from the source, else the source.
     """
     side = {"out": ("u", "v"), "in": ("v", "u")}
-    (deg_s, near_s), (deg_t, near_t) = (_neighbours(links, *side[w], bucket) for w in ways)
+    deg_s, near = _neighbours(links, *side[ways[0]], bucket)
+    deg_t, key = deg_s, ["node", "bucket"]
+    if ways[0] != ways[1]:
+        deg_t, near_t = _neighbours(links, *side[ways[1]], bucket)
+        near = near.withColumn("from_source", F.lit(True)).union(near_t.withColumn("from_source", F.lit(False)))
+        key = [*key, "from_source"]
     sized = asked.select("source", "target").join(deg_s.withColumnRenamed("node", "source").withColumnRenamed("degree", "ds"), "source")
     sized = sized.join(deg_t.withColumnRenamed("node", "target").withColumnRenamed("degree", "dt"), "target")
-    out = []
-    for end, far, own, near, light in (("source", "target", "ds", near_s, F.col("ds") <= F.col("dt")), ("target", "source", "dt", near_t, F.col("ds") > F.col("dt"))):
-        width = F.ceil(F.col(own) / F.lit(float(bucket)))
-        dealt = sized.where(light).select("source", "target", F.col(end).alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), width - 1)).alias("bucket"))
-        met = dealt.join(near, ["node", "bucket"]).where((F.col("mid") != F.col("source")) & (F.col("mid") != F.col("target")))
-        out.append(met.select("source", "target", "mid", F.col(far).alias("far"), F.lit(end == "source").alias("from_source")))
-    return out[0].union(out[1])
+    light = F.col("ds") <= F.col("dt")
+    width = F.ceil(F.least("ds", "dt") / F.lit(float(bucket)))
+    dealt = sized.select(
+        "source", "target", light.alias("from_source"), F.when(light, F.col("source")).otherwise(F.col("target")).alias("node"),
+        F.explode(F.sequence(F.lit(0).cast("long"), width - 1)).alias("bucket"),
+    )
+    met = dealt.join(near, key).where((F.col("mid") != F.col("source")) & (F.col("mid") != F.col("target")))
+    return met.select("source", "target", "from_source", "mid", *(c for c in links.columns if c not in ("u", "v")))
+
+
+def _far() -> Column:
+    return F.when(F.col("from_source"), F.col("target")).otherwise(F.col("source"))
 
 
 def wedges(asked: DataFrame, links: DataFrame, ways: tuple[str, str], bucket: int = BUCKET) -> DataFrame:
@@ -175,40 +192,93 @@ def wedges(asked: DataFrame, links: DataFrame, ways: tuple[str, str], bucket: in
     The lighter end is expanded and each middle tested by its link to the other end, so a
     hub costs what its partner has, and its own link only as a key of the test.
     """
-    grown = expansions(asked, links, ways, bucket)
+    grown = expansions(asked, links.select("u", "v"), ways, bucket).withColumn("far", _far())
     ties = {"out": links.select(F.col("u").alias("far"), F.col("v").alias("mid")), "in": links.select(F.col("v").alias("far"), F.col("u").alias("mid"))}
     hit = grown.where("from_source").join(ties[ways[1]], ["far", "mid"], "left_semi").unionByName(grown.where("not from_source").join(ties[ways[0]], ["far", "mid"], "left_semi"))
     return hit.groupBy("source", "target").agg(F.min("mid").alias("mid"))
 
 
+#: How a node is tied to another: a link to it, a link from it, or both.
+_OUT, _IN = 1, 2
+#: The same for a question that is asked of the two.
+_ASKED = 4
+
+
+def _has(bits: Column, bit: int) -> Column:
+    return bits.bitwiseAND(F.lit(bit)) != 0
+
+
+def _turned(tie: Column) -> Column:
+    """The tie as the other node has it."""
+    return F.when(_has(tie, _OUT), F.lit(_IN)).otherwise(F.lit(0)) + F.when(_has(tie, _IN), F.lit(_OUT)).otherwise(F.lit(0))
+
+
+def _unordered(pairs: DataFrame, a: str, b: str, bit: int) -> DataFrame:
+    """lo, hi and bits of (a, b): the bit if a is lo, twice the bit if not. Pairs with a null stay as they are."""
+    turn = F.coalesce(F.col(a) > F.col(b), F.lit(False))
+    return pairs.select(
+        F.when(turn, F.col(b)).otherwise(F.col(a)).alias("lo"),
+        F.when(turn, F.col(a)).otherwise(F.col(b)).alias("hi"),
+        F.when(turn, F.lit(2 * bit)).otherwise(F.lit(bit)).alias("bits"),
+    )
+
+
+_WEDGES = ("forward", "backward", "cause", "effect")
+
+
+def middles(asked: DataFrame, links: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """source, target, forward, backward, cause and effect: the least middle of each kind, null where there is none; no row without any.
+
+    asked: distinct pairs. links: lo, hi and tie, a row for every two nodes that a link
+    joins either way, lo not after hi. All four kinds are found in one expansion of the
+    end of fewer neighbours, each middle tested by its row with the other end.
+    """
+    lo, hi, tie = F.col("lo"), F.col("hi"), F.col("tie")
+    ends = F.array(F.struct(lo.alias("u"), hi.alias("v"), tie.alias("tie")), F.struct(hi.alias("u"), lo.alias("v"), _turned(tie).alias("tie")))
+    grown = expansions(asked, links.where("lo <> hi").select(F.inline(ends)), ("out", "out"), bucket)
+    far, mid = _far(), F.col("mid")
+    tested = links.withColumnRenamed("tie", "_tie")
+    hit = grown.join(tested, (F.least(far, mid) == F.col("lo")) & (F.greatest(far, mid) == F.col("hi")))
+    other = F.when(far < mid, F.col("_tie")).otherwise(_turned(F.col("_tie")))
+    hit = hit.select(
+        "source", "target", "mid",
+        F.when(F.col("from_source"), tie).otherwise(other).alias("s"),
+        F.when(F.col("from_source"), other).otherwise(tie).alias("t"),
+    )
+    kinds = zip(_WEDGES, ((_OUT, _IN), (_IN, _OUT), (_IN, _IN), (_OUT, _OUT)), strict=True)
+    return hit.groupBy("source", "target").agg(*(F.min(F.when(_has(F.col("s"), x) & _has(F.col("t"), y), mid)).alias(kind) for kind, (x, y) in kinds))
+
+
 def verify_pairs(questions: DataFrame, edges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """connection_type and path of each (source, target): the first pattern of the ladder that holds.
 
     Two-hop ways go through the middle of least first-edge position (edge rows in
     order of subject, predicate, object); common causes and colliders through the first
     node in the order of nodes. Ends that the graph lacks give ``none``. Question rows
-    are distinct pairs. Each step of the ladder asks only what those before left open.
+    are distinct pairs. Links and questions of the same two nodes, either way round, become
+    one row, which settles direct ties; what is left open is asked once for both ways.
     """
     scratch = Scratch(edges.sparkSession, "verify")
-    links = scratch.write(edges.select(F.col("subject").alias("u"), F.col("object").alias("v")).distinct())
-    left = scratch.write(questions.select("source", "target").distinct())
-    s, t, m = F.col("source"), F.col("target"), F.col("mid")
-    done = []
-
-    def settle(hit: DataFrame, rank: int, path: Column) -> None:
-        nonlocal left
-        found = scratch.write(hit.select("source", "target", F.lit(PATTERNS[rank]).alias("connection_type"), path.alias("path")))
-        done.append(found)
-        left = scratch.write(left.join(found, ["source", "target"], "left_anti"))
-
-    for rank, (u, v) in enumerate((("source", "target"), ("target", "source"))):
-        ends = links.select(F.col("u").alias(u), F.col("v").alias(v))
-        settle(left.join(ends, ["source", "target"], "left_semi"), rank, F.array(u, v))
-    steps = ((("out", "in"), F.array(s, m, t)), (("in", "out"), F.array(t, m, s)), (("in", "in"), F.array(s, m, t)), (("out", "out"), F.array(s, m, t)))
-    for rank, (ways, path) in enumerate(steps, 2):
-        settle(wedges(left, links, ways, bucket), rank, path)
-    none = left.select("source", "target", F.lit("none").alias("connection_type"), F.lit(None).cast("array<string>").alias("path"))
-    return reduce(DataFrame.union, done).union(none)
+    links = _unordered(edges.where("subject is not null and object is not null"), "subject", "object", _OUT)
+    known = scratch.write(links.union(_unordered(questions, "source", "target", _ASKED)).groupBy("lo", "hi").agg(F.bit_or("bits").alias("bits")))
+    known = known.select("lo", "hi", F.col("bits").bitwiseAND(F.lit(_OUT | _IN)).alias("tie"), (F.col("bits") / _ASKED).cast("int").alias("asked"))
+    asked = known.where("asked > 0")
+    left = asked.where("tie = 0").select(F.col("lo").alias("source"), F.col("hi").alias("target"))
+    found = scratch.write(middles(left, known.where("tie > 0").select("lo", "hi", "tie"), bucket)).toDF("lo", "hi", *_WEDGES)
+    direct = asked.where("tie > 0").select("*", *(F.lit(None).cast(found.schema[w].dataType).alias(w) for w in _WEDGES))
+    both = direct.unionByName(asked.where("tie = 0").join(found, ["lo", "hi"], "left"))
+
+    def way(source: str, target: str, tie: Column, bit: int, forward: str, backward: str) -> Column:
+        ends = [F.col(source).alias("source"), F.col(target).alias("target"), tie.alias("tie"), _has(F.col("asked"), bit).alias("asked")]
+        return F.struct(*ends, F.col(forward).alias("forward"), F.col(backward).alias("backward"), "cause", "effect")
+
+    two = F.array(way("lo", "hi", F.col("tie"), _OUT, "forward", "backward"), way("hi", "lo", _turned(F.col("tie")), _IN, "backward", "forward"))
+    rows = both.select(F.inline(two)).where("asked")
+    s, t, tie = F.col("source"), F.col("target"), F.col("tie")
+    tests = [(_has(tie, _OUT), F.array(s, t)), (_has(tie, _IN), F.array(t, s))]
+    tests += [(F.col(w).isNotNull(), F.array(t, F.col(w), s) if w == "backward" else F.array(s, F.col(w), t)) for w in _WEDGES]
+    kind = F.coalesce(*(F.when(holds, F.lit(name)) for name, (holds, _) in zip(PATTERNS, tests, strict=True)), F.lit("none"))
+    return rows.select("source", "target", kind.alias("connection_type"), F.coalesce(*(F.when(holds, path) for holds, path in tests)).alias("path"))
 
 
 def supporting_papers(hypotheses: DataFrame, pairs: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:

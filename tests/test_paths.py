@@ -124,3 +124,55 @@ def test_a_hub_costs_what_its_partner_has(spark):
 def test_affected_nodes_reach_explore(spark):
     versions = spark.createDataFrame([(1, "a", "b"), (2, "a", "b"), (2, "b", "c")], "version int, subject string, object string")
     assert [(r["version"], r["node"]) for r in G.affected_nodes(versions).collect()] == [(2, "c")]
+
+
+def moved_rows(spark, run):
+    """Rows that the stages of a run write for shuffles."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+
+    def total():
+        stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_verification_moves_links_few_times(spark):
+    """One question a link: all kinds of middles come from one expansion, so rows moved stay a small multiple of links."""
+    rng = random.Random(3)
+    pairs = {(f"n{rng.randrange(3000)}", f"n{rng.randrange(3000)}") for _ in range(12_000)}
+    edges = spark.createDataFrame(sorted(pairs), "subject string, object string").cache()
+    asked = edges.selectExpr("inline(array(struct(subject as source, object as target), struct(object as source, subject as target)))").cache()
+    assert edges.count() == len(pairs) and asked.count() == 2 * len(pairs)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = moved_rows(spark, lambda: R.verify_pairs(asked, edges).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert moved < 12 * len(pairs)
+
+
+def test_open_questions_are_expanded_once(spark, monkeypatch):
+    seen, known = [], R.expansions
+    monkeypatch.setattr(R, "expansions", lambda asked, *a: seen.append(sorted(map(tuple, asked.select("source", "target").collect()))) or known(asked, *a))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a"), ("d", "c")], "subject string, object string")
+    asked = spark.createDataFrame([("a", "c"), ("c", "a"), ("a", "b"), ("b", "a"), ("b", "d")], "source string, target string")
+    kinds = {(r["source"], r["target"]): r["connection_type"] for r in R.verify_pairs(asked, edges).collect()}
+    assert kinds == {("a", "c"): "2hop_forward", ("c", "a"): "2hop_reverse", ("a", "b"): "direct_forward", ("b", "a"): "direct_reverse", ("b", "d"): "2hop_reverse"}
+    assert seen == [[("a", "c"), ("b", "d")]]
+
+
+@pytest.mark.parametrize("bucket", [1, 1024])
+def test_ladder_with_nulls_loops_and_repeats(spark, bucket):
+    """Null ends are tied to nothing and stay in their places; loops and repeated links count once."""
+    links = [("a", "a"), ("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("d", "c"), ("e", "c"), ("c", "f"), (None, "a"), ("a", None), (None, None), ("", "a")]
+    edges = spark.createDataFrame(links, "subject string, object string")
+    ends = ["a", "b", "c", "d", "e", "f", "", "gone", None]
+    asked = [(s, t) for s in ends for t in ends]
+    got = {(r["source"], r["target"]): (r["connection_type"], r["path"]) for r in R.verify_pairs(spark.createDataFrame(asked + asked, "source string, target string"), edges, bucket).collect()}
+    pairs = {p for p in links if None not in p}
+    assert got == {q: ("none", None) if None in q else ladder(pairs, *q) for q in asked}
