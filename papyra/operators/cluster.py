@@ -4,7 +4,8 @@ Vectors are partitioned around pivots and visit only the cells that the triangle
 inequality allows a neighbour in (``pivots``). A cell is a grid of blocks and a task one
 matrix product of bounded size, so no task and no group grows with the input. Average
 linkage works on the pairs that are near enough only; large components are linked by
-DataFrame rounds.
+DataFrame rounds. Where those pairs are very many, clusters look for their nearest one
+instead (``mutual``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import pivots, signatures
+from . import mutual, pivots, signatures
 from .components import connected_components
 from .scratch import Scratch
 
@@ -219,6 +220,24 @@ def _linked(rows: DataFrame, similarity: float, means: bool = False) -> DataFram
     return dealt.repartition(min(groups, 16 * parts), "group").groupBy("group").applyInArrow(link, "id long, cluster long")
 
 
+def _linked_pairs(base: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, cluster) by the pairs above the cut; base: id, n (rows that the vector stands for), v."""
+    pairs = scratch.write(similarity_pairs(base, similarity, "id", "v"))
+    roots = connected_components(pairs, scratch)
+
+    sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
+    found = base.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root")
+    linked = _linked(found.where(F.col("size") <= LINK_ROWS).select("root", "id", "n", "v"), similarity)
+    alone = base.join(roots, base["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("cluster"))
+    out = linked.union(alone)
+    large = sizes.where(F.col("size") > LINK_ROWS)
+    if not large.isEmpty():
+        nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
+        inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+        out = out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
+    return out
+
+
 def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster): average-linkage clusters cut at 1 - similarity, named by their least id.
 
@@ -226,8 +245,9 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
     a group of copies costs one row. Clusters never cross components of the graph of
     pairs nearer than the cut (a merge below it needs one such pair), so components are
     found first and linked apart: small ones whole in a task, large ones by
-    ``linkage_rounds``, with equal results where no two pairs are equally near. Vectors of
-    length 0 are clusters of their own.
+    ``linkage_rounds``, with equal results where no two pairs are equally near. Pairs of
+    dense vectors that are near by the dozen grow with the square of the input, so they are
+    not written, and ``mutual`` links those vectors. Vectors of length 0 are clusters of their own.
     """
     scratch = Scratch(df.sparkSession, "cluster")
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -240,19 +260,13 @@ def clusters(df: DataFrame, similarity: float, id_col: str = "id", vector_col: s
     rows = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit("copy"), "v")})
     copies = scratch.write(rows.groupBy("h", "g", "v", "same").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     base = copies.select("id", "n", "v")
-    pairs = scratch.write(similarity_pairs(base, similarity, "id", "v"))
-    roots = connected_components(pairs, scratch)
-
-    sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("size")))
-    found = base.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root")
-    linked = _linked(found.where(F.col("size") <= LINK_ROWS).select("root", "id", "n", "v"), similarity)
-    alone = base.join(roots, base["id"] == roots["node"], "left_anti").select("id", F.col("id").alias("cluster"))
-    out = linked.union(alone)
-    large = sizes.where(F.col("size") > LINK_ROWS)
-    if not large.isEmpty():
-        nodes = scratch.write(roots.join(large, "root").select(F.col("node").alias("id")))
-        inside = pairs.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
-        out = out.union(linkage_rounds(base.join(nodes, "id"), inside, similarity, scratch))
+    seen = _vectors(base, "id", "v")
+    n = seen.count()
+    sample = pivots.sample_of(seen, n)
+    if mutual.crowded(sample, n, similarity) and signatures.choose(sample, n, similarity, PAIR_ROWS) is None:
+        out = mutual.clusters(base, similarity, scratch)
+    else:
+        out = _linked_pairs(base, similarity, scratch)
     first = copies.select(F.col("id").alias("first"), "h", "g", F.col("v").alias("w"), F.col("same").alias("of"))
     equal = F.forall(F.zip_with("v", "w", lambda x, y: x.eqNullSafe(y)), lambda e: e)
     equal = F.coalesce(equal, F.col("v").isNull() & F.col("w").isNull()) & F.col("same").eqNullSafe(F.col("of"))
