@@ -6,12 +6,14 @@ their nearest one look for it among all that are left, in a grid of blocks of wh
 task holds two, and every two that are each other's nearest merge. A merged cluster is
 to no other nearer than the nearer of its parts was. So a cluster whose nearest one did
 not merge keeps it, and one that has none above the cut is done. A round writes the
-clusters and, for each that asked, a row a block. What is left is linked by one task as
-soon as it is a matrix of bounded size with few that ask.
+clusters and, for each that asked, a row a block. Where few ask, they go along with the
+tasks that read the others, as what changes then does, and no cluster is moved. What is
+left is linked by one task as soon as it is a matrix of bounded size with few that ask.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import ceil, sqrt
 
@@ -32,8 +34,10 @@ BLOCK_BYTES = 1 << 25
 TILE_ROWS = 512
 #: Products of a task at least, so that small rounds take few tasks.
 CELL_PRODUCTS = 1 << 24
+#: Bytes of the vectors of those that ask up to which they go along with tasks, and up to which changes are sent to all.
+ASKED_BYTES, CHANGED_BYTES = 1 << 22, 1 << 24
 #: What is left is linked by one task if its vectors take so many bytes and its next round so many products at most.
-LINK_BYTES, LINK_PRODUCTS = 1 << 25, 1 << 26
+LINK_BYTES, LINK_PRODUCTS = 1 << 26, 1 << 27
 #: Part of the rows of a linking task that may be left over from merges until it copies the others.
 LEFT_OVER = 0.25
 
@@ -109,6 +113,30 @@ def _nearest(groups: DataFrame, asking: int, known: int, dims: int, similarity:
     return met.withColumn("cell", number).repartitionById(cells, F.col("cell")).groupBy("cell").applyInArrow(cell, "id long, near long, s double")
 
 
+def _nearest_of_few(groups: DataFrame, similarity: float) -> DataFrame:
+    """As ``_nearest``, a row a partition: those that ask, of bounded size, go along with the tasks."""
+    rows = groups.where("ask").select("id", "n", "v").collect()
+    asked = np.array([r["id"] for r in rows])
+    q = np.array([r["v"] for r in rows]) / np.array([r["n"] for r in rows])[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, top = np.full(len(asked), np.iinfo(np.int64).max), np.full(len(asked), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.table(batch).sort_by("id")
+            ids, own = t.column("id").to_numpy(), np.full(len(asked), -1)
+            _, a, b = np.intersect1d(asked, ids, return_indices=True)
+            own[a] = b
+            at, s = best(q, _means(t), own=own)[0]
+            more = (s > top) | ((s == top) & (ids[at] < near))
+            near[more], top[more] = ids[at[more]], s[more]
+        found = top > similarity
+        yield pa.RecordBatch.from_arrays([pa.array(asked[found]), pa.array(near[found]), pa.array(top[found])], names=["id", "near", "s"])
+
+    return groups.select("id", "n", "v").mapInArrow(run, "id long, near long, s double")
+
+
 def _means(t: pa.Table) -> np.ndarray:
     lists = t.column("v").combine_chunks()
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) / t.column("n").to_numpy()[:, None]
@@ -208,11 +236,16 @@ def clusters(base: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
         if count["all"] * dims * 8 <= LINK_BYTES and count["asking"] * count["all"] <= LINK_PRODUCTS:
             links.append(_rest(groups, similarity).where("id <> cluster").select(F.col("id").alias("a"), F.col("cluster").alias("b")))
             break
-        # Vectors of the first round go about as narrow as they came.
-        shown = groups.select("id", "n", "v", "ask") if held is not None else raw
-        found = _nearest(shown, count["asking"], count["all"] - count["asking"], dims, similarity, held is None)
-        found = found.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("d"), "near")).alias("p")).select("id", F.col("p.near").alias("near"), (-F.col("p.d")).alias("s"))
-        known = scratch.write(found.union(groups.where("not ask").select("id", "near", "s")))
+        width, asking = dims * 8, count["asking"]
+        if held is not None and asking * width <= ASKED_BYTES:
+            found = _nearest_of_few(groups, similarity)
+        else:
+            # Vectors of the first round go about as narrow as they came.
+            shown = groups.select("id", "n", "v", "ask") if held is not None else raw
+            found = _nearest(shown, asking, count["all"] - asking, dims, similarity, held is None)
+        found = found.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("d"), "near")).alias("p"))
+        found = scratch.write(found.select("id", F.col("p.near").alias("near"), (-F.col("p.d")).alias("s")))
+        known = found.union(groups.where("not ask").select("id", "near", "s"))
         pair = [F.least("id", "near").alias("into"), F.greatest("id", "near").alias("gone")]
         merges = scratch.write(known.groupBy(*pair).agg(F.count("*").alias("k")).where("k = 2").select("into", "gone"))
         if merges.isEmpty():
@@ -222,16 +255,20 @@ def clusters(base: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
             if known.isEmpty():
                 break
         links.append(merges.select(F.col("gone").alias("a"), F.col("into").alias("b")))
-        touched = merges.select(F.explode(F.array("into", "gone")).alias("id"))
-        still = known.select("id").join(touched, "id", "left_anti").select(F.col("id").alias("near"), F.lit(True).alias("still"))
-        stays = known.join(merges.select(F.col("gone").alias("id")), "id", "left_anti").join(merges.select(F.col("into").alias("id"), F.lit(True).alias("grew")), "id", "left")
-        stays = stays.join(still, "near", "left").select("id", "near", "s", (F.col("grew").isNotNull() | F.col("still").isNull()).alias("ask"))
-        old = groups.select("id", "n", "v")
-        gained = old.join(merges.select(F.col("gone").alias("id"), "into"), "id").select(F.col("into").alias("id"), F.col("n").alias("m"), F.col("v").alias("w"))
+        # Merges, and those that are done, are at most as many as those that asked.
+        sent = F.broadcast if asking * width <= CHANGED_BYTES else lambda x: x
+        done = groups.where("ask").select("id").join(sent(found.select("id")), "id", "left_anti")
+        gone = merges.select(F.col("gone").alias("id"))
+        lost = gone.union(merges.select("into")).union(done).select(F.col("id").alias("near"), F.lit(True).alias("lost"))
+        gained = groups.select("id", "n", "v").join(sent(merges.select(F.col("gone").alias("id"), "into")), "id")
+        gained = gained.select(F.col("into").alias("id"), F.col("n").alias("m"), F.col("v").alias("w"))
+        stay = groups.select("id", "n", "v", "near", "s").join(sent(gone.union(done)), "id", "left_anti").join(sent(found.select("id", F.col("near").alias("to"), F.col("s").alias("by"))), "id", "left")
+        stay = stay.select("id", "n", "v", F.coalesce("to", "near").alias("near"), F.coalesce("by", "s").alias("s")).join(sent(gained), "id", "left")
         v = F.when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda x, y: x + y))
-        grown = old.join(stays, "id").join(gained, "id", "left").select("id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), v.alias("v"), "near", "s", "ask")
-        groups = scratch.write(grown)
-        scratch.drop(known)
+        ask = F.col("m").isNotNull() | F.coalesce("lost", F.lit(False))
+        grown = stay.select("id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), v.alias("v"), "near", "s", "m").join(sent(lost), "near", "left")
+        groups = scratch.write(grown.select("id", "n", "v", "near", "s", ask.alias("ask")))
+        scratch.drop(found)
         if held is not None:
             scratch.drop(held)
         held = groups

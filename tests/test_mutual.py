@@ -58,6 +58,9 @@ def test_rounds_give_plain_linkage(spark, monkeypatch, similarity):
     x = crowd(230, seed=2)
     # Blocks of at most 40 vectors.
     small(monkeypatch, BLOCK_BYTES=40 * 6 * 8, CELL_PRODUCTS=400, TILE_ROWS=16, LINK_BYTES=0)
+    if similarity <= 0:
+        # All who ask meet in blocks, and all clusters are joined with what changes.
+        small(monkeypatch, ASKED_BYTES=0, CHANGED_BYTES=0)
     base = frame(spark, zip(3 * np.arange(len(x)) + 1, x, strict=True)).selectExpr("id", "1L AS n", "embedding AS v")
     got = {r["id"]: r["cluster"] for r in M.clusters(base, similarity, Scratch(spark, "t")).collect()}
     assert got == plain(3 * np.arange(len(x)) + 1, x, similarity)
